@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quarry.llm import language_id, packing, quality, simhash
 from quarry.llm.common import shared_dir
 
-import uuid
-
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
