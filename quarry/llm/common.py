@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -52,3 +54,35 @@ def map_rows(df: DataFrame, of_batch: Callable[[pa.RecordBatch], dict], schema:
 
 def arrow_schema(schema: str) -> pa.Schema:
     return to_arrow_schema(_parse_datatype_string(schema))
+
+
+#: The white-space characters that end a word.
+SPACES = "\t\n\x0b\x0c\r "
+
+
+def slices(texts: pa.Array, at_once: int = 12_000_000) -> Iterator[pa.Array]:
+    """Runs of the texts of about `at_once` bytes each, null as empty."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64)
+    group = (np.cumsum(sizes) - sizes) // at_once
+    edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(texts)] if len(texts) else [0]
+    for a, b in zip(edges, edges[1:]):
+        yield pc.fill_null(texts.slice(a, b - a).cast(pa.string()), "")
+
+
+def coded(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Codes of all items, where each list's begin (one place more than lists), and the distinct items by code."""
+    found = lists.values.dictionary_encode()
+    return found.indices.to_numpy(), lists.offsets.to_numpy().astype(np.int64), found.dictionary.to_pylist()
+
+
+def word_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """coded() of the words `[^\\x20\\x09-\\x0D]+` of each text."""
+    for c in SPACES[:-1]:
+        if pc.any(pc.match_substring(texts, c)).as_py():
+            texts = pc.replace_substring(texts, c, " ")
+    codes, offsets, words = coded(pc.split_pattern(texts, " "))
+    if "" in words:
+        own = codes != words.index("")
+        upto = np.concatenate([[0], np.cumsum(own)])
+        codes, offsets = codes[own], upto[offsets]
+    return codes, offsets, words
