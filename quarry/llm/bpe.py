@@ -92,7 +92,7 @@ class ChunkEncoder:
         flat = []
         for c, first, last in parts:
             flat += [c, "", ""] if first < 0 else [c[:first], c[first:last], c[last:]]
-        ids = self.pieces.encode(flat)
+        ids = self.pieces.encode_bytes(flat)
         for k, (c, first, last) in enumerate(parts):
             self.new[c] = (first, last, ids[3 * k + 1])
             self.held += len(c)
@@ -122,7 +122,7 @@ class ChunkEncoder:
                 plan.append(len(repairs))
                 repairs.append(carried)
                 plans.append(plan)
-            fixed = self.pieces.encode(repairs)
+            fixed = self.pieces.encode_bytes(repairs)
             out += [b"".join(fixed[x] if isinstance(x, int) else x for x in plan) for plan in plans]
         return out
 

@@ -25,16 +25,18 @@ def pieces(docs: DataFrame, path: str, most: int, end_id: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        own, part, end = encoder(path, drops_space=True), TaskContext.get().partitionId(), np.array([end_id], dtype="<u4").tobytes()
+        own, part = encoder(path, drops_space=True), TaskContext.get().partitionId()
         seen: dict[int, int] = defaultdict(int)
         for batch in batches:
+            ids, ends = own.encode(batch.column(1))
+            ids = np.insert(ids, ends[1:], end_id)  # an end id after each document
+            raw = memoryview(ids.tobytes())
+            starts = (ends + np.arange(len(ends))).tolist()
             rows = []
-            for doc, ids in zip(batch.column(0).to_pylist(), own.encode([t or "" for t in batch.column(1).to_pylist()])):
-                ids += end
-                for k in range(0, len(ids), 4 * most):
-                    cut = ids[k : k + 4 * most]
-                    n = len(cut) // 4
-                    rows.append((doc, k // (4 * most), k // 4, n, zlib.crc32(cut), part, seen[n]))
+            for doc, begin, stop in zip(batch.column(0).to_pylist(), starts, starts[1:]):
+                for k, at in enumerate(range(begin, stop, most)):
+                    n = min(most, stop - at)
+                    rows.append((doc, k, at - begin, n, zlib.crc32(raw[4 * at : 4 * (at + n)]), part, seen[n]))
                     seen[n] += 1
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(zip(*rows), arrow)], schema=arrow)

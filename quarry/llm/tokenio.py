@@ -18,11 +18,11 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,7 +60,7 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
-def write_block(doc_ids: list[int], lengths: list[int], ranks: np.ndarray) -> bytes:
+def write_block(doc_ids, lengths, ranks: np.ndarray) -> bytes:
     control, data = pack(ranks)
     return b"".join([MAGIC, struct.pack("<IQ", len(doc_ids), len(ranks)), np.array(doc_ids, dtype="<i8").tobytes(), np.array(lengths, dtype="<u4").tobytes(), control, data])
 
@@ -79,91 +79,111 @@ def read_block(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ids, lengths, unpack(block[at:end], block[end:], n)
 
 
-def count_ids(docs: DataFrame, path: str, end_id: int, flush: int = 200_000) -> DataFrame:
-    """(id, n) over all documents, end ids included. Distinct pieces are counted first and encoded once each."""
-    arrow = arrow_schema("id long, n long")
+BLOCKS = "part int, seq int, before long, n long, block binary"
+DRAFT = "part int, seq int, before long, n long, doc_ids binary, lengths binary, wide boolean, ids binary"
+
+
+def _ids_of(wide: bool, raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, dtype="<u4" if wide else "<u2")
+
+
+def _draft(docs: DataFrame, path: str, end_id: int, block: int) -> DataFrame:
+    """Blocks in ascending order of doc_id with the ids as they are, in two bytes each where that is enough."""
+    arrow = arrow_schema(DRAFT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, seq, before, waiting = TaskContext.get().partitionId(), 0, 0, 0
         own = encoder(path)
-        total = np.zeros(own.tokenizer.get_vocab_size(with_added_tokens=True), dtype=np.int64)
-        pieces: Counter = Counter()
-
-        def settle():
-            kept = list(pieces)
-            long = own.learn([kept])
-            ids = [own.memo[p] for p in kept]
-            times = np.repeat(np.fromiter(pieces.values(), dtype=np.int64, count=len(kept)), [len(x) // 4 for x in ids])
-            np.add.at(total, np.frombuffer(b"".join(ids), dtype="<u4"), times)
-            for p in long:
-                del own.memo[p]
-            pieces.clear()
+        ids: list[int] = []
+        lengths: list[int] = []
+        held: list[np.ndarray] = []
+
+        def out() -> pa.RecordBatch:
+            nonlocal seq, before, waiting
+            values = np.concatenate(held)
+            wide = bool(values.max() > 0xFFFF)
+            made = {"part": part, "seq": seq, "before": before, "n": waiting, "wide": wide}
+            made |= {"doc_ids": np.array(ids, dtype="<i8").tobytes(), "lengths": np.array(lengths, dtype="<u4").tobytes(), "ids": values.astype("<u4" if wide else "<u2").tobytes()}
+            seq, before, waiting = seq + 1, before + waiting, 0
+            for x in (ids, lengths, held):
+                x.clear()
+            return pa.RecordBatch.from_pylist([made], schema=arrow)
 
         for batch in batches:
-            total[end_id] += batch.num_rows
-            for text in batch.column(0).to_pylist():
-                if text:
-                    pieces.update(own.split(text))
-                    if len(pieces) > flush:
-                        settle()
-        settle()
+            names = pc.fill_null(batch.column(0), NULL_ID).to_pylist()
+            values, ends = own.encode(batch.column(1))
+            values = np.insert(values, ends[1:], end_id)  # an end id after each document
+            ends += np.arange(len(ends))
+            sizes, at = np.diff(ends), 0
+            while at < len(names):
+                to = min(max(at + 1, int(np.searchsorted(ends, ends[at] + block - waiting))), len(names))
+                ids += names[at:to]
+                lengths += sizes[at:to].tolist()
+                held.append(values[ends[at] : ends[to]])
+                waiting += int(ends[to] - ends[at])
+                at = to
+                if waiting >= block:
+                    yield out()
+        if ids:
+            yield out()
+
+    ordered = scattered(docs, "doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.crc32("text"))
+    return ordered.mapInArrow(run, DRAFT)
+
+
+def count_ids(draft: DataFrame) -> DataFrame:
+    """(id, n) over all blocks of a draft, end ids included."""
+    arrow = arrow_schema("id long, n long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(0, dtype=np.int64)
+        for batch in batches:
+            for wide, raw in zip(*batch.columns):
+                own = np.bincount(_ids_of(wide.as_py(), raw.as_py()))
+                if len(own) > len(total):
+                    total = np.concatenate([total, np.zeros(len(own) - len(total), dtype=np.int64)])
+                total[: len(own)] += own
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], schema=arrow)
 
-    return scattered(docs, "text").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return draft.select("wide", "ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+
+
+def _save(blocks: DataFrame, folder: str) -> None:
+    blocks.write.option("compression", "zstd").option("parquet.enable.dictionary", "false").parquet(folder)
 
 
 def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = 0, block: int = 1_000_000) -> None:
     """Writes all documents' ids, each document's with end_id after it, in ascending order of doc_id.
 
-    Null text counts as empty. Documents with the same id (or none: first of all) stand in order of their texts' CRC.
-    An empty table gives a store without blocks.
+    Texts are encoded once, into a draft whose ids are counted and then exchanged for their frequency ranks. Null text
+    counts as empty. Documents with the same id (or none: first of all) stand in order of their texts' CRC. An empty
+    table gives a store without blocks.
     """
     spark, path = docs.sparkSession, path or tokenizer_path("byte_bpe_50k.json")
+    _save(_draft(docs, path, end_id, block), f"{folder}/draft")
+    draft = spark.read.parquet(f"{folder}/draft")
     # one row for each id of the vocabulary at most
-    seen = sorted(map(tuple, count_ids(docs, path, end_id).collect()), key=lambda x: (-x[1], x[0]))
+    seen = sorted(map(tuple, count_ids(draft).collect()), key=lambda x: (-x[1], x[0]))
     spark.createDataFrame([(r, i) for r, (i, _) in enumerate(seen)], "rank long, id long").coalesce(1).write.parquet(f"{folder}/ranks")
-    size = max((i for i, _ in seen), default=0) + 1
-    rank = np.zeros(size, dtype=np.uint32)
+    rank = np.zeros(max((i for i, _ in seen), default=0) + 1, dtype=np.uint32)
     rank[[i for i, _ in seen]] = np.arange(len(seen))
     told = spark.sparkContext.broadcast(rank)
-    schema = "part int, seq int, before long, n long, block binary"
-    arrow = arrow_schema(schema)
+    arrow = arrow_schema(BLOCKS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part, seq, before = TaskContext.get().partitionId(), 0, 0
-        own, ranks, end = encoder(path), told.value, np.array([end_id], dtype="<u4").tobytes()
-        ids: list[int] = []
-        lengths: list[int] = []
-        held: list[bytes] = []
-
-        def out() -> pa.RecordBatch:
-            nonlocal seq, before
-            n = sum(lengths)
-            made = {"part": part, "seq": seq, "before": before, "n": n, "block": write_block(ids, lengths, ranks[np.frombuffer(b"".join(held), dtype="<u4")])}
-            seq, before = seq + 1, before + n
-            for x in (ids, lengths, held):
-                x.clear()
-            return pa.RecordBatch.from_pylist([made], schema=arrow)
-
-        waiting = 0
         for batch in batches:
-            docs_in, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            for at in range(0, len(texts), 256):
-                for i, x in zip(docs_in[at : at + 256], own.encode(texts[at : at + 256])):
-                    ids.append(NULL_ID if i is None else i)
-                    lengths.append(len(x) // 4 + 1)
-                    held += [x, end]
-                    waiting += lengths[-1]
-                    if waiting >= block:
-                        yield out()
-                        waiting = 0
-        if ids:
-            yield out()
-
-    ordered = scattered(docs, "doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.crc32("text"))
-    ordered.mapInArrow(run, schema).write.option("compression", "zstd").option("parquet.enable.dictionary", "false").parquet(f"{folder}/blocks")
+            for r in range(batch.num_rows):
+                doc_ids, lengths, wide, raw = (batch.column(c)[r].as_py() for c in range(4, 8))
+                own = write_block(np.frombuffer(doc_ids, dtype="<i8"), np.frombuffer(lengths, dtype="<u4"), told.value[_ids_of(wide, raw)])
+                block = pa.array([own], type=pa.binary())
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(r, 1) for c in range(4)), block], schema=arrow)
+
+    _save(draft.mapInArrow(run, BLOCKS), f"{folder}/blocks")
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/draft")
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def read(spark: SparkSession, folder: str, digests: bool = False) -> DataFrame:

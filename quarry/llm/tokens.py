@@ -12,13 +12,19 @@ import os
 import re
 from array import array
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from quarry.llm.common import coded, slices
+
 #: The characters of Unicode's White_Space property, by code point.
 WHITE_SPACE = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 #: Bytes that stand for themselves in a byte-level vocabulary; the others follow from character 256 on.
 PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 #: A run of white space with the run of other characters after it.
 PIECES = re.compile(f"[{WHITE_SPACE}]*[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+")
-#: Runs of other characters alone, for a tokenizer that drops white space.
+#: Runs of other characters alone.
 WORDS = re.compile(f"[^{WHITE_SPACE}]+")
 
 
@@ -41,14 +47,50 @@ def merge_ranks(path: str):
     return tiktoken.Encoding("pieces", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+def ended_ranks(path: str):
+    """For a byte-level vocabulary whose words end in `</w>`: a function from a word's bytes to its ids, the byte that
+    stands for each last byte, and the ids of a single mark by itself.
+
+    The last byte of a word is a symbol of its own kind. Words of Latin-1 letters leave enough bytes unused to give each
+    last byte a stand-in, so that the merges become those of plain bytes. None unless the ids follow the merges' order.
+    """
+    import tiktoken
+
+    file = json.load(open(path, encoding="utf-8"))
+    model = file["model"]
+    if model["type"] != "BPE" or model["end_of_word_suffix"] != "</w>":
+        return None
+    vocab, pairs = model["vocab"], [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    if any(vocab.get(a + b) != 512 + i for i, (a, b) in enumerate(pairs)):
+        return None
+    letters, trails = range(ord("a"), ord("z") + 1), range(0x9F, 0xC0)
+    ends = {b: bytes([b - 32]) for b in letters} | {b: bytes([b - 0xA0 if b > 0x9F else 0x20]) for b in trails}
+    used = {*letters, *trails, 0xC2, 0xC3}
+    plain = {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in PLAIN)} | {chr(b): b for b in PLAIN}
+    ranks = {}
+    for token, i in vocab.items():
+        ended = token.endswith("</w>")
+        raw = [plain.get(c) for c in (token[:-4] if ended else token)]
+        if raw and used.issuperset(raw) and not (ended and raw[-1] not in ends):
+            ranks[bytes(raw[:-1]) + ends[raw[-1]] if ended else bytes(raw)] = i
+    core = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})
+    marks = {m: array("I", [vocab[m + "</w>"]]).tobytes() for m in ".,;:!?" if m + "</w>" in vocab}
+    return core._encode_single_piece, ends, marks
+
+
 class PieceEncoder:
-    """encode(texts) -> one bytes object of little-endian uint32 ids for each text.
+    """Encodes Arrow string arrays. Texts are cut at single spaces and line feeds, distinct pieces are found by Arrow's
+    dictionary encoding, looked up in a memo or encoded once, and the ids are put together by index arithmetic.
 
-    Memory: two generations of at most `keep` pieces of up to `longest` characters; longer pieces are encoded but not
-    kept.
+    A text in which white space precedes a space or line feed (or that holds the mark put before first pieces) has
+    cuts that are not safe for a tokenizer that keeps white space; it is cut by pattern instead. Memory: two generations
+    of at most `keep` pieces of up to `longest` characters (longer ones are encoded but not kept) and arrays for
+    `at_once` characters of text, or one text if that is longer.
     """
 
-    def __init__(self, path: str, drops_space: bool = False, keep: int = 400_000, longest: int = 48):
+    FIRST = "\x01"
+
+    def __init__(self, path: str, drops_space: bool = False, keep: int = 300_000, longest: int = 48, at_once: int = 6_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -56,52 +98,119 @@ class PieceEncoder:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.drops_space, self.keep, self.longest, self.at_once = drops_space, keep, longest, at_once
         self.plain = None if drops_space else merge_ranks(path)
-        self.split = (WORDS if drops_space else PIECES).findall
-        self.keep, self.longest = keep, longest
+        self.ended = ended_ranks(path) if drops_space else None
+        if self.plain:
+            self.sizes = np.array([len(x) for x in byte_table(self.tokenizer)], dtype=np.int64)
         self.memo: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def learn(self, lists: list[list[str]]) -> list[str]:
-        """Puts every piece of the lists into the memo; returns those that must not stay."""
-        missing = set().union(*lists).difference(self.memo)
-        if not missing:
-            return []
+    def _fresh(self, keys: list[str]) -> list[bytes]:
+        """Ids of pieces (by key) that no memo holds."""
+        if self.drops_space:
+            return self._fresh_words(keys)
+        done: list[bytes | None] = [None] * len(keys)
+        if self.plain:
+            # pieces that begin with a space or line feed and end in another character divide again where they are
+            # joined, so many are encoded as one text; the bytes of the ids tell where each ends
+            special, space = self.special, WHITE_SPACE
+            hard = any(x in " ".join(keys) for x in special)
+            easy = [i for i, k in enumerate(keys) if k and len(k) <= 200 and k[0] != self.FIRST and k[-1] not in space and not (hard and any(x in k for x in special))]
+            for at in range(0, len(easy), 2000):
+                part = easy[at : at + 2000]
+                texts = [k if k[0] == "\n" else " " + k for k in map(keys.__getitem__, part)]
+                ids = np.array(self.plain.encode_ordinary("".join(texts)), dtype="<u4")
+                ends = np.cumsum([len(t) if t.isascii() else len(t.encode()) for t in texts])
+                cuts = (4 * (np.searchsorted(np.cumsum(self.sizes[ids]), ends) + 1)).tolist()
+                raw, before = ids.tobytes(), 0
+                for i, end in zip(part, cuts):
+                    done[i] = raw[before:end]
+                    before = end
+        rest = [i for i, d in enumerate(done) if d is None]
+        if rest:
+            texts = [k[1:] if k[:1] == self.FIRST else k if k[:1] == "\n" else " " + k for k in map(keys.__getitem__, rest)]
+            for i, e in zip(rest, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+                done[i] = array("I", e.ids).tobytes()
+        return done
+
+    def _fresh_words(self, keys: list[str]) -> list[bytes]:
+        """Ids of words without white space. Words of Latin-1 letters, with at most one mark after them, are merged by
+        the faster library; the tokenizers library encodes the others."""
+        done: list[bytes | None] = [None] * len(keys)
+        if self.ended:
+            one, ends, marks = self.ended
+            for i, k in enumerate(keys):
+                tail = marks.get(k[-1:])
+                core = k[:-1] if tail else k
+                if core.isalpha() and len(k) <= 60 and (k.isascii() or max(k) < "\u0100"):
+                    b = core.lower().encode()
+                    last = ends.get(b[-1])
+                    if last is not None:
+                        done[i] = array("I", one(b[:-1] + last)).tobytes() + (tail or b"")
+        rest = [i for i, d in enumerate(done) if d is None]
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([keys[i] for i in rest], add_special_tokens=False)):
+            done[i] = array("I", e.ids).tobytes()
+        return done
+
+    def pieces(self, keys: list[str]) -> list[bytes]:
+        """Ids of each of a list of distinct keys."""
         if len(self.memo) > self.keep:
             self.old, self.memo = self.memo, {}
-            missing = set().union(*lists)
-        memo, old = self.memo, self.old
-        new = []
-        for piece in missing:
-            if (ids := old.get(piece)) is None:
-                new.append(piece)
-            else:
-                memo[piece] = ids
-        rest = new
-        if self.plain:
-            rest = []
-            ordinary, special = self.plain.encode_ordinary, self.special
-            for piece in new:
-                if len(piece) > 200 or any(x in piece for x in special):
-                    rest.append(piece)
+        got = list(map(self.memo.get, keys))
+        old, new = self.old, []
+        for i, ids in enumerate(got):
+            if ids is None:
+                ids = old.get(keys[i])
+                if ids is None:
+                    new.append(i)
                 else:
-                    memo[piece] = array("I", ordinary(piece)).tobytes()
-        for at in range(0, len(rest), 20_000):
-            part = rest[at : at + 20_000]
-            for piece, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                memo[piece] = array("I", e.ids).tobytes()
-        return [piece for piece in new if len(piece) > self.longest]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for at in range(0, len(texts), 256):
-            lists = [self.split(t) for t in texts[at : at + 256]]
-            long = self.learn(lists)
-            of = self.memo.__getitem__
-            out += [b"".join(map(of, pieces)) for pieces in lists]
-            for piece in long:
-                del self.memo[piece]
-        return out
+                    got[i] = self.memo[keys[i]] = ids
+        if new:
+            names = [keys[i] for i in new]
+            for i, k, ids in zip(new, names, self._fresh(names)):
+                got[i] = ids
+                if len(k) <= self.longest:
+                    self.memo[k] = ids
+        return got
+
+    def _cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """Codes of all pieces of the texts, where each text's begin, and the distinct keys."""
+        if self.drops_space:
+            return coded(pc.split_pattern(pc.replace_substring(texts, "\n", " "), " "))
+        unsafe = pc.match_substring_regex(texts, f"[{WHITE_SPACE}][ \n]|{self.FIRST}")
+        lists = pc.split_pattern(pc.replace_substring(pc.binary_join_element_wise(self.FIRST, texts, ""), "\n", " \n"), " ")
+        if pc.any(unsafe).as_py():
+            # the pattern keeps a space before a piece; keys leave one out
+            rows, odd = lists.to_pylist(), unsafe.to_pylist()
+            for i, t in enumerate(texts.to_pylist()):
+                if odd[i]:
+                    rows[i] = [p[1:] if p[0] == " " and p[1:2] != "\n" else p if p[0] == "\n" else self.FIRST + p for p in PIECES.findall(t)]
+            lists = pa.array(rows, type=pa.list_(pa.string()))
+        return coded(lists)
+
+    def encode(self, texts: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids (uint32) of the texts, one after the other, and where each text's begin (one place more than texts).
+        Null counts as empty."""
+        ids, ends, before = [], [np.zeros(1, dtype=np.int64)], 0
+        for part in slices(texts if isinstance(texts, pa.Array) else pa.array(texts, type=pa.string()), self.at_once):
+            codes, offsets, keys = self._cut(part)
+            got = self.pieces(keys)
+            flat = np.frombuffer(b"".join(got), dtype="<u4")
+            size = np.fromiter(map(len, got), dtype=np.int64, count=len(got)) // 4
+            start = np.cumsum(size) - size
+            each = size[codes]
+            upto = np.concatenate([[0], np.cumsum(each)])
+            ids.append(flat[np.repeat(start[codes] - upto[:-1], each) + np.arange(upto[-1])])
+            ends.append(upto[offsets[1:]] + before)
+            before += int(upto[-1])
+        return np.concatenate(ids) if ids else np.zeros(0, dtype="<u4"), np.concatenate(ends)
+
+    def encode_bytes(self, texts: pa.Array | list[str]) -> list[bytes]:
+        """The ids of each text as little-endian bytes."""
+        ids, ends = self.encode(texts)
+        raw, at = ids.tobytes(), (4 * ends).tolist()
+        return [raw[a:b] for a, b in zip(at, at[1:])]
 
 
 _encoders: dict[tuple, PieceEncoder] = {}
