@@ -73,13 +73,13 @@ class ChunkEncoder:
         missing = []
         for c in dict.fromkeys(wanted):
             if c in self.new:
-                self.reused += 1
-            elif c in self.old:
+                continue
+            if c in self.old:
                 self.new[c] = self.old[c]
                 self.held += len(c)
-                self.reused += 1
             else:
                 missing.append(c)
+        self.reused += len(wanted) - len(missing)
         if not missing:
             return
         parts = []

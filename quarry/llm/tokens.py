@@ -185,7 +185,7 @@ class PieceEncoder:
             rows, odd = lists.to_pylist(), unsafe.to_pylist()
             for i, t in enumerate(texts.to_pylist()):
                 if odd[i]:
-                    rows[i] = [p[1:] if p[0] == " " and p[1:2] != "\n" else p if p[0] == "\n" else self.FIRST + p for p in PIECES.findall(t)]
+                    rows[i] = [p[1:] if p[0] == " " and p[1:2] not in ("\n", self.FIRST) else p if p[0] == "\n" else self.FIRST + p for p in PIECES.findall(t)]
             lists = pa.array(rows, type=pa.list_(pa.string()))
         return coded(lists)
 

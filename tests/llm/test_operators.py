@@ -1,0 +1,416 @@
+"""Each operator against a brute-force version on small tables with nulls, empties, ties, repeats and clashing columns."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from quarry.llm import bpe, html_extract, language_id, licenses, packing, quality, simhash, tokenio, tokens, topk, unigram
+from quarry.llm.tokens import tokenizer_path
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LONG = " ".join(f"word{i % 97} and the {i}th of them." for i in range(6000))
+TEXTS = [
+    None, "", " ", "\n\n\t", "a", "The quick brown fox jumps over the lazy dog near the river bank today.",
+    "The quick brown fox jumps over the lazy dog near the river bank today.", "the QUICK brown fox jumps over the lazy dog near the river bank today!",
+    "Élan vital   and\x1cmore　text <|endoftext|> tail  ", "x" * 700, LONG, "one two three four five six seven eight nine " * 8,
+    "line one here\nline one here\nother\n\n other \nline one here", "numbers 1 22 333 #*$%&|<>", "é combining ́start \U0001f600 emoji\r\nwin",
+    "Released under the MIT License.", "ta ta ta ta", "\x01mark", " lead", "trail ", "a  b", "a \n b", "'s 'll don't", "0", "ßẞ İı",
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i * 3, t, ["en", "fr", None][i % 3], f"s{i}", 7) for i, t in enumerate(TEXTS)]
+    rows.append(rows[5])
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, score string, kept int").repartition(3)
+
+
+def empty(spark):
+    return spark.createDataFrame([], "doc_id long, text string, lang string")
+
+
+def rows_of(docs):
+    return [(r["doc_id"], r["text"] or "") for r in docs.collect()]
+
+
+def library(name):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tokenizer_path(name))
+
+
+@pytest.mark.parametrize("name,drops", [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)])
+def test_piece_encoder_is_the_library(name, drops):
+    import random
+
+    rnd = random.Random(5)
+    parts = ["a", "The ", " ", "  ", "\n", "\t", "\x0b", "\x1c", "\x85", " ", "　", "'s", "<|endoftext|>", "<|startoftext|>", "é", "é", "ß", "Σ", "中文", "12", "%%%", "!!", "\U0001f600", "İ", "ﬁ", "\x01", "word", " word", ".\nNext"]
+    texts = [t or "" for t in TEXTS] + ["".join(rnd.choice(parts) for _ in range(rnd.randrange(60))) for _ in range(600)]
+    own = tokens.PieceEncoder(tokenizer_path(name), drops, keep=50, longest=8, at_once=500)
+    want = [e.ids for e in library(name).encode_batch(texts, add_special_tokens=False)]
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u4").tolist() for x in own.encode_bytes(texts)] == want
+
+
+@pytest.mark.parametrize("bits,least,most", [(3, 4, 32), (9, 128, 4096)])
+def test_chunks_are_repaired_to_the_library(bits, least, most):
+    texts = [t or "" for t in TEXTS] * 2
+    own = bpe.ChunkEncoder(tokenizer_path("byte_bpe_50k.json"), bits, least, most)
+    want = [e.ids for e in library("byte_bpe_50k.json").encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == want
+    assert own.reused > 0
+    assert all("".join(own.chunks(t)) == t for t in texts)
+
+
+def test_op4_encode_and_decode(spark, docs):
+    lib = library("byte_bpe_50k.json")
+    got = {(r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.encode_digests(docs).collect()}
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    want = set()
+    for i, t in rows_of(docs):
+        ids = lib.encode(t, add_special_tokens=False).ids
+        want.add((i, len(ids), sha(",".join(map(str, ids))), sha(lib.decode(ids, skip_special_tokens=False))))
+    assert got == want and bpe.encode_digests(docs).count() == docs.count()
+    assert bpe.encode_digests(empty(spark)).count() == 0
+    for r in bpe.encode_documents(docs).collect():
+        assert r.decoded == dict(rows_of(docs))[r.doc_id]
+
+
+def test_op7_files(spark, docs, tmp_path):
+    lib = library("byte_bpe_50k.json")
+    folder = f"file://{tmp_path}/store"
+    tokenio.write(docs, folder, block=5000)
+    got = sorted((r.doc_id, r.start, r.n_tokens, tuple(r.ids)) for r in tokenio.read(spark, folder).collect())
+    start, want = 0, []
+    for i, t in sorted(rows_of(docs)):
+        ids = lib.encode(t, add_special_tokens=False).ids + [0]
+        want.append((i, start, len(ids), tuple(ids)))
+        start += len(ids)
+    assert got == want
+    digests = {(r.doc_id, r.start, r.ids_crc32) for r in tokenio.round_trip(docs).collect()}
+    assert digests == {(i, s, zlib.crc32(np.array(ids, "<u4").tobytes())) for i, s, _, ids in want}
+    assert tokenio.round_trip(empty(spark)).count() == 0
+    with_null = spark.createDataFrame([(None, "b"), (2, None), (1, "a")], "doc_id long, text string")
+    assert [r.doc_id for r in sorted(tokenio.round_trip(with_null).collect(), key=lambda r: r.start)] == [None, 1, 2]
+
+
+def test_control_bytes_round_trip():
+    rnd = np.random.default_rng(1)
+    for n in (0, 1, 3, 4, 5, 1000):
+        v = (rnd.integers(0, 2**32, n, dtype=np.uint64) >> rnd.integers(0, 32, n, dtype=np.uint64)).astype(np.uint32)
+        assert (tokenio.unpack(*tokenio.pack(v), n) == v).all()
+        ids, lengths, values = tokenio.read_block(tokenio.write_block([5, -3], [n, 0], v))
+        assert ids.tolist() == [5, -3] and lengths.tolist() == [n, 0] and (values == v).all()
+
+
+def test_op8_packing(spark, docs):
+    lib, most = library("word_bpe_49k.json"), 2048
+    out = packing.pack(docs).collect()
+    want = Counter()
+    for i, t in rows_of(docs):
+        ids = lib.encode(t, add_special_tokens=False).ids + [0]
+        for k in range(0, len(ids), most):
+            want[(i, k // most, k, len(ids[k : k + most]), zlib.crc32(np.array(ids[k : k + most], "<u4").tobytes()))] += 1
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in out) == want
+    full: dict = {}
+    for r in out:
+        full.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for spans in full.values():
+        at = 0
+        for offset, length in sorted(spans):
+            assert offset == at
+            at += length
+        assert at <= most
+    assert packing.pack(empty(spark)).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_packing_plan_places_every_piece(seed):
+    rnd, most = np.random.default_rng(seed), 64
+    lengths = np.minimum(most, 1 + rnd.geometric([0.05, 0.3, 0.02, 0.1][seed], 3000))
+    counts = np.bincount(lengths, minlength=most + 1)
+    plan = packing.plan(counts, most)
+    ranks = np.zeros(len(lengths), dtype=np.int64)
+    for v in range(1, most + 1):
+        at = np.flatnonzero(lengths == v)
+        ranks[at] = np.arange(len(at))
+    sequence, offset = plan.at(lengths, ranks)
+    cells = {(s, o + k) for s, o, n in zip(sequence.tolist(), offset.tolist(), lengths.tolist()) for k in range(n)}
+    assert len(cells) == lengths.sum() and max(c for _, c in cells) < most
+    bound = -(-int(lengths.sum()) // most)
+    assert bound <= plan.n_sequences <= bound * 1.02 + 1
+
+
+def brute_fingerprint(text):
+    import xxhash
+
+    w = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text))
+    if not w:
+        return 0
+    h = [xxhash.xxh64_intdigest(" ".join(w[i : i + 3]).encode(), seed=42) for i in range(max(1, len(w) - 2))]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_op5_simhash(spark, docs):
+    base = LONG.split()[:400]
+    near = [" ".join([*base[:k], f"changed{k}", *base[k + 1 :]]) for k in range(0, 400, 9)] + [" ".join(base)] * 3
+    many = docs.select("doc_id", "text").union(spark.createDataFrame([(1000 + i, t) for i, t in enumerate(near)], "doc_id long, text string"))
+    rows = [(r.doc_id, brute_fingerprint(r.text or "")) for r in many.collect()]
+    parent = {i: i for i, _ in rows}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in rows:
+        for j, b in rows:
+            if (a ^ b).bit_count() <= 2:
+                x, y = root(i), root(j)
+                parent[max(x, y)] = min(x, y)
+    got = {(r.doc_id, r.fingerprint, r.component_id) for r in simhash.group(many).collect()}
+    assert got == {(i, f"{f:016x}", root(i)) for i, f in rows}
+    assert simhash.group(empty(spark)).count() == 0
+
+
+def test_covering_masks_meet_every_pair():
+    tables = simhash.masks()
+    for i in range(64):
+        for j in range(i, 64):
+            d = 1 << i | 1 << j
+            assert any(not d & m for m in tables)
+
+
+def test_long_chains_become_one_component(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
+    got = {r.node: r.root for r in simhash.components(edges).collect()}
+    assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
+
+
+def test_op6_top_k(spark):
+    rnd = np.random.default_rng(3)
+    vecs = [(i, np.round(rnd.normal(size=8), 1).tolist()) for i in range(400)]
+    vecs += [(400, None), (401, [None] * 8), (402, [float("nan")] * 8), (403, [float("inf")] * 8), (404, [0.0] * 8), (450, [0.0] * 8), (None, [0.1] * 8), (405, [1.0, 2.0]), (500, vecs[50][1]), (501, vecs[50][1]), (501, vecs[50][1])]
+    df = spark.createDataFrame([(i, v, 1) for i, v in vecs], "vec_id long, embedding array<float>, rank int").repartition(3)
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(df, df.filter("vec_id % 50 = 0"), k=5, size=64).collect())
+    good = [(i, np.floor(256 * np.array(v, dtype=np.float32).astype(float)).astype(int)) for i, v in vecs if i is not None and v is not None and None not in v and np.isfinite(v).all()]
+    want = []
+    for q, a in good:
+        if q % 50 == 0:
+            s = sorted((-int(a @ b), i) for i, b in good if i != q and len(b) == len(a))[:5]
+            want += [(q, r, i, -x) for r, (x, i) in enumerate(s, 1)]
+    assert got == sorted(want)
+    none = df.filter("vec_id < 0")
+    assert topk.top_k(none, none).count() == 0 and topk.top_k(df, none).count() == 0
+
+
+def test_threshold_stops_early():
+    rnd = np.random.default_rng(0)
+    v = rnd.integers(-20, 20, (2000, 3))
+    v[7] = 100
+    ids, scores = topk.SortedLists(np.arange(2000), v).search(np.array([1, 1, 1]), None, 1)
+    assert ids.tolist() == [7] and scores.tolist() == [300]
+
+
+def test_op3_base_rules(spark, docs):
+    got = sorted(tuple(r)[:7] for r in quality.assess(docs).collect())
+    want = []
+    for i, t in rows_of(docs):
+        w = WORD.findall(t)
+        windows = [tuple(w[k : k + 8]) for k in range(len(w) - 7)]
+        twice = Counter(windows)
+        n_repeat = len({j for k, x in enumerate(windows) if twice[x] > 1 for j in range(k, k + 8)})
+        seen, dup = set(), 0
+        for line in t.split("\n"):
+            if WORD.search(line):
+                dup += line in seen
+                seen.add(line)
+        want.append((i, len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), dup, n_repeat, len(w) < 20 or 100 * n_repeat > 30 * len(w)))
+    assert got == sorted(want)
+    assert quality.assess(empty(spark)).count() == 0
+
+
+def test_op3_rejects_noise_and_keeps_prose(spark):
+    import random
+
+    rnd = random.Random(2)
+    vocab = ["".join(rnd.choice(["ba", "ko", "ri", "ten", "lu", "sha"]) for _ in range(rnd.randrange(1, 4))) for _ in range(300)]
+    rows = [(i, " ".join(rnd.choice(vocab) for _ in range(150)), "en") for i in range(300)]
+    rows += [(900 + i, " ".join("".join(rnd.choice("qxzjwv#%") for _ in range(7)) for _ in range(150)), "en") for i in range(5)]
+    kept = {r.doc_id: r.kept for r in quality.assess(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert not any(kept[900 + i] for i in range(5)) and sum(kept[i] for i in range(300)) >= 297
+
+
+def test_kneser_ney_is_a_distribution(spark):
+    text = "aa ab ba abc abc abb cab " * 3
+    model = quality.fit(spark.createDataFrame([(text,)], "text string"))
+    # after each context the characters, the end and an unknown character have probability one in all
+    for context in ("", "a", "ab", "zz"):
+        before = _partial(model, context)
+        total = sum(np.exp(_partial(model, context + c) - before) for c in "abcz")
+        total += np.exp(model.score([context])[0][0] - before)
+        assert total == pytest.approx(1, abs=1e-3)
+
+
+def _partial(model, text):
+    """Log probability of the characters without the end: by scoring with the end's term removed."""
+    codes, place, _ = quality._codes([text])
+    hashes = quality._hashes(codes)
+    out = 0.0
+    for i in range(1, len(codes) - 1):
+        p, n = 0.0, min(quality.ORDER, i + 1)
+        while True:
+            found, v = model._find(model.grams[n], hashes[n][i : i + 1])
+            if found[0]:
+                p += v[0]
+                break
+            if n == 1:
+                p += model.unknown
+                break
+            known, w = model._find(model.backoff[n], hashes[n - 1][i - 1 : i])
+            p += w[0] if known[0] else 0.0
+            n -= 1
+        out += p
+    return out
+
+
+def test_op2_language(spark, docs):
+    import random
+
+    rnd = random.Random(4)
+    words = {"en": ["the", "and", "river", "house", "walking", "thought"], "fr": ["le", "et", "maison", "rivière", "pensée", "avec"], "de": ["der", "und", "haus", "fluss", "gedanke", "über"]}
+    rows = [(i, " ".join(rnd.choice(words[lang]) for _ in range(12)), lang) for i in range(400) for lang in [["en", "fr", "de"][i % 3]]]
+    rows += [(1000, None, "en"), (1001, "123 !!", "en"), (1002, "²", "fr"), (1003, "", None), (1004, "rivières pensées", None), (1005, "zzzz qqqq", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in language_id.identify(df).collect()}
+    assert len(got) == len(rows)
+    for i, _, lang in rows[:400]:
+        assert got[i].lang_pred == lang and 0 <= got[i].score <= 1
+        assert got[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2)
+    assert {got[i].lang_pred for i in (1000, 1001, 1002, 1003)} == {"und"}
+    assert got[1004].lang_pred == "fr" and got[1005].lang_pred in words
+    assert language_id.identify(docs).count() == docs.count()
+    assert language_id.identify(empty(spark)).count() == 0
+
+
+def test_op9_licenses(spark, docs):
+    apache = "Licensed under the Apache License, Version 2.0."
+    rows = [(1, f"{LONG[:900]}\n{apache}\n{LONG[:900]}"), (2, apache.upper().replace(",", " ;")), (3, "licensed under the apache"), (4, "all rights\nreserved and RELEASED under the mit license"), (5, None), (6, "")]
+    rows += [(7, "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation either version")]
+    rows += [(8, "Permission is hereby granted, free of charge, to any human obtaining a copy of this software and associated documentation files")]
+    got = {r.doc_id: r.licenses for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "apache-2.0", 2: "apache-2.0", 3: "", 4: "mit,all-rights-reserved", 5: "", 6: "", 7: "gpl-text", 8: ""}
+    assert licenses.scan(docs).count() == docs.count()
+    assert licenses.scan(empty(spark)).count() == 0
+    assert licenses.scan(docs, templates={}).filter("n_licenses > 0").count() == 0
+
+
+def test_op9_against_brute_force_containment(spark):
+    import random
+
+    rnd = random.Random(9)
+    split = lambda s: [w for w in re.split(r"[^\w]|_", s.lower()) if w]
+    rows = []
+    for i in range(120):
+        name, text = rnd.choice(list(licenses.TEMPLATES.items()))
+        w = text.split()
+        if i % 3 == 0 and len(w) > 6:
+            w[rnd.randrange(len(w))] = "altered"
+        rows.append((i, " ".join(rnd.choices(LONG.split(), k=rnd.randrange(60)) + w + rnd.choices(LONG.split(), k=rnd.randrange(60)))))
+    got = {r.doc_id: set(filter(None, r.licenses.split(","))) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        w, want = split(text), set()
+        for name, t in licenses.TEMPLATES.items():
+            tw = split(t)
+            k = min(5, len(t.split()))
+            own = {tuple(tw[j : j + k]) for j in range(len(tw) - k + 1)}
+            have = {tuple(w[j : j + k]) for j in range(len(w) - k + 1)}
+            if len(own & have) / len(own) >= 0.8:
+                want.add(name)
+        assert got[i] == want, text
+
+
+def test_op9_plan_is_native(spark):
+    plan = licenses.scan(spark.range(9).selectExpr("id as doc_id", "cast(id as string) as text"))._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow|Exchange", plan)
+
+
+def test_op10_unigram(spark, docs):
+    scores = unigram.vocabulary(tokenizer_path("piece_bpe_32k.model"))
+    low = min(scores.values()) - 10
+
+    def brute(word):
+        best = [(0.0, 0)]
+        for e in range(1, len(word) + 1):
+            c = []
+            for b in range(max(0, e - 20), e):
+                piece = word[b:e]
+                if piece in scores:
+                    c.append((best[b][0] + scores[piece], -best[b][1] - 1))
+                elif e - b == 1:
+                    c.append((best[b][0] + low, -best[b][1] - len(piece.encode())))
+            top = max(c)
+            best.append((top[0], -top[1]))
+        return best[-1][1]
+
+    got = {r.doc_id: (r.n_pretokens, r.n_tokens) for r in unigram.count_tokens(docs).collect()}
+    for i, t in rows_of(docs):
+        w = tokens.WORDS.findall(t)
+        assert got[i] == (len(w), sum(brute("▁" + x) for x in w))
+    small = unigram.TrieCounter(scores, keep=40)
+    words = sorted(set(LONG.split()))
+    assert [small.tokens([w]) for w in words] == [brute("▁" + w) for w in words]
+    assert unigram.count_tokens(empty(spark)).count() == 0
+
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href="/x">Menu</a></li></ul></nav>
+<!-- ad --><div class="ad">Buy now</div><div class="cookie-notice">We use cookies</div>{main}<aside>Side</aside><form><label>Mail</label><button>Go</button></form>
+<section id="comments"><p>First!</p></section><footer>&copy; host</footer></body></html>"""
+
+
+def test_op1_articles(spark):
+    article = "<article><h1>Title &amp; more</h1><p><b>Some  text\n here<br><p>Second &lt;b&gt; &#233;&nbsp;x</p><div class='share'>Share</div></article>"
+    rows = [(1, "http://h.com/en/1", PAGE.format(main=article)), (2, "http://h.com/en/2?x=1", PAGE.format(main=article)), (3, "http://h.com/en/2", None), (4, None, PAGE.format(main=article)), (5, "http://h.com/en/9", ""), (6, "http://h.com/en/9", "plain < text > here"), (6, "http://h.com/en/9", "plain < text > here")]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, text string").repartition(2)
+    got = sorted(((r.page_id, r.text, r.n_chars) for r in html_extract.extract(df, parts=3).collect()))
+    want = "Title & more\nSome text here\nSecond <b> é x"
+    assert got[0] == (1, want, len(want)) and got[1][1] == want and got[3][1] == want
+    assert got[2] == (3, "", 0) and got[4] == (5, "", 0) and len(got) == len(rows)
+    assert html_extract.extract(df.limit(0)).count() == 0
+
+
+def test_op1_deletes_lines_shared_with_the_nearest_page(spark):
+    page = lambda body: f"<html><body><div>Site name</div><div>All topics</div>{body}<div>Imprint line</div></body></html>"
+    rows = [(i, f"http://h.com/a/{i:02d}", page(f"<div>Story {i}</div><div>Only here {i * i}</div>")) for i in range(30)]
+    rows += [(100 + i, "http://copy.com/p", page("<div>Copy</div>")) for i in range(2)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for parts in (1, 2, 7):
+        got = {r.page_id: r.text for r in html_extract.extract(df, parts=parts).collect()}
+        assert all(got[i] == f"Story {i}\nOnly here {i * i}" for i in range(30))
+        assert got[100] == got[101] == "Site name\nAll topics\nCopy\nImprint line"
+
+
+def test_longest_common_subsequence():
+    import random
+
+    rnd = random.Random(1)
+
+    def length(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+            row = new
+        return row[-1]
+
+    for _ in range(400):
+        a, b = ([rnd.choice("abcde") for _ in range(rnd.randrange(12))] for _ in range(2))
+        got = html_extract.shared_lines(a, b)
+        assert len(got) == length(a, b)
+        it = iter(b)
+        assert all(a[i] in it for i in sorted(got))
