@@ -15,12 +15,13 @@ METRES_A_DEGREE = 111_195.0
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: float = SERVING) -> Column:
     """Great-circle distance in metres; null if a coordinate is null."""
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return 2 * radius * F.asin(F.sqrt(F.least(F.lit(1.0), F.greatest(F.lit(0.0), a))))
+    clamped = F.when(a > 1.0, 1.0).when(a < 0.0, 0.0).otherwise(a)
+    return 2 * radius * F.asin(F.sqrt(clamped))
 
 
 def decay(distance: Column, cap: float = 0.35, metres: float = 5000.0) -> Column:
     """cap * exp(-d / metres), the cap below one; null distance scores zero."""
-    return F.coalesce(min(0.99, cap) * F.exp(-F.greatest(F.lit(0.0), distance) / metres), F.lit(0.0))
+    return F.when(distance.isNotNull(), min(0.99, cap) * F.exp(-F.greatest(F.lit(0.0), distance) / metres)).otherwise(0.0)
 
 
 def bbox(lat: Column, lon: Column, radius: float) -> tuple[Column, Column]:

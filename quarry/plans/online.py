@@ -73,7 +73,7 @@ def n2(spark, d):
     return S.available(S.displayed_exposures(pick("view"), pick("click")), "n2")
 
 
-@query("N4_select_idempotency", "with c as (select event_id, ts, concat(user_id, ':', event_id % 97) as key, event_id % 2 as payload from events where event_type = 'click') select event_id, case when payload = first_value(payload) over (partition by key order by ts, event_id) then 200 else 409 end as status from c")
+@query("N4_select_idempotency", "with c as (select event_id, ts, concat(user_id, ':', event_id % 97) as key, event_id % 2 as payload from events where event_type = 'click') select event_id, case when payload = first_value(payload) over (partition by key order by ts, event_id) then 200::bigint else 409::bigint end as status from c")
 def n4(spark, d):
     c = stream(spark, d).filter("event_type = 'click'").select("event_id", "ts", F.concat_ws(":", "user_id", F.col("event_id") % 97).alias("key"), (F.col("event_id") % 2).cast("string").alias("payload"))
     return S.available(S.select_status(c), "n4")
@@ -123,7 +123,7 @@ def g35(spark, d):
     return places(spark, d).select("poi_id", parsing.slip(n, typo)["kind"].alias("kind"))
 
 
-@query("K16_K17_phrase_evidence", f"with {PLACES_SQL} select poi_id, case when name = 'red bolt' then 2.0 else 0.0 end as hits from places where name in ('red bolt', 'old gear') and region_id <> 99")
+@query("K16_K17_phrase_evidence", f"with {PLACES_SQL} select poi_id, cast(case when name = 'red bolt' then 2 else 0 end as double) as hits from places where name in ('red bolt', 'old gear') and region_id <> 99")
 def k16(spark, d):
     p = places(spark, d).filter(F.col("name").isin("red bolt", "old gear"))
     e = parsing.match_evidence(F.lit("red bolt 7"), F.col("name"), F.col("street"), F.lit(""))

@@ -212,7 +212,7 @@ def h3(spark, d):
     return places(spark, d).select("poi_id", F.round(geo.decay(geo.haversine(F.lit(20.99), F.lit(105.81), F.col("lat"), F.col("lon"))), 6).alias("points"))
 
 
-@query("H4_polyline", f"with {ANCHORS_SQL} select anchor_id, 3 as n, 38.5 as lat, -120.2 as lon from anchors")
+@query("H4_polyline", f"with {ANCHORS_SQL} select anchor_id, 3 as n, cast(38.5 as double) as lat, cast(-120.2 as double) as lon from anchors")
 def h4(spark, d):
     points = geo.decode_polyline(F.lit("_p~iF~ps|U_ulLnnqC_mqNvxq`@"))
     return anchors(spark, d).select("anchor_id", F.size(points).alias("n"), F.get(points, F.lit(0))["lat"].alias("lat"), F.get(points, F.lit(0))["lon"].alias("lon"))
