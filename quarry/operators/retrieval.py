@@ -63,13 +63,24 @@ def ranked(scores: DataFrame, k: int | None = None, by: tuple[str, ...] = ("quer
     return out.filter(F.col("rank") <= k) if k else out
 
 
-def field_bm25(fields: dict[str, tuple[Index, float]], terms: DataFrame) -> DataFrame:
+class FieldIndex:
+    """Postings of several weighted text columns in one table, so that documents are read and counted once."""
+
+    def __init__(self, docs: DataFrame, id_col: str, weights: dict[str, float], tokens=simple_tokens):
+        cells = F.array(*[F.struct(F.lit(c).alias("field"), F.lit(float(w)).alias("weight"), tokens(F.col(c)).alias("toks")) for c, w in weights.items()])
+        rows = docs.select(F.col(id_col).alias("doc_id"), F.explode(cells).alias("c")).select("doc_id", "c.field", "c.weight", "c.toks", F.size("c.toks").alias("dl"))
+        self.stats = rows.groupBy("field").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+        self.postings = rows.select("doc_id", "field", "weight", "dl", F.explode("toks").alias("term")).groupBy("field", "term", "doc_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"), F.first("weight").alias("weight"))
+
+
+def field_bm25(index: FieldIndex, terms: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """Sum over fields of weight times BM25; candidates are documents with a query term in any field."""
-    parts = [bm25(index, terms).select("query_id", "doc_id", F.lit(name).alias("field"), (weight * F.col("score")).alias("score")) for name, (index, weight) in fields.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy("query_id", "doc_id").agg(F.round(F.sum("score"), 6).alias("score"))
+    hits = index.postings.join(terms.select("term").distinct(), "term", "left_semi")
+    df = hits.groupBy("field", "term").agg(F.count("*").alias("df"))
+    # a row for each field
+    weighted = terms.join(df, "term").join(F.broadcast(index.stats), "field").select("query_id", "field", "term", "qtf", "avgdl", idf(F.col("n_docs"), F.col("df")).alias("idf"))
+    tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    return hits.join(weighted, ["field", "term"]).groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("weight") * F.col("qtf") * F.col("idf") * tf), 6).alias("score"))
 
 
 def boosted(scores: DataFrame, queries: DataFrame, docs: DataFrame, name: float = 25.0, cover: float = 8.0) -> DataFrame:

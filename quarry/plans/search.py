@@ -82,7 +82,7 @@ qt as (select query_id, term, count(*) as qtf from (select query_id, unnest(stri
 post as (select 'name' as field, poi_id as doc_id, term, count(*) as tf from (select poi_id, unnest(string_split(name, ' ')) as term from places) group by 2, 3
   union all select 'street', poi_id, term, count(*) from (select poi_id, unnest(string_split(street, ' ')) as term from places) group by 2, 3),
 dl as (select field, doc_id, sum(tf) as dl from post group by 1, 2), st as (select field, count(*) as n, avg(dl) as avgdl from dl group by 1), fr as (select field, term, count(*) as df from post group by 1, 2),
-f as (select query_id, doc_id, field, round(sum(qtf * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) as s
+f as (select query_id, doc_id, field, sum(qtf * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) as s
   from qt join post using (term) join fr using (field, term) join dl using (field, doc_id) join st using (field) where query_id < 100 group by 1, 2, 3)"""
 
 
@@ -92,8 +92,7 @@ def field_queries(spark, d):
 
 
 def fields(spark, d):
-    p = places(spark, d)
-    return {"name": (retrieval.Index(p, "poi_id", "name"), 8.0), "street": (retrieval.Index(p, "poi_id", "street"), 3.0)}
+    return retrieval.FieldIndex(places(spark, d), "poi_id", {"name": 8.0, "street": 3.0})
 
 
 @query("K2_field_weighted_bm25", f"with {FIELDS_SQL} select query_id, doc_id, round(sum(s * case field when 'name' then 8 else 3 end), 6) as score from f group by 1, 2")
