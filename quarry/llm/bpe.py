@@ -5,12 +5,13 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterable
+from functools import cache
 
 import numpy as np
 from pyspark.sql import DataFrame
 
-from quarry.llm.common import map_rows, scattered
-from quarry.llm.tokens import WHITE_SPACE, byte_table, encoder, tokenizer_path
+from quarry.llm.common import map_rows, resident, scattered
+from quarry.llm.tokens import WHITE_SPACE, PieceEncoder, byte_table, tokenizer_path
 
 #: The step from a non-space to a white-space character, across which no token reaches.
 STEP = re.compile(f"(?<=[^{WHITE_SPACE}])(?=[{WHITE_SPACE}])")
@@ -27,7 +28,7 @@ class ChunkEncoder:
     """
 
     def __init__(self, path: str, bits: int = 9, least: int = 128, most: int = 4096, budget: int = 24_000_000):
-        self.pieces = encoder(path)
+        self.pieces = PieceEncoder(path)
         self.bits, self.least, self.most, self.budget = bits, least, most, budget
         # a gear table from a fixed multiplicative rule, the same in every process
         self.gear = ((np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.uint32)
@@ -146,24 +147,18 @@ def _ends(c: str) -> tuple[int, int]:
     return first, last
 
 
-_chunkers: dict[str, ChunkEncoder] = {}
-
-
 def chunk_encoder(path: str) -> ChunkEncoder:
-    if path not in _chunkers:
-        _chunkers[path] = ChunkEncoder(path)
-    return _chunkers[path]
-
-
-_tables: dict[str, tuple[list[bytes], list[bytes]]] = {}
+    """The worker's chunk encoder for a tokenizer file."""
+    return resident(("chunks", path), lambda: ChunkEncoder(path))
 
 
+@cache
 def tables(path: str) -> tuple[list[bytes], list[bytes]]:
     """For every id its bytes and its decimal digits with a comma."""
-    if path not in _tables:
-        raw = byte_table(encoder(path).tokenizer)
-        _tables[path] = raw, [b"%d," % i for i in range(len(raw))]
-    return _tables[path]
+    from tokenizers import Tokenizer
+
+    raw = byte_table(Tokenizer.from_file(path))
+    return raw, [b"%d," % i for i in range(len(raw))]
 
 
 def decode(ids: Iterable[int], path: str) -> str:

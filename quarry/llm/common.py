@@ -56,11 +56,24 @@ def arrow_schema(schema: str) -> pa.Schema:
     return to_arrow_schema(_parse_datatype_string(schema))
 
 
+_resident: dict = {}
+
+
+def resident(key: tuple, make: Callable):
+    """What a Python worker keeps from batch to batch and task to task: the encoder or scorer in use. Another key takes
+    its place, so a worker that serves several operators in turn never holds the caches of more than one."""
+    if key not in _resident:
+        _resident.clear()
+        pa.default_memory_pool().release_unused()
+        _resident[key] = make()
+    return _resident[key]
+
+
 #: The white-space characters that end a word.
 SPACES = "\t\n\x0b\x0c\r "
 
 
-def slices(texts: pa.Array, at_once: int = 12_000_000) -> Iterator[pa.Array]:
+def slices(texts: pa.Array, at_once: int = 6_000_000) -> Iterator[pa.Array]:
     """Runs of the texts of about `at_once` bytes each, null as empty."""
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64)
     group = (np.cumsum(sizes) - sizes) // at_once

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import arrow_schema, map_rows, scattered
+from quarry.llm.common import arrow_schema, map_rows, resident, scattered
 
 #: Runs of letters (digits and the underscore end a word).
 WORD = re.compile(r"[^\W\d_]+")
@@ -153,9 +153,6 @@ def fit(docs: DataFrame, max_words: int = 60_000) -> Model:
     return Model(sorted(totals), totals, known)
 
 
-_scorers: dict[str, Scorer] = {}
-
-
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, lang_pred, score). The score is the share of the posterior of the winning language, from the evidence of
     at most 20 words, between 0 and 1. Null text, text without a letter and a model without languages give `und` and 0.
@@ -164,10 +161,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     key = uuid.uuid4().hex
 
     def of(batch):
-        if key not in _scorers:
-            _scorers.clear()
-            _scorers[key] = Scorer(told.value)
-        scorer = _scorers[key]
+        scorer = resident(("scorer", key), lambda: Scorer(told.value))
         langs, preds, scores = scorer.model.langs, [], []
         for text in batch.column(1).to_pylist():
             words = words_of(text) if text else []

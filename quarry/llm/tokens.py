@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from quarry.llm.common import coded, slices
+from quarry.llm.common import coded, resident, slices
 
 #: The characters of Unicode's White_Space property, by code point.
 WHITE_SPACE = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
@@ -90,7 +90,7 @@ class PieceEncoder:
 
     FIRST = "\x01"
 
-    def __init__(self, path: str, drops_space: bool = False, keep: int = 300_000, longest: int = 48, at_once: int = 6_000_000):
+    def __init__(self, path: str, drops_space: bool = False, keep: int = 200_000, longest: int = 48, at_once: int = 6_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -213,15 +213,9 @@ class PieceEncoder:
         return [raw[a:b] for a, b in zip(at, at[1:])]
 
 
-_encoders: dict[tuple, PieceEncoder] = {}
-
-
 def encoder(path: str, drops_space: bool = False) -> PieceEncoder:
-    """One encoder for each tokenizer file and Python worker."""
-    key = (path, drops_space)
-    if key not in _encoders:
-        _encoders[key] = PieceEncoder(path, drops_space)
-    return _encoders[key]
+    """The worker's encoder for a tokenizer file."""
+    return resident(("pieces", path, drops_space), lambda: PieceEncoder(path, drops_space))
 
 
 def tokenizer_path(name: str) -> str:

@@ -13,7 +13,7 @@ from array import array
 
 from pyspark.sql import DataFrame
 
-from quarry.llm.common import map_rows, scattered
+from quarry.llm.common import map_rows, resident, scattered
 from quarry.llm.tokens import WORDS, tokenizer_path
 
 MARK = "▁"
@@ -34,7 +34,7 @@ class TrieCounter:
     found once from the nodes above it; the count at a pre-token's last node is its result. At most `keep` nodes and
     as many results are held; then both start anew."""
 
-    def __init__(self, scores: dict[str, float], keep: int = 700_000):
+    def __init__(self, scores: dict[str, float], keep: int = 500_000):
         self.scores, self.keep = scores, keep
         self.longest = max(map(len, scores), default=1)
         self.unknown = min(scores.values(), default=0.0) - 10
@@ -90,13 +90,9 @@ class TrieCounter:
         return sum(got)
 
 
-_counters: dict[str, TrieCounter] = {}
-
-
 def counter(path: str) -> TrieCounter:
-    if path not in _counters:
-        _counters[path] = TrieCounter(vocabulary(path))
-    return _counters[path]
+    """The worker's trie for a vocabulary file."""
+    return resident(("trie", path), lambda: TrieCounter(vocabulary(path)))
 
 
 def count_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
