@@ -277,3 +277,52 @@ def junk_reason(name: Column, province: Column) -> Column:
         out = out.when(name.rlike(pattern), reason)
     found = F.filter(F.array(*[F.when(name.rlike(rf"[\p{{Is{script}}}]"), F.lit(word)) for word, script in SCRIPTS.items()]), lambda s: s.isNotNull())
     return out.when((F.size(found) > 0) & ~name.rlike(r"\p{IsLatin}"), F.concat(F.lit("pure_non_latin_"), F.array_join(found, "_")))
+
+
+def scripts(c: Column) -> Column:
+    """Words of the non-Latin scripts in a text, sorted."""
+    found = F.array(*[F.when(c.rlike(rf"[\p{{Is{script}}}]"), F.lit(word)) for word, script in SCRIPTS.items()])
+    return F.filter(found, lambda s: s.isNotNull())
+
+
+# Street type words that a street's core does without, in any number.
+CORE_TYPES = ("duong", "pho", "ngo", "ngach", "hem", "quoc lo", "street")
+
+
+def street_core(c: Column) -> Column:
+    return F.regexp_replace(fold_words(c), "^(?:(?:" + "|".join(CORE_TYPES) + ") )+", "")
+
+
+# Descriptors that a name's stripped key does without.
+DESCRIPTORS = (r" (?:chi nhanh|co so|cn|cs) ?\d+.*$", r" (?:branch|store)(?: \d+)?$", r"^(?:cong ty|cua hang|he thong) ")
+
+
+def stripped_name_key(c: Column) -> Column:
+    key = fold_words(c)
+    for pattern in DESCRIPTORS:
+        key = F.regexp_replace(key, pattern, "")
+    return F.trim(key)
+
+
+# Forms of building codes, tried in order.
+BUILDING = (r"\b([a-z]{1,2}\d{1,2}[.\-]\d{1,2})\b", r"\b(?:toa|block|thap) ([a-z]?\d{1,3}[a-z]?)\b", r"\b([a-z]{1,3}\d{1,3}[a-z]?)\b", r"\b(ct\d{1,2})\b")
+
+
+def building_code(c: Column) -> Column:
+    return F.coalesce(*[F.nullif(F.regexp_extract(fold(c), p, 1), F.lit("")) for p in BUILDING])
+
+
+def phrase_within(phrase: Column, field: Column, slop: int) -> Column:
+    """The phrase's tokens stand in the field in order with at most `slop` other tokens between them all."""
+    n = F.size(phrase)
+
+    def at(s):
+        # after each phrase token, the place of its next occurrence behind the last one (0: none)
+        def step(pos, t):
+            rest = F.slice(field, pos + 1, F.greatest(F.size(field) - pos, F.lit(0)))
+            return F.when(pos < 0, -1).when(F.array_position(rest, t) > 0, pos + F.array_position(rest, t).cast("int")).otherwise(-1)
+
+        end = F.aggregate(F.slice(phrase, F.lit(2), F.greatest(n - 1, F.lit(0))), s, step)
+        return (F.get(field, s - 1) == F.get(phrase, F.lit(0))) & (end > 0) & (end - s + 1 - n <= slop)
+
+    return (n > 0) & (F.size(field) >= n) & F.exists(F.sequence(F.lit(1), F.greatest(F.size(field), F.lit(1))), at)

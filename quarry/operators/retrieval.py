@@ -181,3 +181,46 @@ def and_postings(terms: DataFrame, postings: DataFrame) -> DataFrame:
     need = terms.groupBy("query_id").agg(F.count("*").alias("need"))
     got = terms.join(postings.select("term", "doc_id"), "term").groupBy("query_id", "doc_id").agg(F.count("*").alias("got"))
     return got.join(need, "query_id").filter("got = need").select("query_id", "doc_id")
+
+
+def cells(vectors: DataFrame, centroids: list[tuple[int, list[float]]], probes: int, id_col: str, vec_col: str) -> DataFrame:
+    """(id, v, cell) for each of the `probes` nearest centroids by inner product, ties to the smaller number."""
+    table = F.array(*[F.struct(F.lit(i).alias("i"), F.array(*[F.lit(float(x)) for x in c]).alias("c")) for i, c in centroids])
+    dot = lambda c: F.aggregate(F.zip_with(F.col(vec_col), c, lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x)
+    near = F.slice(F.array_sort(F.transform(table, lambda t: F.struct((-dot(t["c"])).alias("d"), t["i"].alias("i")))), 1, probes)
+    placed = vectors.withColumn("_cells", F.transform(near, lambda x: x["i"]))
+    return placed.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"), F.explode("_cells").alias("cell"))
+
+
+def ann_top_k(vectors: DataFrame, queries: DataFrame, k: int, n_cells: int = 16, probes: int = 6) -> DataFrame:
+    """Approximate inner-product top-k over an inverted file: a vector lies in its nearest cell, a query visits `probes`.
+
+    The centroids are the `n_cells` vectors that come first in a hash order, the only sample; every vector is indexed.
+    vectors: doc_id, v; queries: query_id, q.
+    """
+    chosen = vectors.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n_cells).collect()  # n_cells rows
+    centroids = [(i, list(r["v"])) for i, r in enumerate(chosen)]
+    homes = cells(vectors, centroids, 1, "doc_id", "v").select(F.col("id").alias("doc_id"), "v", "cell")
+    asked = cells(queries, centroids, probes, "query_id", "q").select(F.col("id").alias("query_id"), F.col("v").alias("q"), "cell")
+    dot = F.aggregate(F.zip_with("q", "v", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    scored = homes.join(asked, "cell").select("query_id", "doc_id", F.round(dot, 6).alias("score"))
+    return ranked(scored, k)
+
+
+def fuzzy_terms(terms: DataFrame, vocabulary: DataFrame, edits: int = 1, prefix: int = 1, least: int = 4) -> DataFrame:
+    """(query_id, term, match): vocabulary terms of letters within `edits` of a query term, with an equal beginning as
+    the join key."""
+    q = terms.filter(F.col("term").rlike(rf"^\p{{L}}{{{least},}}$")).withColumn("_p", F.substring("term", 1, prefix))
+    v = vocabulary.select(F.col("term").alias("match"), F.substring("term", 1, prefix).alias("_p")).filter(F.abs(F.char_length("match")) >= least - edits)
+    near = (F.abs(F.char_length("term") - F.char_length("match")) <= edits) & (F.levenshtein("term", "match") <= edits)
+    return q.join(v, "_p").filter(near).select("query_id", "term", "match")
+
+
+def best_fields(index: FieldIndex, terms: DataFrame) -> DataFrame:
+    """The best single field's weighted BM25 of each document, in place of the sum over fields."""
+    hits = index.postings.join(terms.select("term").distinct(), "term", "left_semi")
+    df = hits.groupBy("field", "term").agg(F.count("*").alias("df"))
+    weighted = terms.join(df, "term").join(F.broadcast(index.stats), "field").select("query_id", "field", "term", "qtf", "avgdl", idf(F.col("n_docs"), F.col("df")).alias("idf"))
+    tf = F.col("tf") * 2.5 / (F.col("tf") + 1.5 * (0.25 + 0.75 * F.col("dl") / F.col("avgdl")))
+    by_field = hits.join(weighted, ["field", "term"]).groupBy("query_id", "doc_id", "field").agg(F.sum(F.col("weight") * F.col("qtf") * F.col("idf") * tf).alias("score"))
+    return by_field.groupBy("query_id", "doc_id").agg(F.round(F.max("score"), 6).alias("score"))
