@@ -138,9 +138,9 @@ def rank_of_target(scores: DataFrame, targets: DataFrame) -> DataFrame:
 
 def permute_cohort(ranked: DataFrame, cohort: Column, order: list[Column], by: str = "query_id") -> DataFrame:
     """Rows of the cohort trade places among the ranks they hold, in the given order; all others stay."""
-    rows = ranked.withColumn("_in", cohort)
+    rows = ranked.withColumn("_in", F.coalesce(cohort, F.lit(False)))
     w = Window.partitionBy(by, "_in")
-    rows = rows.withColumns({"_slot": F.row_number().over(w.orderBy("rank")), "_turn": F.row_number().over(w.orderBy(*order))})
-    slots = rows.filter("_in").select(by, F.col("_slot").alias("_turn"), F.col("rank").alias("_rank"))
-    moved = rows.filter("_in").join(slots, [by, "_turn"]).withColumn("rank", F.col("_rank")).drop("_rank")
-    return moved.unionByName(rows.filter(~F.coalesce(F.col("_in"), F.lit(False)))).drop("_in", "_slot", "_turn")
+    slot = F.row_number().over(w.orderBy("rank"))
+    rows = rows.withColumns({"_slot": slot, "_turn": F.when(F.col("_in"), F.row_number().over(w.orderBy(*order))).otherwise(slot)})
+    slots = rows.select(by, "_in", F.col("_slot").alias("_turn"), F.col("rank").alias("_rank"))
+    return rows.join(slots, [by, "_in", "_turn"]).withColumn("rank", F.col("_rank")).drop("_in", "_slot", "_turn", "_rank")
