@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quarry.functions import geo, parsing
 from quarry.functions import text as T
 from quarry.operators import checks, identity, metrics, ranking, retrieval, training
+from quarry.operators import lexical as clauses
 from quarry.operators import tables as R
 from quarry.plans import suggest
 from quarry.plans.registry import query
@@ -391,3 +392,146 @@ def g33(spark, d):
     # in the keyboard's rows s stands next to d, and q next to no letter of the other half
     typo = F.when(F.col("k") % 2 == 0, "das").otherwise("dap")
     return places(spark, d).select("poi_id", parsing.keyboard_slips(F.lit("dad"), typo).alias("near"))
+
+
+#: A stated query set of the clause queries: one of five forms for each anchor.
+ASKED_SQL = f"{PLACES_SQL}, {ANCHORS_SQL}, asked as (select anchor_id as query_id, case (anchor_id // 75) % 5 when 0 then 'red bolt' when 1 then 'small g' when 2 then '12/3 red bolt' when 3 then 'BV red' else 'gear 7' end as text, (anchor_id // 75) % 5 as form from anchors)"
+
+
+def clause_input(spark, d):
+    a = F.floor(F.col("anchor_id") / 75) % 5
+    text = F.when(a == 0, "red bolt").when(a == 1, "small g").when(a == 2, "12/3 red bolt").when(a == 3, "BV red").otherwise("gear 7")
+    docs = places(spark, d).withColumnRenamed("poi_id", "doc_id").withColumns({"housenumber": F.concat("housenumber", F.lit("/"), (F.col("k") % 4).cast("string")), "aliases": F.array("brand")})
+    q = clauses.prepare_queries(anchors(spark, d).select(F.col("anchor_id").alias("query_id"), text.alias("text")))
+    return q, clauses.prepare_docs(docs), clauses.Policy()
+
+
+@query("K4a_exact_and_prefix", f"with {ASKED_SQL} select query_id, poi_id as doc_id, 'exact' as clause, 20.0::double as score from asked join places on name = text union all select query_id, poi_id, 'leading_prefix', 10.0::double from asked join places on starts_with(name, lower(text)) where form <> 2")
+def k4a(spark, d):
+    q, docs, p = clause_input(spark, d)
+    return clauses.exact_clauses(q, docs, p).unionByName(clauses.prefix_clauses(q, docs, p))
+
+
+@query("K4b_phrase_clauses", f"with {ASKED_SQL} select query_id, poi_id as doc_id, 'phrase' as clause, 10.0::double as score from asked join places on name = text")
+def k4b2(spark, d):
+    return clauses.phrase_clauses(*clause_input(spark, d))
+
+
+@query("K4e_house_path", f"with {ASKED_SQL}, h as (select query_id, poi_id as doc_id from asked join places on housenumber = '12' and k % 4 = 3 where form = 2) select query_id, doc_id, 'housenumber_path' as clause, 20.0::double as score from h union all select query_id, doc_id, 'housenumber_exact', 16.0::double from h")
+def k4e(spark, d):
+    return clauses.house_clauses(*clause_input(spark, d))
+
+
+@query("K4f_number_bonus", f"with {ASKED_SQL} select query_id, poi_id as doc_id, 'number_bonus' as clause, 1.5::double as score from asked join places on (form = 2 and housenumber || '/' || cast(k % 4 as varchar) = '12/3') or (form = 4 and street = 'street 7')")
+def k4f(spark, d):
+    out = clauses.number_clauses(*clause_input(spark, d))
+    return out.dropDuplicates(["query_id", "doc_id"])
+
+
+@query("K4g_code_clauses", f"with {PLACES_SQL}, {ANCHORS_SQL} select anchor_id as query_id, poi_id as doc_id, 'code' as clause, 14.0::double as score from anchors join places on k % 50 = 20 and k % 7 = 2 union all select anchor_id, poi_id, 'code_prefix', 9.8::double from anchors join places on starts_with('s' || cast(k % 50 as varchar) || cast(k % 7 as varchar), 's202')")
+def k4g(spark, d):
+    label = F.concat(F.lit("S"), (F.col("k") % 50).cast("string"), F.lit("."), (F.col("k") % 7).cast("string"))
+    docs = clauses.prepare_docs(places(spark, d).withColumnRenamed("poi_id", "doc_id").withColumn("name", label))
+    q = clauses.prepare_queries(anchors(spark, d).select(F.col("anchor_id").alias("query_id"), F.lit("s20.2").alias("text")))
+    return clauses.code_clauses(q, docs, clauses.Policy()).withColumn("score", F.round("score", 6))
+
+
+@query("K4_K4d_K4h_lexical_search")
+def k4(spark, d):
+    a = anchors(spark, d)
+    text = F.when(F.floor(F.col("anchor_id") / 75) % 2 == 0, "red bolt").otherwise("bv small 12")
+    return clauses.search(places(spark, d).withColumnRenamed("poi_id", "doc_id"), a.select(F.col("anchor_id").alias("query_id"), text.alias("text")), cut=identity.reliable)
+
+
+@query("K5_clause_ablation", "select 4 as arms, true as whole_is_largest")
+def k5(spark, d):
+    """Arms with some boosts at zero: an arm can only lose score against the whole policy."""
+    q, docs, whole = clause_input(spark, d)
+    arms = {"whole": whole, "no_exact": clauses.Policy(exact=0, alias_exact=0), "no_phrase": clauses.Policy(phrase=0, phrase_address=0), "bare": clauses.Policy(exact=0, alias_exact=0, phrase=0, phrase_address=0)}
+    q, docs = identity.reliable(q), identity.reliable(docs)
+    rows = None
+    for name, p in arms.items():
+        s = clauses.exact_clauses(q, docs, p).unionByName(clauses.phrase_clauses(q, docs, p)).agg(F.sum("score").alias("s")).select(F.lit(name).alias("arm"), "s")
+        rows = s if rows is None else rows.unionByName(s)
+    top = F.max(F.when(F.col("arm") == "whole", F.col("s")))
+    return rows.agg(F.count("*").cast("int").alias("arms"), (F.max("s") == top).alias("whole_is_largest"))
+
+
+@query("G29_token_jaccard", f"with {PLACES_SQL}, n as (select distinct name from places) select a.name as a, b.name as b, round(len(list_intersect(string_split(a.name, ' '), string_split(b.name, ' '))) / len(list_distinct(list_concat(string_split(a.name, ' '), string_split(b.name, ' '))))::double, 6) as jaccard from n a join n b on split_part(a.name, ' ', 1) = split_part(b.name, ' ', 1) and a.name < b.name")
+def g29(spark, d):
+    n = places(spark, d).select(F.col("name").alias("a")).distinct().withColumn("c", F.split("a", " ")[0])
+    j = T.jaccard(F.split("a", " "), F.split("b", " "))
+    return n.join(n.withColumnRenamed("a", "b"), "c").filter("a < b").select("a", "b", F.round(j, 6).alias("jaccard"))
+
+
+@query("K29_text_vectors", f"with {PLACES_SQL} select poi_id, 16 as dim, true as unit from places")
+def k29(spark, d):
+    from quarry.operators.encode import encode, hashing_encoder
+
+    v = encode(places(spark, d).select("poi_id", "name"), "poi_id", "name", hashing_encoder(16), prefix="passage: ")
+    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    return v.select("poi_id", F.size("vector").alias("dim"), (F.abs(norm - 1) < 1e-5).alias("unit"))
+
+
+@query("P1_train_batch_rules", "select 'role_known' as rule, conv_id || '/' || turn as key from conversations where role not in ('user', 'assistant', 'system') union all select 'text_known', conv_id || '/' || turn from conversations where text is null or text = '' union all select 'turns_three_to_five', cast(conv_id as varchar) from conversations group by conv_id having count(*) < 3 or count(*) > 5")
+def p1(spark, d):
+    c = table(spark, d, "conversations")
+    rules = {"role_known": F.col("role").isin("user", "assistant", "system"), "text_known": F.col("text").isNotNull() & (F.col("text") != "")}
+    return checks.row_rules(c, F.concat_ws("/", "conv_id", "turn"), rules).unionByName(checks.group_size(c, "conv_id", 3, 5, "turns_three_to_five"))
+
+
+@query("P6_release_cardinalities", f"with {PLACES_SQL} select (select count(*) from places) as places, (select count(distinct brand) from places) as families, (select count(*) from places where poi_id in (select poi_id from places where k % 50 = 0)) as targets")
+def p6(spark, d):
+    p = places(spark, d)
+    return p.agg(F.count("*").alias("places"), F.countDistinct("brand").alias("families"), F.count_if(F.col("k") % 50 == 0).alias("targets"))
+
+
+@query("P16_reusable_slots", "select c_mktsegment, count(*) filter (where c_custkey % 6 < 3) as clean, count(*) filter (where c_custkey % 6 >= 3) as noisy, count(*) filter (where c_custkey % 12 = 1) as reusable from customer group by 1")
+def p16(spark, d):
+    k = F.col("c_custkey")
+    return table(spark, d, "customer").groupBy("c_mktsegment").agg(F.count_if(k % 6 < 3).alias("clean"), F.count_if(k % 6 >= 3).alias("noisy"), F.count_if(k % 12 == 1).alias("reusable"))
+
+
+@query("P19_target_keys", f"with {MIGRATIONS_SQL} select 'target_in_corpus' as rule, 'p:' || c_custkey as key from customer where 'p:' || c_custkey not in (select old_poi_id from m2 where action = 'keep')")
+def p19(spark, d):
+    kept = migration(spark, d, 23, 17).filter("action = 'keep'")
+    targets = table(spark, d, "customer").select(F.concat(F.lit("p:"), F.col("c_custkey").cast("string")).alias("poi_id"))
+    return checks.foreign_key(targets, "poi_id", kept, "old_poi_id", "target_in_corpus")
+
+
+@query("P20_mutation_difficulty", f"with {PLACES_SQL} select case when k % 3 = 0 then 'terminal_delete' else 'substitute' end as kind, case when k % 3 = 0 then 'tail' else 'early' end as position, count(*) as n from places group by 1, 2")
+def p20(spark, d):
+    typo = F.when(F.col("k") % 3 == 0, F.expr("left(name, length(name) - 1)")).otherwise(F.concat(F.lit("#"), F.expr("substring(name, 2)")))
+    s = places(spark, d).select(parsing.slip(F.col("name"), typo).alias("s"))
+    return s.groupBy(F.col("s.kind").alias("kind"), F.col("s.position").alias("position")).agg(F.count("*").alias("n"))
+
+
+@query("R2_sessions_created", "select user_id, min(event_id) as session_event, count(*) as signups from events where event_type = 'signup' group by 1")
+def r2(spark, d):
+    return table(spark, d, "events").filter("event_type = 'signup'").groupBy("user_id").agg(F.min("event_id").alias("session_event"), F.count("*").alias("signups"))
+
+
+@query("R8_display_status", "with s as (select event_id, user_id in (select user_id from events where event_type = 'signup') as known, event_id % 3 = 0 as current from events where event_type = 'view') select event_id, case when not known then 404 when not current then 409 else 200 end as status from s")
+def r8(spark, d):
+    e = table(spark, d, "events")
+    known = e.filter("event_type = 'signup'").select("user_id").distinct().withColumn("known", F.lit(True))
+    v = e.filter("event_type = 'view'").join(known, "user_id", "left")
+    return v.select("event_id", F.when(F.col("known").isNull(), 404).when(F.col("event_id") % 3 != 0, 409).otherwise(200).alias("status"))
+
+
+@query("R9_select_shown", "with s as (select user_id, min(ts) as first_view from events where event_type = 'view' group by 1) select event_id, case when first_view is null or ts < first_view then 409 else 200 end as status from events left join s using (user_id) where event_type = 'click'")
+def r9(spark, d):
+    e = table(spark, d, "events")
+    first = e.filter("event_type = 'view'").groupBy("user_id").agg(F.min("ts").alias("first_view"))
+    c = e.filter("event_type = 'click'").join(first, "user_id", "left")
+    return c.select("event_id", F.when(F.col("first_view").isNull() | (F.col("ts") < F.col("first_view")), 409).otherwise(200).alias("status"))
+
+
+@query("N3_exposure_ttl", "select count(*) filter (where d.ts <= e.ts + interval 15 minutes) as alive, count(*) filter (where d.ts > e.ts + interval 15 minutes) as expired from events e join events d on e.user_id = d.user_id and e.event_type = 'view' and d.event_type = 'click' and d.ts >= e.ts and d.ts <= e.ts + interval 2 hours")
+def n3(spark, d):
+    e = table(spark, d, "events")
+    views = e.filter("event_type = 'view'").select("user_id", F.col("ts").alias("shown_at"))
+    clicks = e.filter("event_type = 'click'").select("user_id", "ts")
+    j = views.join(clicks, "user_id").filter((F.col("ts") >= F.col("shown_at")) & (F.col("ts") <= F.col("shown_at") + F.expr("interval 2 hours")))
+    alive = F.col("ts") <= F.col("shown_at") + F.expr("interval 15 minutes")
+    return j.agg(F.count_if(alive).alias("alive"), F.count_if(~alive).alias("expired"))

@@ -140,7 +140,8 @@ def k13(spark, d):
 @query("R6_suggest")
 def r6(spark, d):
     a = anchors(spark, d)
-    q = F.when(F.col("anchor_id") % 3 == 0, "red bolt").when(F.col("anchor_id") % 3 == 1, "small g").otherwise("12 street 3")
+    form = F.floor(F.col("anchor_id") / 75) % 3
+    q = F.when(form == 0, "red bolt").when(form == 1, "small g").otherwise("12 street 3")
     return suggest.suggest(places(spark, d), a.select(F.col("anchor_id").alias("query_id"), q.alias("text"), "lat", "lon"), top_k=10)
 
 
@@ -186,5 +187,5 @@ def s4(spark, d):
 @query("S1_ranker_features")
 def s1(spark, d):
     a = anchors(spark, d)
-    q = F.when(F.col("anchor_id") % 2 == 0, "red bolt").otherwise("small gear")
+    q = F.when(F.floor(F.col("anchor_id") / 75) % 2 == 0, "red bolt").otherwise("small gear")
     return suggest.features(places(spark, d), a.select(F.col("anchor_id").alias("query_id"), q.alias("text"), "lat", "lon"))

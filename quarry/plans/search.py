@@ -146,13 +146,14 @@ def k11(spark, d):
     return retrieval.degrade(e).select("event_id", "served", "status")
 
 
-RESCUE_SQL = f"""{PLACES_SQL}, {ANCHORS_SQL}, aq as (select anchor_id as query_id, lat, lon, case anchor_id % 3 when 0 then 'red' when 1 then 'blue bolt' else 'small g' end as q from anchors),
+RESCUE_SQL = f"""{PLACES_SQL}, {ANCHORS_SQL}, aq as (select anchor_id as query_id, lat, lon, case (anchor_id // 75) % 3 when 0 then 'red' when 1 then 'blue bolt' else 'small g' end as q from anchors),
 rh as (select query_id, poi_id as doc_id, {haversine_sql('a.lat', 'a.lon', 'p.lat', 'p.lon', 6371008.8)} as m from aq a join places p on starts_with(p.name, a.q)),
 rr as (select query_id, doc_id, round(m, 2) as distance_m, cast(row_number() over (partition by query_id order by m, doc_id) as integer) as rank from rh where m <= 5000)"""
 
 
 def rescued(spark, d):
-    q = F.when(F.col("anchor_id") % 3 == 0, "red").when(F.col("anchor_id") % 3 == 1, "blue bolt").otherwise("small g")
+    form = F.floor(F.col("anchor_id") / 75) % 3
+    q = F.when(form == 0, "red").when(form == 1, "blue bolt").otherwise("small g")
     a = anchors(spark, d).select(F.col("anchor_id").alias("query_id"), "lat", "lon", q.alias("q_fold"))
     p = places(spark, d).select(F.col("poi_id").alias("doc_id"), T.fold(F.col("name")).alias("name_fold"), "lat", "lon")
     return retrieval.nearby_rescue(a, p)
