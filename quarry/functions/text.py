@@ -50,10 +50,15 @@ def strip_diacritics(c: Column) -> Column:
 
 def fold_keep_space(c: Column) -> Column:
     source, target, many = _fold_tables()
-    out = F.regexp_replace(F.translate(F.lower(F.coalesce(c, F.lit(""))), source, target), r"\p{M}", "")
+    c = F.coalesce(c, F.lit(""))
+    short = F.replace(F.regexp_replace(F.translate(F.lower(c), source, target), r"\p{M}", ""), F.lit("ß"), F.lit("ss"))
+    full = short
     for a, b in many:
-        out = F.replace(out, F.lit(a), F.lit(b))
-    return out
+        full = F.replace(full, F.lit(a), F.lit(b))
+    # letters that become two or more are rare: their replacements run only where the text has one. The condition is on
+    # the input, so that neither branch is evaluated twice
+    rare = "".join({x for a, _ in many for x in (a, a.upper(), a.title()) if len(x) == 1 and a != "ß"})
+    return F.when(c.rlike(f"[{rare}]"), full).otherwise(short)
 
 
 def fold(c: Column) -> Column:

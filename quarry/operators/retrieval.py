@@ -23,7 +23,9 @@ class Index:
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, tokens=simple_tokens):
         tok = docs.select(F.col(id_col).alias("doc_id"), tokens(F.col(text_col)).alias("toks"))
         self.lengths = tok.select("doc_id", F.size("toks").alias("dl"))
-        self.postings = tok.select("doc_id", F.size("toks").alias("dl"), F.explode("toks").alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+        # the outer form keeps the planner from testing, and so computing, the tokens a second time
+        terms = tok.select("doc_id", F.size("toks").alias("dl"), F.explode_outer("toks").alias("term")).filter("term is not null")
+        self.postings = terms.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
         self.stats = self.lengths.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
 
     @property
@@ -70,7 +72,8 @@ class FieldIndex:
         cells = F.array(*[F.struct(F.lit(c).alias("field"), F.lit(float(w)).alias("weight"), tokens(F.col(c)).alias("toks")) for c, w in weights.items()])
         rows = docs.select(F.col(id_col).alias("doc_id"), F.explode(cells).alias("c")).select("doc_id", "c.field", "c.weight", "c.toks", F.size("c.toks").alias("dl"))
         self.stats = rows.groupBy("field").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-        self.postings = rows.select("doc_id", "field", "weight", "dl", F.explode("toks").alias("term")).groupBy("field", "term", "doc_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"), F.first("weight").alias("weight"))
+        terms = rows.select("doc_id", "field", "weight", "dl", F.explode_outer("toks").alias("term")).filter("term is not null")
+        self.postings = terms.groupBy("field", "term", "doc_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"), F.first("weight").alias("weight"))
 
 
 def field_bm25(index: FieldIndex, terms: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:

@@ -5,8 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Tables whose rows cost enough work to be dealt out.
+HEAVY = ("documents", "embeddings")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; a heavy one in fewer parts than there are cores (a single small file) is dealt out over them once."""
+    df, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name in HEAVY and df.rdd.getNumPartitions() < min(cores, 64) else df
 
 
 #: column -> SQL over part; portable between both engines.
