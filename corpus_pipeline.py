@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm import language_id, packing, quality, simhash
-from quarry.llm.common import shared_dir
+from quarry.llm.common import shared_dir, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -40,7 +40,7 @@ STAGES = [("quality rules", quality_rules), ("language id", language), ("simhash
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written as Parquet in the shared folder and reread as the next one's input."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
