@@ -32,7 +32,7 @@ MARKS = "ad ads advert adverts advertisement banner banners breadcrumb breadcrum
 ROLES = "navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split()
 
 _SILENT, _FURNITURE, _BLOCKS, _VOID, _MARKS, _ROLES = map(frozenset, (SILENT, FURNITURE, BLOCKS, VOID, MARKS, ROLES))
-TAG = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+TAG = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</?[a-zA-Z][^<>]*>", re.S)
 _ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 OTHER, ARTICLE, FURNISHED = 0, 1, 2

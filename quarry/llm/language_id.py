@@ -128,14 +128,14 @@ class Scorer:
         return self.rows[ids].sum(axis=0, dtype=np.float64)
 
 
-def fit(docs: DataFrame, max_words: int = 60_000) -> Model:
+def fit(docs: DataFrame, max_words: int = 60_000, longest: int = 64) -> Model:
     """Learns from all rows with a language. `max_words` bounds the known words (and so what is broadcast): the largest
     count threshold is taken that leaves no more than so many words, all languages together; words below it are unseen
     ones to the model and go by their n-grams."""
     counts = count_words(docs).persist()
     try:
         totals = {r[0]: r[1] for r in counts.groupBy("lang").agg(F.sum("n")).collect()}
-        by_word = counts.groupBy("word").agg(F.sum("n").alias("of_word"))
+        by_word = counts.filter(F.char_length("word") <= longest).groupBy("word").agg(F.sum("n").alias("of_word"))
         # counts fall on a log scale of 8 steps an octave, so the histogram has a bounded number of rows
         step = F.floor(F.log2("of_word") * 8).cast("int")
         left, least = max_words, None

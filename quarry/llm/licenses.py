@@ -3,9 +3,10 @@
 Texts and templates are lower-cased and cut into words of letters and digits; shingles are five words (a shorter
 template: all its words). A window holds as many shingles as the template's size class. Each of the `bands` bands of
 one row keeps the smallest of a window's shingle hashes under its own permutation; a window retrieves a template if they
-agree in some band. A window that holds a whole template of at least half its size shares at least a third of its
-shingles with it, so with 32 bands it is retrieved with a probability above 1 - (2/3)**32 = 0.999997. Retrieved windows
-are verified by exact containment of the template's shingles.
+agree in some band. Windows have under three times a template's shingles and overlap so far that each run of its length
+lies whole in one. So a window that holds the whole template shares over a third of its shingles with it and is retrieved
+with a probability above 1 - (2/3)**32 = 0.999997; one that holds four fifths of it shares over a quarter, with a
+probability above 1 - (3/4)**32 = 0.9999. Retrieved windows are verified by exact containment of the template's shingles.
 """
 
 from __future__ import annotations

@@ -394,6 +394,15 @@ def test_op1_deletes_lines_shared_with_the_nearest_page(spark):
         assert got[100] == got[101] == "Site name\nAll topics\nCopy\nImprint line"
 
 
+@pytest.mark.parametrize("source,lines", [
+    ("<p>a<p>b", ["a", "b"]), ("<div><p>a</div>b", ["a", "b"]), ("<ul><li>x<li>y</ul>", ["x", "y"]), ("a<br>b <i>c</i>d", ["a b cd"]),
+    ('<p title="a>b">t</p><a href="broken>u</a>', ["t", "u"]), ("<!-- x <p>no</p>", []), ("<script>var a='<p>';", []), ("x < y &lt; z &amp", ["x < y < z &"]),
+    ("<body><div id='sidebar'>no<div>no</div></div><main>yes</main>", ["no", "no", "yes"]), ("<p>&nbsp;\u3000</p>", []),
+])
+def test_blocks_of_odd_html(source, lines):
+    assert [x for _, x in html_extract.lines_of(source)] == lines
+
+
 def test_longest_common_subsequence():
     import random
 
