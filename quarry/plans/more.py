@@ -14,7 +14,7 @@ from quarry.plans import suggest
 from quarry.plans.registry import query
 from quarry.plans.relational import MIGRATIONS_SQL, migration
 from quarry.plans.search import BM25_SQL, DENSE_SQL, FIELDS_SQL, dense, field_queries, lexical
-from quarry.plans.views import ANCHORS_SQL, PLACES_SQL, anchors, haversine_sql, places, table
+from quarry.plans.views import ANCHORS_SQL, PLACES_SQL, anchors, haversine_sql, places, requests, table
 from quarry.streaming.online import shared_folder
 
 
@@ -394,12 +394,12 @@ def g33(spark, d):
     return places(spark, d).select("poi_id", parsing.keyboard_slips(F.lit("dad"), typo).alias("near"))
 
 
-#: A stated query set of the clause queries: one of five forms for each anchor.
-ASKED_SQL = f"{PLACES_SQL}, {ANCHORS_SQL}, asked as (select anchor_id as query_id, case (anchor_id // 75) % 5 when 0 then 'red bolt' when 1 then 'small g' when 2 then '12/3 red bolt' when 3 then 'BV red' else 'gear 7' end as text, (anchor_id // 75) % 5 as form from anchors)"
+#: The clause queries: one of five forms for each anchor.
+ASKED_SQL = f"{PLACES_SQL}, {ANCHORS_SQL}, asked as (select anchor_id as query_id, case anchor_id % 5 when 0 then 'red bolt' when 1 then 'small g' when 2 then '12/3 red bolt' when 3 then 'BV red' else 'gear 7' end as text, anchor_id % 5 as form from anchors)"
 
 
 def clause_input(spark, d):
-    a = F.floor(F.col("anchor_id") / 75) % 5
+    a = F.col("anchor_id") % 5
     text = F.when(a == 0, "red bolt").when(a == 1, "small g").when(a == 2, "12/3 red bolt").when(a == 3, "BV red").otherwise("gear 7")
     docs = places(spark, d).withColumnRenamed("poi_id", "doc_id").withColumns({"housenumber": F.concat("housenumber", F.lit("/"), (F.col("k") % 4).cast("string")), "aliases": F.array("brand")})
     q = clauses.prepare_queries(anchors(spark, d).select(F.col("anchor_id").alias("query_id"), text.alias("text")))
@@ -438,8 +438,8 @@ def k4g(spark, d):
 
 @query("K4_K4d_K4h_lexical_search")
 def k4(spark, d):
-    a = anchors(spark, d)
-    text = F.when(F.floor(F.col("anchor_id") / 75) % 2 == 0, "red bolt").otherwise("bv small 12")
+    a = requests(spark, d)
+    text = F.when(F.col("form") % 2 == 0, "red bolt").otherwise("bv small 12")
     return clauses.search(places(spark, d).withColumnRenamed("poi_id", "doc_id"), a.select(F.col("anchor_id").alias("query_id"), text.alias("text")), cut=identity.reliable)
 
 

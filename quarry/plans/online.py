@@ -11,7 +11,7 @@ from quarry.functions import text as T
 from quarry.operators import identity
 from quarry.plans import suggest
 from quarry.plans.registry import query
-from quarry.plans.views import PLACES_SQL, anchors, places, table
+from quarry.plans.views import PLACES_SQL, places, requests, table
 from quarry.sources import files
 from quarry.streaming import online as S
 
@@ -123,9 +123,9 @@ def g35(spark, d):
     return places(spark, d).select("poi_id", parsing.slip(n, typo)["kind"].alias("kind"))
 
 
-@query("K16_K17_phrase_evidence", f"with {PLACES_SQL} select poi_id, cast(case when name = 'red bolt' then 2 else 0 end as double) as hits from places where name in ('red bolt', 'old gear') and region_id <> 99")
+@query("K16_K17_phrase_evidence", f"with {PLACES_SQL} select poi_id, cast(case when name = 'red bolt' then 2 when split_part(name, ' ', 1) = 'red' or split_part(name, ' ', 2) = 'bolt' then 1 else 0 end as double) as hits from places")
 def k16(spark, d):
-    p = places(spark, d).filter(F.col("name").isin("red bolt", "old gear"))
+    p = places(spark, d)
     e = parsing.match_evidence(F.lit("red bolt 7"), F.col("name"), F.col("street"), F.lit(""))
     return p.select("poi_id", e["span"].cast("double").alias("hits"))
 
@@ -139,8 +139,8 @@ def k13(spark, d):
 
 @query("R6_suggest")
 def r6(spark, d):
-    a = anchors(spark, d)
-    form = F.floor(F.col("anchor_id") / 75) % 3
+    a = requests(spark, d)
+    form = F.col("form") % 3
     q = F.when(form == 0, "red bolt").when(form == 1, "small g").otherwise("12 street 3")
     return suggest.suggest(places(spark, d), a.select(F.col("anchor_id").alias("query_id"), q.alias("text"), "lat", "lon"), top_k=10)
 
@@ -186,6 +186,6 @@ def s4(spark, d):
 
 @query("S1_ranker_features")
 def s1(spark, d):
-    a = anchors(spark, d)
-    q = F.when(F.floor(F.col("anchor_id") / 75) % 2 == 0, "red bolt").otherwise("small gear")
+    a = requests(spark, d)
+    q = F.when(F.col("form") % 2 == 0, "red bolt").otherwise("small gear")
     return suggest.features(places(spark, d), a.select(F.col("anchor_id").alias("query_id"), q.alias("text"), "lat", "lon"))

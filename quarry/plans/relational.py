@@ -240,11 +240,11 @@ def c12(spark, d):
     return c.join(o, "c_custkey", "left_semi").withColumn("has_orders", F.lit(True)).unionByName(c.join(o, "c_custkey", "left_anti").withColumn("has_orders", F.lit(False)))
 
 
-@query("C16_as_of_history", """with h as (select user_id, 'p:' || cast(event_id % 2000 as varchar) as poi_id, ts from events where event_type = 'purchase'), r as (select event_id as request_id, user_id, ts as cutoff from events where event_type = 'view' and event_id % 10 = 0), l as (select request_id, poi_id, max(h.ts) as ts from r join h using (user_id) where h.ts <= cutoff group by 1, 2), n as (select *, cast(row_number() over (partition by request_id order by ts desc, poi_id) as integer) as rank from l) select request_id, poi_id, rank from n where rank <= 20""")
+@query("C16_as_of_history", """with h as (select user_id, 'p:' || cast(event_id % 2000 as varchar) as poi_id, ts from events where event_type = 'purchase'), r as (select event_id as request_id, user_id, ts as cutoff from events where event_type = 'view'), l as (select request_id, poi_id, max(h.ts) as ts from r join h using (user_id) where h.ts <= cutoff group by 1, 2), n as (select *, cast(row_number() over (partition by request_id order by ts desc, poi_id) as integer) as rank from l) select request_id, poi_id, rank from n where rank <= 20""")
 def c16(spark, d):
     e = table(spark, d, "events")
     history = e.filter("event_type = 'purchase'").select("user_id", F.concat(F.lit("p:"), (F.col("event_id") % 2000).cast("string")).alias("poi_id"), "ts")
-    requests = e.filter("event_type = 'view' and event_id % 10 = 0").select(F.col("event_id").alias("request_id"), "user_id", F.col("ts").alias("cutoff"))
+    requests = e.filter("event_type = 'view'").select(F.col("event_id").alias("request_id"), "user_id", F.col("ts").alias("cutoff"))
     return R.as_of_history(history, requests, 20).select("request_id", "poi_id", "rank")
 
 

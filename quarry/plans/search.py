@@ -15,7 +15,7 @@ DOCS_SQL = f"""tok as (select doc_id, {tokens_sql('text')} as toks from document
 len_ as (select doc_id, len(toks) as dl from tok), stat as (select count(*) as n_docs, avg(dl) as avgdl from len_),
 post as (select doc_id, term, count(*) as tf from (select doc_id, unnest(toks) as term from tok) group by 1, 2),
 freq as (select term, count(*) as df from post group by 1),
-qt as (select query_id, term, count(*) as qtf from (select item_id as query_id, unnest({tokens_sql('text')}[1:6]) as term from benchmark) group by 1, 2)"""
+qt as (select query_id, term, count(*) as qtf from (select item_id as query_id, unnest({tokens_sql('text')}) as term from benchmark) group by 1, 2)"""
 BM25_SQL = f"""{DOCS_SQL},
 bm as (select query_id, doc_id, round(sum(qtf * ln((n_docs - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))), 6) as score, count(*) as n_terms
   from qt join post using (term) join freq using (term) join len_ using (doc_id) cross join stat group by 1, 2),
@@ -30,7 +30,7 @@ def index(spark, d):
 
 
 def terms(spark, d):
-    return retrieval.query_terms(table(spark, d, "benchmark"), "item_id", "text", first=6)
+    return retrieval.query_terms(table(spark, d, "benchmark"), "item_id", "text")
 
 
 def lexical(spark, d, k=50):
@@ -77,18 +77,18 @@ def k1(spark, d):
     return lexical(spark, d).select("query_id", "doc_id", "score", "rank")
 
 
-FIELDS_SQL = f"""{PLACES_SQL}, q as (select c_custkey as query_id, p_name as text from customer join part on p_partkey = c_custkey),
+FIELDS_SQL = f"""{PLACES_SQL}, q as (select min(p_partkey) as query_id, p_name as text from part group by p_name),
 qt as (select query_id, term, count(*) as qtf from (select query_id, unnest(string_split(text, ' ')) as term from q) group by 1, 2),
 post as (select 'name' as field, poi_id as doc_id, term, count(*) as tf from (select poi_id, unnest(string_split(name, ' ')) as term from places) group by 2, 3
   union all select 'street', poi_id, term, count(*) from (select poi_id, unnest(string_split(street, ' ')) as term from places) group by 2, 3),
 dl as (select field, doc_id, sum(tf) as dl from post group by 1, 2), st as (select field, count(*) as n, avg(dl) as avgdl from dl group by 1), fr as (select field, term, count(*) as df from post group by 1, 2),
 f as (select query_id, doc_id, field, sum(qtf * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) as s
-  from qt join post using (term) join fr using (field, term) join dl using (field, doc_id) join st using (field) where query_id < 100 group by 1, 2, 3)"""
+  from qt join post using (term) join fr using (field, term) join dl using (field, doc_id) join st using (field) group by 1, 2, 3)"""
 
 
 def field_queries(spark, d):
-    """A stated query set: the names of the first 100 parts."""
-    return table(spark, d, "part").filter("p_partkey < 100").join(table(spark, d, "customer").select(F.col("c_custkey").alias("p_partkey")), "p_partkey").select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("text"))
+    """Every distinct name is a query, numbered by the first part that bears it."""
+    return table(spark, d, "part").groupBy(F.col("p_name").alias("text")).agg(F.min("p_partkey").alias("query_id"))
 
 
 def fields(spark, d):
@@ -146,13 +146,13 @@ def k11(spark, d):
     return retrieval.degrade(e).select("event_id", "served", "status")
 
 
-RESCUE_SQL = f"""{PLACES_SQL}, {ANCHORS_SQL}, aq as (select anchor_id as query_id, lat, lon, case (anchor_id // 75) % 3 when 0 then 'red' when 1 then 'blue bolt' else 'small g' end as q from anchors),
+RESCUE_SQL = f"""{PLACES_SQL}, {ANCHORS_SQL}, aq as (select anchor_id as query_id, lat, lon, case anchor_id % 3 when 0 then 'red' when 1 then 'blue bolt' else 'small g' end as q from anchors),
 rh as (select query_id, poi_id as doc_id, {haversine_sql('a.lat', 'a.lon', 'p.lat', 'p.lon', 6371008.8)} as m from aq a join places p on starts_with(p.name, a.q)),
 rr as (select query_id, doc_id, round(m, 2) as distance_m, cast(row_number() over (partition by query_id order by m, doc_id) as integer) as rank from rh where m <= 5000)"""
 
 
 def rescued(spark, d):
-    form = F.floor(F.col("anchor_id") / 75) % 3
+    form = F.col("anchor_id") % 3
     q = F.when(form == 0, "red").when(form == 1, "blue bolt").otherwise("small g")
     a = anchors(spark, d).select(F.col("anchor_id").alias("query_id"), "lat", "lon", q.alias("q_fold"))
     p = places(spark, d).select(F.col("poi_id").alias("doc_id"), T.fold(F.col("name")).alias("name_fold"), "lat", "lon")
@@ -237,9 +237,9 @@ def k24(spark, d):
     return identity.lookup_scores(q, i)
 
 
-@query("K26_group_ready_prefix", f"with {PLACES_SQL}, n as (select distinct brand || ' ' || name as t from places where region_id < 2), p as (select t, i, substr(t, 1, i) as pre from (select t, unnest(range(2, length(t) + 1)) as i from n)), c as (select pre, count(*) as n from p group by 1) select t, cast(min(i) as integer) as ready from p join c using (pre) where c.n = 1 group by 1")
+@query("K26_group_ready_prefix", f"with {PLACES_SQL}, n as (select distinct brand || ' ' || name as t from places), p as (select t, i, substr(t, 1, i) as pre from (select t, unnest(range(2, length(t) + 1)) as i from n)), c as (select pre, count(*) as n from p group by 1) select t, cast(min(i) as integer) as ready from p join c using (pre) where c.n = 1 group by 1")
 def k26(spark, d):
-    n = places(spark, d).filter("region_id < 2").select(F.concat_ws(" ", "brand", "name").alias("t")).distinct()
+    n = places(spark, d).select(F.concat_ws(" ", "brand", "name").alias("t")).distinct()
     p = n.select("t", F.posexplode(T.edge_ngrams(F.col("t"), 200)).alias("i", "pre")).filter("i >= 1")
     alone = p.groupBy("pre").agg(F.count("*").alias("n")).filter("n = 1").select("pre")
     return p.join(alone, "pre", "left_semi").groupBy("t").agg((F.min("i") + 1).alias("ready"))

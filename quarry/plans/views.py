@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 #: Tables whose rows cost enough work to be dealt out.
@@ -36,8 +37,8 @@ ANCHORS = {
     "lat": "cast(20.98 as double) + cast((c_custkey * 6007) % 1009 as double) / 5e4",
     "lon": "cast(105.80 as double) + cast((c_custkey * 3571) % 997 as double) / 5e4",
 }
-#: A feature: one anchor in 75 customers, so the number of anchors grows with the table.
-ANCHORS_SQL = "anchors as (select " + ", ".join(f"{sql} as {name}" for name, sql in ANCHORS.items()) + " from customer where c_custkey % 75 = 0)"
+#: Every customer is an anchor.
+ANCHORS_SQL = "anchors as (select " + ", ".join(f"{sql} as {name}" for name, sql in ANCHORS.items()) + " from customer)"
 
 
 def places(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +46,13 @@ def places(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").filter("c_custkey % 75 = 0").selectExpr(*[f"{sql} as {name}" for name, sql in ANCHORS.items()])
+    return table(spark, sf_dir, "customer").selectExpr(*[f"{sql} as {name}" for name, sql in ANCHORS.items()])
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stated set of search requests: one from the first customer of each nation, with the nation's number."""
+    first = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.min("c_custkey").alias("anchor_id"))
+    return anchors(spark, sf_dir).join(first, "anchor_id").withColumnRenamed("c_nationkey", "form")
 
 
 #: DuckDB's side of functions.text.fold and its token arrays, over a text column.
