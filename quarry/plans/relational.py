@@ -227,11 +227,11 @@ def c10(spark, d):
     return rows.withColumn("rank", F.row_number().over(order)).filter("rank <= 8")
 
 
-@query("C11_radius_join", f"with {PLACES_SQL}, {ANCHORS_SQL} select anchor_id, poi_id, round({haversine_sql('a.lat', 'a.lon', 'p.lat', 'p.lon', 6371008.8)}, 2) as distance_m from anchors a, places p where {haversine_sql('a.lat', 'a.lon', 'p.lat', 'p.lon', 6371008.8)} < 300")
+@query("C11_radius_join", f"with {PLACES_SQL}, {ANCHORS_SQL} select anchor_id, poi_id, round({haversine_sql('a.lat', 'a.lon', 'p.lat', 'p.lon', 6371008.8)}, 2) as distance_m from anchors a, places p where {haversine_sql('a.lat', 'a.lon', 'p.lat', 'p.lon', 6371008.8)} < 100")
 def c11(spark, d):
     left = anchors(spark, d)
     right = places(spark, d).select("poi_id", F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
-    return geo.near_pairs(left, right, 300.0, size=0.003, radius=geo.SERVING).select("anchor_id", "poi_id", F.round("distance_m", 2).alias("distance_m"))
+    return geo.near_pairs(left, right, 100.0, size=0.001, radius=geo.SERVING).select("anchor_id", "poi_id", F.round("distance_m", 2).alias("distance_m"))
 
 
 @query("C12_semi_anti", "select c_custkey, exists (select 1 from orders where o_custkey = c_custkey) as has_orders from customer")
