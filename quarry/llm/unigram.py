@@ -11,9 +11,11 @@ from __future__ import annotations
 import math
 from array import array
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from quarry.llm.common import map_rows, resident, scattered
+from quarry.llm.common import by_list, coded, map_rows, resident, scattered, slices
 from quarry.llm.tokens import WORDS, tokenizer_path
 
 MARK = "▁"
@@ -31,20 +33,20 @@ def vocabulary(path: str) -> dict[str, float]:
 
 class TrieCounter:
     """Counts of pre-tokens. A trie node stands for a prefix and holds the best score and token count of any cut of it,
-    found once from the nodes above it; the count at a pre-token's last node is its result. At most `keep` nodes and
-    as many results are held; then both start anew."""
+    found once from the nodes above it; the count at a pre-token's last node is its result. The trie starts anew beyond
+    `nodes` nodes; results are kept in two generations of about `keep`."""
 
-    def __init__(self, scores: dict[str, float], keep: int = 500_000):
-        self.scores, self.keep = scores, keep
+    def __init__(self, scores: dict[str, float], nodes: int = 700_000, keep: int = 200_000):
+        self.scores, self.nodes, self.keep = scores, nodes, keep
         self.longest = max(map(len, scores), default=1)
         self.unknown = min(scores.values(), default=0.0) - 10
-        self.results: dict[str, int] = {}
+        self.results: dict[str, tuple[int, int]] = {}
+        self.old: dict[str, tuple[int, int]] = {}
         self.clear()
 
     def clear(self) -> None:
         self.child: dict[int, int] = {}
         self.best, self.count = array("d", [0.0]), array("i", [0])
-        self.results.clear()
 
     def insert(self, word: str) -> int:
         """Token count of a pre-token."""
@@ -72,22 +74,24 @@ class TrieCounter:
             path.append(node)
         return count[node]
 
-    def tokens(self, words: list[str]) -> int:
-        """Token count of the words of a text, each a pre-token once marked."""
-        got = list(map(self.results.get, words))
-        if None in got:
-            for k, n in enumerate(got):
-                if n is None:
-                    w = words[k]
-                    n = self.results.get(w)
-                    if n is None:
-                        if len(self.best) > self.keep or len(self.results) > self.keep:
-                            self.clear()
-                        n = self.insert(MARK + w)
-                        if len(w) <= 64:
-                            self.results[w] = n
-                    got[k] = n
-        return sum(got)
+    def counts(self, texts: list[str]) -> list[tuple[int, int]]:
+        """(pre-tokens, tokens) of each of a list of distinct pieces of text."""
+        if len(self.results) > self.keep:
+            self.old, self.results = self.results, {}
+        got = list(map(self.results.get, texts))
+        for i, found in enumerate(got):
+            if found is None:
+                text = texts[i]
+                found = self.old.get(text)
+                if found is None:
+                    if len(self.best) > self.nodes:
+                        self.clear()
+                    words = WORDS.findall(text)
+                    found = len(words), sum([self.insert(MARK + w) for w in words])
+                if len(text) <= 48:
+                    self.results[text] = found
+                got[i] = found
+        return got
 
 
 def counter(path: str) -> TrieCounter:
@@ -101,11 +105,13 @@ def count_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
     path = path or tokenizer_path("piece_bpe_32k.model")
 
     def of(batch):
-        own, n, t = counter(path), [], []
-        for text in batch.column(1).to_pylist():
-            words = WORDS.findall(text) if text else []
-            n.append(len(words))
-            t.append(own.tokens(words))
-        return {"doc_id": batch.column(0), "n_pretokens": n, "n_tokens": t}
+        n, t = [], []
+        for part in slices(batch.column(1)):
+            # pieces between single spaces and line feeds; one with other white space in it holds several pre-tokens
+            codes, offsets, pieces = coded(pc.split_pattern(pc.replace_substring(part, "\n", " "), " "))
+            found = np.array(counter(path).counts(pieces), dtype=np.int64).reshape(len(pieces), 2)
+            n.append(by_list(found[codes, 0], offsets))
+            t.append(by_list(found[codes, 1], offsets))
+        return {"doc_id": batch.column(0), "n_pretokens": np.concatenate(n), "n_tokens": np.concatenate(t)}
 
     return map_rows(scattered(docs, "doc_id", "text"), of, "doc_id long, n_pretokens long, n_tokens long")
