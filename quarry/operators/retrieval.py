@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
-from quarry.functions.geo import SERVING, near_pairs
+from quarry.functions.geo import SERVING, haversine
 
 
 def simple_tokens(c: Column) -> Column:
@@ -157,8 +157,6 @@ def nearby_rescue(anchors: DataFrame, places: DataFrame, metres: float = 5000.0,
     anchors: query_id, q_fold, lat, lon; places: doc_id, name_fold, lat, lon. Names are matched first, over their leading
     `least` characters as a join key, so no distance is taken of unrelated pairs.
     """
-    from quarry.functions.geo import haversine
-
     a = anchors.filter(F.char_length("q_fold") >= least).withColumn("_p", F.substring("q_fold", 1, least))
     p = places.select("doc_id", "name_fold", F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), F.substring("name_fold", 1, least).alias("_p"))
     d = haversine(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"), SERVING)

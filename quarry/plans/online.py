@@ -4,11 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as TT
 
 from quarry.functions import parsing
 from quarry.functions import text as T
-from quarry.operators import identity
 from quarry.plans import suggest
 from quarry.plans.registry import query
 from quarry.plans.views import PLACES_SQL, places, requests, table
