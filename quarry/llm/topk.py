@@ -98,16 +98,18 @@ def _blocks(vectors: DataFrame, size: int, groups: int, id_col: str, vec_col: st
     return scattered(vectors, id_col, vec_col).mapInArrow(run, BLOCK)
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", size: int = 8192, groups: int = 64) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", size: int = 8192, groups: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): for every row of `queries` the k rows of `vectors` with the highest integer inner
     product, never a row of its own id; ties to the smaller id.
 
     Components become floor(256 x). Rows with a null id, a null vector, or a null or non-finite component take no part;
     vectors of another length than a query's are no candidates for it. Repeated rows are candidates each; equal query rows
     count once. Scores are exact while they stay below 2**53. Query rows
-    are packed into blocks too and each block meets each data block once, in one of `groups` groups; each pairing gives
+    are packed into blocks too and each block meets each data block once, in one of `groups` groups (64, or as many as the
+    vectors have partitions, if those are more); each pairing gives
     at most k rows a query, and the k best over all pairings are taken by an aggregation that keeps k rows a task.
     """
+    groups = groups or max(64, vectors.rdd.getNumPartitions())
     data = _blocks(vectors, size, groups, id_col, vec_col)
     asked = _blocks(scattered(queries, id_col, vec_col).distinct(), 256, groups, id_col, vec_col).drop("g").withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     pairs = data.join(asked.select("dim", "g", F.col("n").alias("q_n"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors")), ["dim", "g"])
