@@ -104,12 +104,14 @@ def minimum_should_match(terms: DataFrame, postings: DataFrame, share: float = 0
     return got.join(need, "query_id").filter("n_terms >= need").select("query_id", "doc_id", "n_terms")
 
 
-def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, blocks: int = 16, decimals: int = 6) -> DataFrame:
+def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, blocks: int | None = None, decimals: int = 6) -> DataFrame:
     """Exact inner-product top-k, ties to the smaller id. vectors: doc_id, v; queries: query_id, q.
 
-    The stated query set meets all vectors in blocks: query vectors are copied to each of `blocks` groups of vectors, an
+    The stated query set meets all vectors in blocks: query vectors are copied to each of `blocks` groups of vectors (16, or
+    as many as the vectors have partitions), an
     equi-join pairs them, and each group keeps k rows a query before the rows of a query come together.
     """
+    blocks = blocks or max(16, vectors.rdd.getNumPartitions())
     v = vectors.withColumn("_g", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
     q = queries.withColumn("_g", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     dot = F.aggregate(F.zip_with("q", "v", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
