@@ -245,6 +245,22 @@ def test_op3_rejects_noise_and_keeps_prose(spark):
     assert not any(kept[900 + i] for i in range(5)) and sum(kept[i] for i in range(300)) >= 297
 
 
+def test_op3_bands_stand_copies_and_small_languages(spark):
+    import random
+
+    rnd = random.Random(3)
+    vocab = ["".join(rnd.choice(["ba", "ko", "ri", "ten", "lu", "sha"]) for _ in range(rnd.randrange(1, 4))) for _ in range(300)]
+    prose = [" ".join(rnd.choice(vocab) for _ in range(150)) for _ in range(310)]
+    shuffled = prose[0].split()
+    rnd.shuffle(shuffled)
+    rows = [(i, t, "en") for i, t in enumerate(prose[:300])] + [(1000 + i, prose[0], "en") for i in range(900)] + [(2000 + i, " ".join(shuffled), "en") for i in range(300)]
+    rows += [(3000 + i, t, ["fr", None][i % 2]) for i, t in enumerate(prose[300:])]
+    rows += [(4000 + i, " ".join("".join(rnd.choice("qxzjwv#%") for _ in range(7)) for _ in range(150)), "en") for i in range(5)]
+    kept = {r.doc_id: r.kept for r in quality.assess(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert sum(kept[i] for i in range(300)) >= 297 and not any(kept[4000 + i] for i in range(5))
+    assert all(kept[3000 + i] for i in range(10))
+
+
 def test_kneser_ney_is_a_distribution(spark):
     text = "aa ab ba abc abc abb cab " * 3
     model = quality.fit(spark.createDataFrame([(text,)], "text string"))
