@@ -261,6 +261,17 @@ def test_op3_bands_stand_copies_and_small_languages(spark):
     assert all(kept[3000 + i] for i in range(10))
 
 
+def test_op3_no_two_ngrams_share_a_count(spark):
+    import random
+
+    rnd = random.Random(6)
+    words = ["".join(chr(rnd.randrange(0x4E00, 0x9FFF)) for _ in range(10)) for _ in range(3000)]
+    counted = quality.count_grams(spark.createDataFrame([(" ".join(words + words[:7]),)], "text string")).collect()
+    for n in range(1, quality.ORDER + 1):
+        grams = Counter(m[j : j + n] for w in words + words[:7] for m in [f"^{w}$"] for j in range(n == 1, len(m) - n + 1))
+        assert sorted(r.c for r in counted if r.n == n) == sorted(grams.values())
+
+
 def test_kneser_ney_is_a_distribution(spark):
     text = "aa ab ba abc abc abb cab " * 3
     model = quality.fit(spark.createDataFrame([(text,)], "text string"))
