@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quarry.llm import language_id, packing, quality, simhash
 from quarry.llm.common import shared_dir, table
@@ -12,23 +13,41 @@ from quarry.llm.common import shared_dir, table
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is in ids, with the columns of documents."""
-    return docs.join(ids.select("doc_id"), "doc_id", "left_semi").select(*COLUMNS)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The rows with a key, a 64-bit hash of id, text and language, null apart from every value: no operator tells rows
+    of one key apart, and rows without an id or with a shared one each have their own verdict."""
+    parts = [x for c in ("doc_id", "text", "lang") for x in (F.col(c).isNull(), F.col(c))]
+    return docs.withColumn("key", F.xxhash64(*parts))
+
+
+def _by_key(rows: DataFrame) -> DataFrame:
+    """Keyed rows as an operator takes them, the key in place of doc_id."""
+    return rows.select(F.col("key").alias("doc_id"), "text", "lang")
+
+
+def _only(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The keyed rows whose key is in column doc_id of keys."""
+    return rows.join(keys.select(F.col("doc_id").alias("key")), "key", "left_semi")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _only(docs, quality.assess(docs).filter("kept"))
+    rows = _keyed(docs)
+    return _only(rows, quality.assess(_by_key(rows)).filter("kept")).select(*COLUMNS)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a recognisable language: no letters, or less than half of the posterior."""
-    return _only(docs, language_id.identify(docs).filter("lang_pred <> 'und' and score >= 0.5"))
+    rows, model = _keyed(docs), language_id.fit(docs.filter(~language_id.held_out()))
+    return _only(rows, language_id.predict(_by_key(rows), model).filter("lang_pred <> 'und' and score >= 0.5")).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group."""
-    return _only(docs, simhash.group(docs).filter("doc_id = component_id"))
+    """Keeps one row of each group: of the smallest id (null last), any one where rows with that id repeat."""
+    rows = _keyed(docs)
+    groups = simhash.group(_by_key(rows)).select(F.col("doc_id").alias("key"), "component_id").distinct()
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
+    first = groups.join(rows.select("key", "doc_id"), "key").groupBy("component_id").agg(F.min(order)["key"].alias("doc_id"))
+    return _only(rows, first).dropDuplicates(["key"]).select(*COLUMNS)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

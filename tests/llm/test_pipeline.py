@@ -1,6 +1,7 @@
 """The pipeline's stages and their order, on the smallest documents table."""
 
 import os
+import random
 
 import pytest
 
@@ -32,3 +33,22 @@ def test_labels_agree(spark):
     good = [r.doc_id for r in labels if r.quality == 1 and len(texts[r.doc_id].split()) >= 20]
     copies = {i for i in good if sum(texts[j] == texts[i] for j in texts) > 1}
     assert sum(i in kept for i in good if i not in copies) >= 0.95 * len([i for i in good if i not in copies])
+
+
+def test_each_row_has_its_own_verdict(spark):
+    rnd = random.Random(7)
+    vocab = ["".join(rnd.choice(["ba", "ko", "ri", "ten", "lu", "sha"]) for _ in range(rnd.randrange(1, 4))) for _ in range(300)]
+    prose = [" ".join(rnd.choice(vocab) for _ in range(150)) for _ in range(150)]
+    text, other = prose[:2]
+    planted = [(None, text), (None, "too short"), (-1, other), (-1, "too short"), (-2, text), (-2, text)]
+    rows = [(i, t, "en", "prose", 1) for i, t in enumerate(prose[2:])] + [(i, t, "en", "planted", 1) for i, t in planted]
+    more = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+    good = corpus_pipeline.quality_rules(spark, more, DATA)
+    assert sorted((r.doc_id or 0, r.text) for r in good.filter("source = 'planted'").collect()) == sorted((i or 0, t) for i, t in planted if t != "too short")
+    known = corpus_pipeline.language(spark, good, DATA).filter("source = 'planted'")
+    assert known.count() == 4
+    # one row of each group of copies: the smallest id's, null last
+    once = corpus_pipeline.near_duplicates(spark, known, DATA).collect()
+    assert sorted((r.doc_id, r.text) for r in once) == sorted([(-1, other), (-2, text)])
+    alone = corpus_pipeline.near_duplicates(spark, known.filter("doc_id is null"), DATA).collect()
+    assert [(r.doc_id, r.text) for r in alone] == [(None, text)]
