@@ -115,7 +115,7 @@ def b4(spark, d):
 @query("B6_junk_reason", """with n as (select doc_id, substr(text, 1, 40) as name, lang from documents)
 select doc_id, case when lang = 'es' then 'outside_admin_vn' when regexp_matches(name, '^(Unknown|no name)$', 'i') then 'generic_no_name' end as reason from n""")
 def b6(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.substring("text", 1, 40).alias("name"), F.when(F.col("lang") != "es", F.col("lang")).alias("province"))
+    docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("name"), F.when(F.col("lang") != "es", F.col("lang")).alias("province"))
     return docs.select("doc_id", T.junk_reason(F.col("name"), F.col("province")).alias("reason"))
 
 

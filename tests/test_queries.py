@@ -51,3 +51,10 @@ def test_query(spark, duck, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_b6_reads_whole_texts(spark, tmp_path):
+    rows = [(1, "x" * 50 + " blocked", "en"), (2, "x" * 50 + " fixme", "en"), (3, "中" * 50 + " a", "en"), (4, "中" * 50, "en"), (5, None, "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.reason for r in catalog.QUERIES["B6_junk_reason"](spark, str(tmp_path)).collect()}
+    assert got == {1: "obstacle_osm_note", 2: "osm_fixme_todo", 3: None, 4: "pure_non_latin_Chinese_CJK", 5: None}
