@@ -2,21 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
 from quarry.functions.geo import near_pairs
-
-
-def reliable(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a checkpoint in the shared folder; a local one only where none is named."""
-    spark: SparkSession = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quarry-checkpoint-"))
-    return df.checkpoint(eager=True)
+from quarry.sources.shared import reliable
 
 
 def keepers(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -15,12 +15,12 @@ from quarry.plans.registry import query
 from quarry.plans.relational import MIGRATIONS_SQL, migration
 from quarry.plans.search import BM25_SQL, DENSE_SQL, FIELDS_SQL, dense, field_queries, lexical
 from quarry.plans.views import ANCHORS_SQL, PLACES_SQL, anchors, haversine_sql, places, requests, table
-from quarry.streaming.online import shared_folder
+from quarry.sources.shared import reliable, scratch
 
 
 @query("A2_A15_partitioned_parquet", f"with {PLACES_SQL} select poi_id, category, round(lat, 6) as lat from places where category in ('PROMO', 'LARGE') and lat between 20.985 and 20.99")
 def a2(spark, d):
-    folder = shared_folder(spark, "places")
+    folder = scratch(spark, "places")
     places(spark, d).select("poi_id", "category", F.struct("lat", "lon").alias("bbox")).write.option("compression", "zstd").partitionBy("category").parquet(folder)
     p = spark.read.parquet(folder).filter(F.col("category").isin("PROMO", "LARGE") & F.col("bbox.lat").between(20.985, 20.99))
     return p.select("poi_id", "category", F.round("bbox.lat", 6).alias("lat"))
@@ -440,7 +440,7 @@ def k4g(spark, d):
 def k4(spark, d):
     a = requests(spark, d)
     text = F.when(F.col("form") % 2 == 0, "red bolt").otherwise("bv small 12")
-    return clauses.search(places(spark, d).withColumnRenamed("poi_id", "doc_id"), a.select(F.col("anchor_id").alias("query_id"), text.alias("text")), cut=identity.reliable)
+    return clauses.search(places(spark, d).withColumnRenamed("poi_id", "doc_id"), a.select(F.col("anchor_id").alias("query_id"), text.alias("text")), cut=reliable)
 
 
 @query("K5_clause_ablation", "select 4 as arms, true as whole_is_largest")
@@ -448,7 +448,7 @@ def k5(spark, d):
     """Arms with some boosts at zero: an arm can only lose score against the whole policy."""
     q, docs, whole = clause_input(spark, d)
     arms = {"whole": whole, "no_exact": clauses.Policy(exact=0, alias_exact=0), "no_phrase": clauses.Policy(phrase=0, phrase_address=0), "bare": clauses.Policy(exact=0, alias_exact=0, phrase=0, phrase_address=0)}
-    q, docs = identity.reliable(q), identity.reliable(docs)
+    q, docs = reliable(q), reliable(docs)
     rows = None
     for name, p in arms.items():
         s = clauses.exact_clauses(q, docs, p).unionByName(clauses.phrase_clauses(q, docs, p)).agg(F.sum("score").alias("s")).select(F.lit(name).alias("arm"), "s")

@@ -11,6 +11,7 @@ from quarry.plans import suggest
 from quarry.plans.registry import query
 from quarry.plans.views import PLACES_SQL, places, requests, table
 from quarry.sources import files
+from quarry.sources.shared import scratch
 from quarry.streaming import online as S
 
 
@@ -21,7 +22,7 @@ def stream(spark, d):
 @query("A3_A4_csv_twin", f"with {PLACES_SQL} select poi_id, name, k % 2 = 0 as even, poi_id || '|p:0' as ids, false as bad from places")
 def a3(spark, d):
     p = places(spark, d).select("poi_id", "name", (F.col("k") % 2 == 0).alias("even"), F.array(F.col("poi_id"), F.lit("p:0")).alias("ids"))
-    folder = S.shared_folder(spark, "csv")
+    folder = scratch(spark, "csv")
     files.write_csv(p, folder)
     rows, _ = files.read_csv(spark, folder, p.schema)
     return rows.select("poi_id", "name", "even", F.array_join("ids", "|").alias("ids"), F.col("_bad").alias("bad"))
@@ -30,7 +31,7 @@ def a3(spark, d):
 @query("A5_twin_parity", "select cast(0 as bigint) as differences")
 def a5(spark, d):
     p = places(spark, d).select("poi_id", "name", "k")
-    folder = S.shared_folder(spark, "twin")
+    folder = scratch(spark, "twin")
     files.write_csv(p, folder)
     rows, _ = files.read_csv(spark, folder, p.schema)
     return files.parity(p, rows.drop("_bad")).agg(F.count("*").alias("differences"))
@@ -39,7 +40,7 @@ def a5(spark, d):
 @query("A7_json_lines_round_trip", "select event_id, event_type, value, false as broken from events")
 def a7(spark, d):
     e = table(spark, d, "events").select("event_id", "event_type", "value")
-    folder = S.shared_folder(spark, "jsonl")
+    folder = scratch(spark, "jsonl")
     files.write_json_lines(e, folder)
     rows = files.read_json_lines(spark, folder, "event_id long, event_type string, value double")
     return rows.select("record.*", F.col("error").isNotNull().alias("broken"))
@@ -47,7 +48,7 @@ def a7(spark, d):
 
 @query("A8_vector_store", "select vec_id, cast(len(embedding) as integer) as dim, round(list_sum(list_transform(embedding, lambda x: x::double)), 5) as total from embeddings")
 def a8(spark, d):
-    folder = S.shared_folder(spark, "vectors")
+    folder = scratch(spark, "vectors")
     files.write_vectors(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), folder)
     v = spark.read.parquet(folder)
     return v.select(F.col("id").alias("vec_id"), F.size("vector").alias("dim"), F.round(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double")), 5).alias("total"))
@@ -55,7 +56,7 @@ def a8(spark, d):
 
 @query("A21_immutable_release", f"with {PLACES_SQL} select count(*) as n_rows, true as hashed from places")
 def a21(spark, d):
-    m = files.release(places(spark, d).select("poi_id", "name"), S.shared_folder(spark, "release"), "poi_id")
+    m = files.release(places(spark, d).select("poi_id", "name"), scratch(spark, "release"), "poi_id")
     return m.select("n_rows", (F.char_length("keys_sha256") == 64).alias("hashed"))
 
 

@@ -6,8 +6,6 @@ trigger, a running service. State, output and progress lie in the shared folder.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,10 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quarry-stream-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from quarry.sources.shared import scratch
 
 
 def events(spark: SparkSession, path: str) -> DataFrame:
@@ -35,7 +30,7 @@ def events(spark: SparkSession, path: str) -> DataFrame:
 def available(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Runs the stream over all that is available and returns what it wrote."""
     spark = df.sparkSession
-    folder = shared_folder(spark, name)
+    folder = scratch(spark, name)
     writer = df.writeStream.option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).outputMode(mode)
     if mode == "append":
         query = writer.format("parquet").option("path", f"{folder}/out").start()
