@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
+from quarry.sources.shared import reliable as persisted  # noqa: F401  cuts the lineage with a checkpoint in the shared folder
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table; one that comes in fewer parts than there are cores (a single small file) is dealt out over them once."""
@@ -20,22 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores, 64) else df
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="quarry-checkpoint-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def persisted(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in the shared folder; survives lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def scattered(df: DataFrame, *columns: str) -> DataFrame:
     """The named columns alone, so that extra or clashing columns never reach an operator."""
     return df.select(*[F.col(f"`{c}`") for c in columns])

@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -44,61 +45,149 @@ def pieces(docs: DataFrame, path: str, most: int, end_id: int) -> DataFrame:
     return scattered(docs, "doc_id", "text").mapInArrow(run, PIECES)
 
 
-def patterns(counts: np.ndarray, most: int) -> np.ndarray:
-    """All sets of up to three lengths that occur and fill a sequence exactly: rows of lengths, 0 for none."""
+class Patterns(NamedTuple):
+    """Ways to fill a sequence exactly: row i takes times[i, k] pieces of lengths[i, k], 0 of length 0 where fewer differ."""
+
+    lengths: np.ndarray
+    times: np.ndarray
+
+    def of(self, rows: np.ndarray) -> Patterns:
+        return Patterns(self.lengths[rows], self.times[rows])
+
+    def used(self, repeats: np.ndarray, most: int) -> np.ndarray:
+        """Pieces of each length in so many repeats of the rows."""
+        return np.bincount(self.lengths.ravel(), weights=(self.times * repeats[:, None]).ravel(), minlength=most + 1)
+
+    def value(self, prices: np.ndarray) -> np.ndarray:
+        """Of each row at prices by length."""
+        return (prices[self.lengths] * self.times).sum(axis=1)
+
+
+def patterns(counts: np.ndarray, most: int) -> Patterns:
+    """All sets of up to three pieces that occur and fill a sequence exactly, and all of one length repeated and one other
+    piece, which are what short documents fill a sequence with."""
     have = counts > 0
+    have[0] = False
     lengths = np.flatnonzero(have)
-    rows = [np.array([[most, 0, 0]])] if have[most] else []
-    two = lengths[(lengths >= most - lengths) & (lengths < most)]
-    two = two[have[most - two]]
-    rows.append(np.stack([two, most - two, np.zeros_like(two)], axis=1))
+    rows: list[tuple] = [(np.array([[most, 0, 0]]), np.array([[1, 0, 0]]))] if have[most] else []
     for a in lengths[lengths < most]:
-        b = np.arange(max(1, (most - a + 1) // 2), min(a, most - a - 1) + 1)
-        b = b[have[b] & have[most - a - b]] if len(b) else b
-        b = b[most - a - b <= b]
+        # a >= b >= c; c may be 0
+        b = np.arange(max(1, (most - a + 1) // 2), min(a, most - a) + 1)
+        c = most - a - b
+        b, c = b[have[b] & ((c == 0) | have[c])], c[have[b] & ((c == 0) | have[c])]
         if len(b):
-            rows.append(np.stack([np.full_like(b, a), b, most - a - b], axis=1))
-    return np.concatenate(rows) if rows else np.zeros((0, 3), dtype=np.int64)
-
-
-def fit_repeats(rows: np.ndarray, counts: np.ndarray, steps: int = 200) -> np.ndarray:
-    """Non-negative repeats x that bring the patterns' lengths closest to the histogram (least squares, weighted by
-    length), by multiplicative updates, which never leave the non-negative orthant and never raise the error."""
-    b = counts.astype(np.float64).copy()
-    b[0] = 0
-    w = np.sqrt(np.arange(len(b)) / (len(b) - 1))
-    up = lambda r: sum(r[rows[:, k]] for k in range(3))
-    down = lambda x: sum(np.bincount(rows[:, k], weights=x, minlength=len(b)) for k in range(3))
-    uses = np.maximum(down(np.ones(len(rows))), 1)
-    share = b / uses
-    share[0] = np.inf
-    x = np.maximum(share[rows].min(axis=1), 1e-9)
-    weight = w**2
-    weight[0] = 0
-    target = up(weight * b)
-    for _ in range(steps):
-        got = up(weight * down(x))
-        x *= target / np.maximum(got, 1e-12)
-    return x
-
-
-def round_down(rows: np.ndarray, x: np.ndarray, counts: np.ndarray) -> tuple[list[tuple[int, list[tuple[int, int]]]], np.ndarray]:
-    """Whole repeats, largest first, never more than the histogram holds; and what is left of it."""
+            one = np.ones_like(b)
+            rows.append((np.stack([np.full_like(b, a), b, c], axis=1), np.stack([one, one, np.minimum(c, 1)], axis=1)))
+        n = np.arange(2, most // a + 1)
+        rest = most - n * a
+        fits = ((rest == 0) | have[rest]) & (rest != a) & ((n > 2) | (rest > a) | (rest == 0))
+        n, rest = n[fits & (n + (rest > 0) > 3)], rest[fits & (n + (rest > 0) > 3)]
+        if len(n):
+            rows.append((np.stack([np.full_like(n, a), rest, np.zeros_like(n)], axis=1), np.stack([n, np.minimum(rest, 1), np.zeros_like(n)], axis=1)))
+    if not rows:
+        return Patterns(np.zeros((0, 3), dtype=np.int64), np.zeros((0, 3), dtype=np.int64))
+    return Patterns(*(np.concatenate(x) for x in zip(*rows)))
+
+
+def _spread(values: np.ndarray, found: Patterns, most: int) -> np.ndarray:
+    """Rows in descending order of value of which no two have a length in common."""
+    out, taken = [], bytearray(most + 1)
+    for i, own in zip(values.tolist(), found.lengths[values].tolist()):
+        if not (taken[own[0]] or (own[1] and taken[own[1]]) or (own[2] and taken[own[2]])):
+            taken[own[0]] = taken[own[1]] = taken[own[2]] = 1
+            out.append(i)
+    return np.array(out, dtype=np.int64)
+
+
+def fit_repeats(found: Patterns, counts: np.ndarray, rounds: int = 12, steps: int = 40) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, repeats): non-negative least squares of the patterns against the histogram, the squared error of
+    a length weighing as the root of the length.
+
+    An active-set method: each round takes in patterns of the steepest descent that share no length with each other, and
+    solves for the active ones by conjugate gradients; those that come out negative leave. At most as many patterns as
+    there are lengths stay, so repeats are few and large, not many and below one half.
+    """
+    most = len(counts) - 1
+    weight = np.sqrt(np.arange(most + 1) / most)
+    target = counts * weight
+    active, x = np.zeros(0, dtype=np.int64), np.zeros(0)
+    for _ in range(rounds):
+        own = found.of(active)
+        slope = found.value(target - weight * own.used(x, most))
+        slope[active] = 0
+        size = np.sqrt(found.value(weight)) + 1e-12
+        order = np.argsort(-(slope / size), kind="stable")
+        new = _spread(order[slope[order] > 0][:20_000], found, most)
+        if not len(new):
+            break
+        active, x = np.concatenate([active, new]), np.concatenate([x, np.zeros(len(new))])
+        for _ in range(4):  # solve, drop the negative ones, solve again
+            own = found.of(active)
+            rest = own.value(target - weight * own.used(x, most))
+            along, size = rest.copy(), float(rest @ rest)
+            for _ in range(steps):
+                if size < 1e-9:
+                    break
+                turned = own.value(weight * own.used(along, most))
+                step = size / max(float(along @ turned), 1e-12)
+                x, rest = x + step * along, rest - step * turned
+                size, before = float(rest @ rest), size
+                along = rest + size / before * along
+            keep = x > 1e-6
+            active, x = active[keep], x[keep]
+            if keep.all():
+                break
+        if len(active) > np.count_nonzero(counts):
+            keep = np.sort(np.argsort(-x, kind="stable")[: np.count_nonzero(counts)])
+            active, x = active[keep], x[keep]
+    return active, x
+
+
+Group = tuple[int, list[tuple[int, int]]]
+
+
+def round_repeats(found: Patterns, rows: np.ndarray, x: np.ndarray, counts: np.ndarray, least: float) -> tuple[list[Group], np.ndarray]:
+    """Repeats of at least `least` to whole numbers, largest first, never more than the histogram holds; and its rest."""
     left, out = counts.copy(), []
-    for i in np.argsort(-x, kind="stable"):
-        want = int(np.floor(x[i] + 0.5))
-        if want < 1:
+    for i, repeats in sorted(zip(rows.tolist(), x.tolist()), key=lambda r: (-r[1], r[0])):
+        if repeats < least:
             break
-        lengths = [int(v) for v in rows[i] if v]
-        parts = [(v, lengths.count(v)) for v in dict.fromkeys(lengths)]
-        n = min(want, *(int(left[v]) // m for v, m in parts))
+        parts: dict[int, int] = {}
+        for v, m in zip(found.lengths[i].tolist(), found.times[i].tolist()):
+            if m:
+                parts[v] = parts.get(v, 0) + m
+        n = min(max(1, int(repeats + 0.5)), *(int(left[v]) // m for v, m in parts.items()))
         if n > 0:
-            for v, m in parts:
+            for v, m in parts.items():
                 left[v] -= n * m
-            out.append((n, parts))
+            out.append((n, list(parts.items())))
     return out, left
 
 
+def by_patterns(counts: np.ndarray, most: int) -> Iterator[tuple[list[Group], np.ndarray]]:
+    """Sequences that patterns fill, and the pieces that are left for best fit; after each turn.
+
+    Fits and rounds in turn: what rounding leaves is fitted anew with the patterns it still has, until none is left. Where
+    all repeats are below one half the largest half of them counts as one each, so that every turn places something.
+    Pieces shorter than a 64th of a sequence stay for the gaps that best fit leaves.
+    """
+    groups: list[Group] = []
+    short, left = counts.copy(), counts.copy()
+    short[most // 64 :] = left[: max(most // 64, 1)] = short[0] = 0
+    while True:
+        yield list(groups), left + short
+        found = patterns(left, most)
+        if not len(found.lengths):
+            return
+        rows, x = fit_repeats(found, left)
+        if not len(rows):
+            return
+        more, left = round_repeats(found, rows, x, left, min(0.5, float(np.median(x))))
+        if not more:
+            return
+        groups += more
+
+
 def best_fit(left: np.ndarray, most: int) -> list[tuple[int, list[tuple[int, int]]]]:
     """Best-fit decreasing on a histogram: longest first, each into the fullest sequence with room. Equal sequences are
     one group, so the work depends on the number of lengths, not of documents."""
@@ -165,10 +254,15 @@ class Plan:
 
 
 def plan(counts: np.ndarray, most: int) -> Plan:
-    """counts: pieces by length, from 0 to `most`."""
-    rows = patterns(counts, most)
-    groups, left = round_down(rows, fit_repeats(rows, counts), counts) if len(rows) else ([], counts)
-    return Plan(groups + best_fit(left, most), most)
+    """counts: pieces by length, from 0 to `most`. Of the turns at which the patterns may stop, the one that gives the
+    fewest sequences together with the best fit of the rest; of equal ones the last."""
+    best = None
+    for groups, left in by_patterns(counts, most):
+        packed = groups + best_fit(left, most)
+        size = sum(n for n, _ in packed)
+        if best is None or size <= best[0]:
+            best = size, packed
+    return Plan(best[1], most)
 
 
 def pack(docs: DataFrame, path: str | None = None, most: int = 2048, end_id: int = 0) -> DataFrame:
@@ -176,7 +270,8 @@ def pack(docs: DataFrame, path: str | None = None, most: int = 2048, end_id: int
 
     The histogram of lengths, at most `most` rows, is all the driver gets. Pieces of one length are numbered by the
     tasks that made them and a running sum over tasks, so no task sees all pieces of a length. Null text counts as empty
-    (one id, the end). Repeated rows are packed each; an empty table gives no rows.
+    (one id, the end). Very long texts become many pieces; none is cut off. Repeated rows, and rows without an id, are
+    packed each; pieces of equal length change places freely. Other columns are ignored. An empty table gives no rows.
     """
     path = path or tokenizer_path("word_bpe_49k.json")
     cut = persisted(pieces(docs, path, most, end_id))

@@ -16,7 +16,6 @@ Blocks hold about `block` ids and are in ascending order of document id over (pa
 from __future__ import annotations
 
 import struct
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -26,8 +25,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import arrow_schema, scattered, shared_dir
+from quarry.llm.common import arrow_schema, scattered
 from quarry.llm.tokens import encoder, tokenizer_path
+from quarry.sources.shared import remove, scratch
 
 MAGIC = b"QTOKENS1"
 NULL_ID = -(1 << 63)
@@ -182,8 +182,7 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = 0
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(r, 1) for c in range(4)), block], schema=arrow)
 
     _save(draft.mapInArrow(run, BLOCKS), f"{folder}/blocks")
-    place = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/draft")
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    remove(spark, f"{folder}/draft")
 
 
 def read(spark: SparkSession, folder: str, digests: bool = False) -> DataFrame:
@@ -220,6 +219,6 @@ def read(spark: SparkSession, folder: str, digests: bool = False) -> DataFrame:
 
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Writes all documents to a new store in the shared folder and returns doc_id, start, n_tokens, ids_crc32 from it."""
-    folder = f"{shared_dir(docs.sparkSession)}/token-ids-{uuid.uuid4().hex}"
+    folder = scratch(docs.sparkSession, "token-ids")
     write(docs, folder, path)
     return read(docs.sparkSession, folder, digests=True)

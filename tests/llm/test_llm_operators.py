@@ -145,6 +145,35 @@ def test_packing_plan_places_every_piece(seed):
     assert bound <= plan.n_sequences <= bound * 1.02 + 1
 
 
+@pytest.mark.parametrize("pieces", [10_000, 200_000])
+def test_patterns_pack_most_pieces_and_no_worse_than_best_fit(pieces):
+    rnd, most = np.random.default_rng(pieces), 2048
+    lengths = np.clip(rnd.lognormal(6.2, 1.0, pieces).astype(int), 1, most)
+    counts = np.bincount(lengths, minlength=most + 1)
+    turns = list(packing.by_patterns(counts, most))
+    for groups, left in turns:  # patterns and rest are the histogram, and patterns fill their sequences
+        used = np.zeros(most + 1, dtype=np.int64)
+        for n, parts in groups:
+            assert sum(length * times for length, times in parts) == most
+            for length, times in parts:
+                used[length] += n * times
+        assert (used + left == counts).all()
+    assert turns[-1][1].sum() <= 0.1 * pieces
+    plain = sum(n for n, _ in packing.best_fit(counts, most))
+    assert -(-int(lengths.sum()) // most) <= packing.plan(counts, most).n_sequences <= plain
+
+
+def test_patterns_are_all_exact_fills():
+    most, counts = 24, np.zeros(25, dtype=np.int64)
+    counts[[3, 4, 5, 6, 8, 9, 12, 15, 24]] = 7
+    have = set(np.flatnonzero(counts).tolist())
+    want = {tuple(sorted(x for x in (a, b, most - a - b) if x)) for a in have for b in have | {0} if most - a - b in have | {0}}
+    want |= {tuple(sorted([a] * n + ([most - n * a] if most - n * a else []))) for a in have for n in range(1, most // a + 1) if most - n * a in have | {0}}
+    found = packing.patterns(counts, most)
+    got = [tuple(sorted(int(v) for v, m in zip(vs, ms) for _ in range(m))) for vs, ms in zip(found.lengths, found.times)]
+    assert len(got) == len(set(got)) and set(got) == {w for w in want if sum(w) == most}
+
+
 def brute_fingerprint(text):
     import xxhash
 
