@@ -451,6 +451,71 @@ def test_op1_deletes_lines_shared_with_the_nearest_page(spark):
         assert got[100] == got[101] == "Site name\nAll topics\nCopy\nImprint line"
 
 
+@pytest.mark.parametrize("source,text", [
+    ('<article><header class="entry-header"><h1>Title</h1></header><p>Body</p></article>', "Title\nBody"),
+    ('<article><div class="entry-header"><h1>Title</h1></div><p>Body</p></article>', "Title\nBody"),
+    ('<article><h1 class="article-header">Title</h1><p>Body</p></article>', "Title\nBody"),
+    ('<div class="layout no-sidebar"><article><p>Body</p></article></div>', "Body"),
+    ('<div class="search-open"><article><p>Body</p></article></div>', "Body"),
+    ('<form id="page-form"><div class="sidebar">s</div><main><p>Body</p></main></form>', "Body"),
+    ('<div class="widget"><h1>Title</h1><p>Body</p></div><footer>f</footer>', "Title\nBody"),
+    ('<article><p>Body</p><section id="comments"><article class="comment"><p>me too</p></article></section></article>', "Body"),
+    ('<article><p>Body</p><div class="related-posts"><h3>More</h3><a>x</a></div></article>', "Body"),
+    ('<article><p>Body <span class="ad">buy</span> more</p><aside><h1>no</h1></aside></article>', "Body\nmore"),
+    ('<aside><article><p>teaser</p></article></aside><div><p>Body</p></div>', "Body"),
+    ('<header><h1>Site</h1></header><article><p>Body</p></article><div class="cookieBanner">c</div>', "Body"),
+])
+def test_marks_never_cost_an_article_its_text(source, text):
+    lines = html_extract.lines_of(f"<html><body>{source}</body></html>")
+    assert html_extract.main_text(html_extract.Page(1, "u", [x for _, x in lines], [k for k, _ in lines]), None) == text
+
+
+def test_op1_alignment_decides_inside_articles_too(spark):
+    def page(i):
+        return f"""<body><article><h1>Story {i}</h1><ul><li><a href="/">Home</a></li><li><a href="/n">News</a></li></ul><div>Read our terms</div>
+            <p>Only here {i * i}</p><p>Quoted by all.</p><div>Box of {i}</div></article></body>"""
+
+    rows = [(i, f"http://h.com/a/{i:02d}", page(i)) for i in range(12)] + [(90, "http://alone.com/", page(0))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.extract(df, parts=3).collect()}
+    # shared links and boxes go, shared prose stays
+    assert all(got[i] == f"Story {i}\nOnly here {i * i}\nQuoted by all.\nBox of {i}" for i in range(12))
+    assert got[90] == "Story 0\nHome\nNews\nRead our terms\nOnly here 0\nQuoted by all.\nBox of 0"
+
+
+@pytest.mark.parametrize("parts", [1, 4, 11])
+def test_op1_is_brute_force_over_all_pages(spark, parts):
+    import random
+
+    rnd = random.Random(parts)
+    boxes = ["<div>menu</div>", "<div>terms</div>", "<p>shared prose</p>", "<div class='ad'>buy</div>", "<footer>end</footer>", "<a>link</a>"]
+    rows = []
+    for k in range(160):
+        body = "".join(rnd.choice(boxes) if rnd.random() < 0.7 else f"<p>own {rnd.randrange(40)}</p>" for _ in range(rnd.randrange(9)))
+        url = None if rnd.random() < 0.05 else f"http://{rnd.choice(['a.com', 'www.a.com', 'b.org', 'C.net'])}/{rnd.choice(['x/', 'y/', 'x/y/', ''])}{rnd.randrange(30)}"
+        rows.append((rnd.choice([None, k, -k, 7]), url, None if rnd.random() < 0.05 else f"<article>{body}</article>" if rnd.random() < 0.5 else body))
+    rows += rows[:9]
+    df = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, text string").repartition(5)
+    order = sorted(((*html_extract.split_url(u), i is not None, i or 0, u or "", h) for i, u, h in rows), key=lambda r: r[:5])
+    want = []
+    lines = [html_extract.lines_of(r[5]) for r in order]
+    for k, r in enumerate(order):
+        near = [j for j in (k - 1, k + 1) if 0 <= j < len(order) and order[j][0] == r[0]]
+        best = max(near, key=lambda j: html_extract._near(r[1], order[j][1]), default=None)
+        mine, theirs = lines[k], lines[best] if best is not None else []
+        shared = html_extract.shared_lines([x for _, x in mine], [x for _, x in theirs])
+        kinds = [x for x, _ in mine]
+        own = [i for i, x in enumerate(kinds) if (x in (html_extract.ARTICLE, html_extract.BOXED) if {html_extract.ARTICLE, html_extract.BOXED} & set(kinds) else x == html_extract.OTHER)]
+        left = [i for i in own if i not in shared or kinds[i] == html_extract.ARTICLE] if set(own) - shared else own
+        want.append((r[:5], "\n".join(mine[i][1] for i in left)))
+    alike = Counter(k for k, _ in want)  # rows of one key come in any order, and so do their neighbours
+    key = lambda i, u: (*html_extract.split_url(u), i is not None, i or 0, u or "")
+    got = html_extract.extract(df, parts=parts).collect()
+    single = lambda found: sorted((k, t) for k, t in found if all(alike[o[:5]] < 2 for o in order if o[:2] == k[:2]))
+    assert Counter(key(r.page_id, r.url) for r in got) == alike and all(r.n_chars == len(r.text) for r in got)
+    assert single((key(r.page_id, r.url), r.text) for r in got) == single(want) and len(single(want)) > 20
+
+
 @pytest.mark.parametrize("source,lines", [
     ("<p>a<p>b", ["a", "b"]), ("<div><p>a</div>b", ["a", "b"]), ("<ul><li>x<li>y</ul>", ["x", "y"]), ("a<br>b <i>c</i>d", ["a b cd"]),
     ('<p title="a>b">t</p><a href="broken>u</a>', ["t", "u"]), ("<!-- x <p>no</p>", []), ("<script>var a='<p>';", []), ("x < y &lt; z &amp", ["x < y < z &"]),
