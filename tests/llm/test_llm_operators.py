@@ -290,50 +290,117 @@ def test_op3_bands_stand_copies_and_small_languages(spark):
     assert all(kept[3000 + i] for i in range(10))
 
 
+def _histories(text):
+    """(what the model sees before it, character) for every scored character, by definition."""
+    before = None
+    for w in WORD.findall(text):
+        for j, c in enumerate(w + " "):
+            if j > 1:
+                seen = f" {w}"[: j + 1]
+            elif before is None:
+                seen = "\n" + w[:j]
+            else:
+                seen = (before[-2:] if len(before) > 1 else f" {before}") + " " + w[:j]
+            yield seen[-4:], c
+        before = w
+
+
+class BruteKneserNey:
+    def __init__(self, texts):
+        grams = [Counter() for _ in range(6)]
+        for t in texts:
+            for seen, c in _histories(t):
+                for n in range(1, min(5, len(seen) + 1) + 1):
+                    grams[n][seen[len(seen) - n + 1 :] + c] += 1
+        self.raw, self.a, self.d = grams, [{} for _ in range(6)], [None] * 6
+        for n in range(1, 6):
+            before = Counter(g[1:] for g in grams[n + 1]) if n < 5 else {}
+            self.a[n] = {g: c if n == 5 or g[0] == "\n" else max(1, before.get(g, 0)) for g, c in grams[n].items()}
+            of = Counter(self.a[n].values())
+            n1, n2, n3, n4 = (max(1, of[k]) for k in (1, 2, 3, 4))
+            y = n1 / (n1 + 2 * n2)
+            self.d[n] = [min(max(x, lo), hi) for x, lo, hi in ((1 - 2 * y * n2 / n1, 0.1, 0.9), (2 - 3 * y * n3 / n2, 0.2, 1.8), (3 - 4 * y * n4 / n3, 0.3, 2.7))]
+        self.follow = [{} for _ in range(6)]
+        for n in range(1, 6):
+            for g, c in self.a[n].items():
+                self.follow[n].setdefault(g[:-1], []).append(c)
+
+    def p(self, seen, c, n=None):
+        n = min(5, len(seen) + 1) if n is None else n
+        lower = 1 / (len(self.a[1]) + 1) if n == 1 else self.p(seen, c, n - 1)
+        context = seen[len(seen) - n + 1 :]
+        counts = self.follow[n].get(context)
+        if not counts:
+            return lower
+        off = lambda k: self.d[n][min(k, 3) - 1]
+        own = self.a[n].get(context + c, 0)
+        return ((own - off(own) if own else 0) + sum(map(off, counts)) * lower) / sum(counts)
+
+
+@pytest.mark.parametrize("shard", [4_000_000, 60])
+def test_op3_perplexity_and_verdict_are_brute_force(spark, monkeypatch, shard):
+    import math
+    import random
+
+    monkeypatch.setattr(quality, "SHARD", shard)
+    rnd = random.Random(12)
+    vocab = ["".join(rnd.choice(["ba", "ko", "ri", "té", "l", "中", "'s", "a"]) for _ in range(rnd.randrange(1, 4))) for _ in range(60)]
+    texts = [" ".join(rnd.choice(vocab) for _ in range(rnd.randrange(20, 50))) for _ in range(130)]
+    texts += [None, "", "a b", texts[0], texts[0], " ".join("xq#zw" for _ in range(30)), "\n\tone\x0btwo  " * 3, " ".join("".join(rnd.choice("qxzjw") for _ in range(6)) for _ in range(40))]
+    rows = [(i, t, ["en", "fr", None][i % 3]) for i, t in enumerate(texts)]
+    got = {r.doc_id: r for r in quality.assess(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)).collect()}
+    brute = BruteKneserNey([t or "" for t in texts])
+    mean = {}
+    for i, t, _ in rows:
+        logs = [math.log(brute.p(seen, c)) for seen, c in _histories(t or "")]
+        assert (got[i].perplexity is None) == (not logs)
+        if logs:
+            mean[i] = -sum(logs) / len(logs), len(logs)
+            assert math.log(got[i].perplexity) == pytest.approx(mean[i][0], abs=2e-5)
+    # the bands over distinct texts that pass the base rules
+    lang = {i: x or "" for i, _, x in rows}
+    at = lambda v, q: sorted(v)[max(0, math.ceil(q * len(v)) - 1)]
+    distinct = {}
+    for i, (m, n) in mean.items():
+        if not got[i].base_failed:
+            distinct.setdefault((lang[i], n, round(m, 6)), m)
+    median = {x: at([m for (y, *_), m in distinct.items() if y == x], 0.5) for x in {k[0] for k in distinct}}
+    away = [(x, (m - median[x]) * math.sqrt(n)) for (x, n, _), m in distinct.items()]
+    pooled = -at([d for _, d in away], 0.25) / 0.6745  # no language here has enough texts for a spread of its own
+    checked = 0
+    for i, (m, n) in mean.items():
+        if not got[i].base_failed:
+            d = (m - median[lang[i]]) * math.sqrt(n)
+            if abs(d - quality.UPPER * pooled) > 1e-3 and abs(d + quality.LOWER * pooled) > 1e-3:
+                checked += 1
+                assert got[i].kept == (-quality.LOWER * pooled <= d <= quality.UPPER * pooled), (i, d, pooled)
+    assert checked > 120 and any(not got[i].kept for i in mean if not got[i].base_failed)
+
+
 def test_op3_no_two_ngrams_share_a_count(spark):
     import random
 
     rnd = random.Random(6)
     words = ["".join(chr(rnd.randrange(0x4E00, 0x9FFF)) for _ in range(10)) for _ in range(3000)]
-    counted = quality.count_grams(spark.createDataFrame([(" ".join(words + words[:7]),)], "text string")).collect()
+    text = " ".join(words + words[:7])
+    counted = quality.count_grams(spark.createDataFrame([(text,)], "text string")).collect()
+    want = [Counter() for _ in range(6)]
+    for seen, c in _histories(text):
+        for n in range(1, min(5, len(seen) + 1) + 1):
+            want[n][seen[len(seen) - n + 1 :] + c] += 1
     for n in range(1, quality.ORDER + 1):
-        grams = Counter(m[j : j + n] for w in words + words[:7] for m in [f"^{w}$"] for j in range(n == 1, len(m) - n + 1))
-        assert sorted(r.c for r in counted if r.n == n) == sorted(grams.values())
+        assert sorted(r.c for r in counted if r.n == n) == sorted(want[n].values())
 
 
 def test_kneser_ney_is_a_distribution(spark):
     text = "aa ab ba abc abc abb cab " * 3
     model = quality.fit(spark.createDataFrame([(text,)], "text string"))
-    # after each context the characters, the end and an unknown character have probability one in all
-    for context in ("", "a", "ab", "zz"):
-        before = _partial(model, context)
-        total = sum(np.exp(_partial(model, context + c) - before) for c in "abcz")
-        total += np.exp(model.score([context])[0][0] - before)
+    # after each context the known characters and an unknown one have probability one in all
+    for seen in ("\n", "\na", " ", " a", " ab", "ab ", " b a", "zz"):
+        total = np.exp(model.score([(seen + c, len(seen)) for c in "abc z"])).sum()
         assert total == pytest.approx(1, abs=1e-3)
 
 
-def _partial(model, text):
-    """Log probability of the characters without the end: by scoring with the end's term removed."""
-    codes, place, _ = quality._codes([text])
-    hashes = quality._hashes(codes)
-    out = 0.0
-    for i in range(1, len(codes) - 1):
-        p, n = 0.0, min(quality.ORDER, i + 1)
-        while True:
-            found, v = model._find(model.grams[n], hashes[n][i : i + 1])
-            if found[0]:
-                p += v[0]
-                break
-            if n == 1:
-                p += model.unknown
-                break
-            known, w = model._find(model.backoff[n], hashes[n - 1][i - 1 : i])
-            p += w[0] if known[0] else 0.0
-            n -= 1
-        out += p
-    return out
-
-
 def test_op2_language(spark, docs):
     import random
 
