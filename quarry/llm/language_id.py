@@ -17,6 +17,8 @@ from quarry.llm.common import arrow_schema, map_rows, resident, scattered
 #: Runs of letters (digits and the underscore end a word).
 WORD = re.compile(r"[^\W\d_]+")
 ORDERS = (5, 4, 3, 2, 1)
+#: Characters of labelled text that a model is fitted on: of each language, and of all together.
+PER_LANGUAGE, IN_ALL = 3_000_000, 60_000_000
 
 
 def words_of(text: str) -> list[str]:
@@ -54,108 +56,131 @@ def count_words(docs: DataFrame, flush: int = 300_000) -> DataFrame:
     return partial.groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
+def _gram_hashes(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each order the 64-bit hashes of the words' character n-grams, both ends marked, and the word of each."""
+    marked = [f"^{w}$" for w in words]
+    codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+    sizes = np.fromiter(map(len, marked), dtype=np.int64, count=len(marked))
+    word = np.repeat(np.arange(len(marked)), sizes)
+    left = (np.cumsum(sizes)[word] if len(word) else word) - np.arange(len(codes))  # characters up to the word's end
+    for order in ORDERS:
+        h = np.full(max(len(codes) - order + 1, 0), order, dtype=np.uint64)
+        for k in range(order):
+            h = (h ^ codes[k : k + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        whole = left[: len(h)] >= order
+        yield h[whole], word[: len(h)][whole]
+
+
 class Model:
     """Known words and character n-grams with a log probability for each language.
 
-    A known word scores its own log frequency. An unseen word scores the mean over its longest known n-grams: those of
-    five characters, else of four, and so on down to single characters; a word without any known n-gram says nothing.
+    A known word scores its own log frequency. An unseen word, whatever its length, scores the mean over its longest known
+    n-grams: those of five characters, else of four, and so on down to single characters; a word without any known n-gram
+    says nothing. The n-grams of all known words are kept, as sorted arrays of hashes.
     """
 
-    def __init__(self, langs: list[str], totals: dict[str, int], counts: dict[str, dict[str, int]]):
-        """counts: word -> lang -> occurrences, for the known words; totals: occurrences of all words by language."""
+    def __init__(self, langs: list[str], counts: dict[str, dict[str, int]]):
+        """counts: word -> lang -> occurrences."""
         self.langs = langs
         at = {lang: i for i, lang in enumerate(langs)}
-        self.words = {w: i for i, w in enumerate(counts)}
-        n = np.zeros((len(counts), len(langs)))
-        grams: list[dict[str, np.ndarray]] = [{} for _ in ORDERS]
-        for w, i in self.words.items():
+        words = list(counts)
+        self.words = {w: i for i, w in enumerate(words)}
+        n = np.zeros((len(words), len(langs)))
+        for i, w in enumerate(words):
             for lang, c in counts[w].items():
                 n[i, at[lang]] = c
-            row, marked = n[i], f"^{w}$"
-            for k, order in enumerate(ORDERS):
-                own = grams[k]
-                for j in range(len(marked) - order + 1):
-                    g = marked[j : j + order]
-                    if g in own:
-                        own[g] += row
-                    else:
-                        own[g] = row.copy()
-        total = np.array([totals[lang] for lang in langs], dtype=float)
-        self.matrix = np.log((n + 0.5) / (total + 0.5 * (len(counts) + 1))) if langs else n
+        self.matrix = np.log((n + 0.5) / (n.sum(axis=0) + 0.5 * (len(words) + 1))).astype(np.float32)
         self.grams = []
-        for own in grams:
-            m = np.array(list(own.values())).reshape(len(own), len(langs))
-            m = np.log((m + 0.5) / (m.sum(axis=0) + 0.5 * (len(own) + 1)))
-            self.grams.append(({g: i for i, g in enumerate(own)}, m.astype(np.float32)))
-        self.matrix = self.matrix.astype(np.float32)
-
-    def unseen(self, word: str) -> np.ndarray:
-        marked = f"^{word[:64]}$"
-        for order, (index, m) in zip(ORDERS, self.grams):
-            rows = [i for j in range(len(marked) - order + 1) if (i := index.get(marked[j : j + order])) is not None]
-            if rows and (order > 1 or len(rows) > 2):
-                return m[rows].mean(axis=0)
-        return np.zeros(len(self.langs), dtype=np.float32)
+        for h, word in _gram_hashes(words):
+            keys, of = np.unique(h, return_inverse=True)
+            m = np.stack([np.bincount(of, weights=n[word, k], minlength=len(keys)) for k in range(len(langs))], axis=1) if langs else np.zeros((len(keys), 0))
+            self.grams.append((keys, np.log((m + 0.5) / (m.sum(axis=0) + 0.5 * (len(keys) + 1))).astype(np.float32)))
+
+    def unseen(self, words: list[str]) -> np.ndarray:
+        """A row for each of some words that are not known."""
+        out = np.zeros((len(words), len(self.langs)), dtype=np.float32)
+        todo = np.ones(len(words), dtype=bool)
+        for order, (h, word), (keys, m) in zip(ORDERS, _gram_hashes(words), self.grams):
+            if not len(keys) or not len(h):
+                continue
+            row = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+            known = (keys[row] == h) & todo[word]
+            row, word = row[known], word[known]
+            n = np.bincount(word, minlength=len(words))
+            if order == 1:  # the marks of both ends are always known
+                n[n <= 2] = 0
+            own = np.flatnonzero(n)
+            for k in range(len(self.langs)):
+                out[own, k] = np.bincount(word, weights=m[row, k], minlength=len(words))[own] / n[own]
+            todo[own] = False
+        return out
 
 
 class Scorer:
     """Scores of words, remembered in a worker for at most `keep` unseen words at a time."""
 
-    def __init__(self, model: Model, keep: int = 300_000):
+    def __init__(self, model: Model, keep: int = 200_000):
         self.model, self.keep = model, keep
         self.clear()
 
     def clear(self) -> None:
         self.memo = dict(self.model.words)
-        self.rows = [self.model.matrix, np.zeros((self.keep, len(self.model.langs)), dtype=np.float32)]
-        self.rows = np.concatenate(self.rows)
+        self.rows = np.concatenate([self.model.matrix, np.zeros((self.keep, len(self.model.langs)), dtype=np.float32)])
+
+    def learn(self, words: list[str]) -> None:
+        """Makes room for the unseen ones of some words and scores them."""
+        new = list(dict.fromkeys(w for w in words if w not in self.memo))
+        if len(self.memo) + len(new) > len(self.rows):
+            self.clear()
+            new = list(dict.fromkeys(w for w in words if w not in self.memo))
+        at = len(self.memo)
+        self.rows[at : at + len(new)] = self.model.unseen(new)
+        self.memo.update(zip(new, range(at, at + len(new))))
 
     def of(self, words: list[str]) -> np.ndarray:
         """Sum of the words' scores."""
-        ids = list(map(self.memo.get, words))
-        if None in ids:
-            for k, i in enumerate(ids):
-                if i is None:
-                    w = words[k]
-                    if (i := self.memo.get(w)) is None:
-                        if len(self.memo) >= len(self.rows):
-                            self.clear()
-                            return self.of(words[: self.keep // 2]) + self.of(words[self.keep // 2 :]) if len(words) > self.keep // 2 else self.of(words)
-                        i = self.memo[w] = len(self.memo)
-                        self.rows[i] = self.model.unseen(w)
-                    ids[k] = i
-        return self.rows[ids].sum(axis=0, dtype=np.float64)
-
-
-def fit(docs: DataFrame, max_words: int = 60_000, longest: int = 64) -> Model:
-    """Learns from all rows with a language. `max_words` bounds the known words (and so what is broadcast): the largest
-    count threshold is taken that leaves no more than so many words, all languages together; words below it are unseen
-    ones to the model and go by their n-grams."""
-    counts = count_words(docs).persist()
-    try:
-        totals = {r[0]: r[1] for r in counts.groupBy("lang").agg(F.sum("n")).collect()}
-        by_word = counts.filter(F.char_length("word") <= longest).groupBy("word").agg(F.sum("n").alias("of_word"))
-        # counts fall on a log scale of 8 steps an octave, so the histogram has a bounded number of rows
-        step = F.floor(F.log2("of_word") * 8).cast("int")
-        left, least = max_words, None
-        for k, n in sorted(by_word.groupBy(step.alias("k")).count().collect(), reverse=True):
-            if n > left:
-                break
-            left, least = left - n, k
-        known: dict[str, dict[str, int]] = defaultdict(dict)
-        if least is not None:
-            kept = by_word.filter(step >= least)
-            for w, lang, n in sorted(map(tuple, counts.join(kept, "word", "left_semi").select("word", "lang", "n").collect())):
-                known[w][lang] = n
-    finally:
-        counts.unpersist()
-    return Model(sorted(totals), totals, known)
+        total = np.zeros(len(self.model.langs))
+        for a in range(0, len(words), self.keep):
+            part = words[a : a + self.keep]
+            ids = list(map(self.memo.get, part))
+            if None in ids:
+                self.learn(part)
+                ids = list(map(self.memo.get, part))
+            total += self.rows[ids].sum(axis=0, dtype=np.float64)
+        return total
+
+
+def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, in_all: int = IN_ALL) -> Model:
+    """Learns from rows with a language: every word of a sample of whole texts.
+
+    Of each language texts of about `per_language` characters are taken, or of less where all languages together would
+    pass `in_all`; of a language with no more than that all. The sample is of distinct texts, so a text has the same chance
+    whatever the number of its copies, and by hash, so it is the same however the rows are dealt out. A row for each
+    language, and the sample's words, come to the driver.
+    """
+    own = scattered(docs, "lang", "text").filter("lang is not null and text is not null")
+    key = F.xxhash64("text")
+    sizes = own.select("lang", key.alias("k"), F.char_length("text").alias("size")).groupBy("lang", "k").agg(F.max("size").alias("size"))
+    totals = {r[0]: r[1] for r in sizes.groupBy("lang").agg(F.sum("size")).collect()}
+    if not totals:
+        return Model([], {})
+    each = min(per_language, in_all // len(totals))
+    # of the keys' range from -2**63 to 2**63 a language takes a share from the bottom
+    shares = docs.sparkSession.createDataFrame([(lang, -(1 << 63) + min((1 << 64) - 1, int(each / max(n, 1) * (1 << 64)))) for lang, n in totals.items()], "lang string, most long")
+    some = own.withColumn("k", key).join(F.broadcast(shares), "lang").filter("k <= most").groupBy("lang", "k").agg(F.first("text").alias("text"))
+    counts: dict[str, dict[str, int]] = defaultdict(dict)
+    found = count_words(some).select("word", "lang", "n").toArrow()
+    for w, lang, n in sorted(zip(*(c.to_pylist() for c in found.columns))):
+        counts[w][lang] = n
+    return Model(sorted(totals), counts)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, lang_pred, score). The score is the share of the posterior of the winning language, from the evidence of
     at most 20 words, between 0 and 1. Null text, text without a letter and a model without languages give `und` and 0.
-    Ties go to the first language in order. Whole texts, each row by itself; repeated rows repeat."""
+    Ties go to the first language in order. Whole texts, each row by itself, and whole words, however long; repeated rows
+    repeat, null ids stay null, other columns are ignored; an empty table gives no rows."""
     told = docs.sparkSession.sparkContext.broadcast(model)
     key = uuid.uuid4().hex
 
@@ -183,6 +208,7 @@ def held_out():
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    """Trains on the rows that are not held out and predicts every row."""
+    """doc_id, held_out, lang_pred, score: fits on the rows with a language that are not held out and predicts every row,
+    as `fit` and `predict` have it. A null doc_id is not held out. Without a row to learn from every prediction is `und`."""
     model = fit(docs.filter(~held_out()))
     return predict(docs, model).withColumn("held_out", held_out()).select("doc_id", "held_out", "lang_pred", "score")

@@ -422,6 +422,82 @@ def test_op2_language(spark, docs):
     assert language_id.identify(empty(spark)).count() == 0
 
 
+def brute_language_scores(rows, text):
+    """Sum of the words' scores by language, by definition."""
+    langs = sorted({lang for _, t, lang in rows if lang is not None and t is not None})
+    words = {lang: Counter(w for _, t, x in rows if x == lang and t for w in language_id.words_of(t)) for lang in langs}
+    known = set().union(*words.values()) if langs else set()
+    grams = {}
+    for n in range(1, 6):
+        grams[n] = {lang: Counter() for lang in langs}
+        for lang in langs:
+            for w, c in words[lang].items():
+                for j in range(len(w) + 2 - n + 1):
+                    grams[n][lang][f"^{w}$"[j : j + n]] += c
+    out = np.zeros(len(langs))
+    for w in language_id.words_of(text or ""):
+        if w in known:
+            out += [np.log((words[x][w] + 0.5) / (sum(words[x].values()) + 0.5 * (len(known) + 1))) for x in langs]
+            continue
+        for n in (5, 4, 3, 2, 1):
+            kinds = set().union(*grams[n].values())
+            found = [g for j in range(len(w) + 2 - n + 1) if (g := f"^{w}$"[j : j + n]) in kinds]
+            if len(found) > (2 if n == 1 else 0):
+                out += [np.mean([np.log((grams[n][x][g] + 0.5) / (sum(grams[n][x].values()) + 0.5 * (len(kinds) + 1))) for g in found]) for x in langs]
+                break
+    return langs, out
+
+
+def test_op2_is_brute_force(spark):
+    import random
+
+    rnd = random.Random(8)
+    parts = {"aa": ["ba", "ko", "ri", "té"], "bb": ["ten", "lu", "sha", "ko"], "cc": ["中", "文", "字", "ri"]}
+    word = lambda lang: "".join(rnd.choice(parts[lang]) for _ in range(rnd.randrange(1, 5)))
+    rows = []
+    for i in range(120):
+        lang = rnd.choice(list(parts))
+        rows.append((i, " ".join(word(lang) for _ in range(rnd.randrange(1, 30))), rnd.choice([lang, lang, None])))
+    rows += [(200, "x" * 500 + " " + "tenlu" * 90, "bb"), (201, "zz 12 QQ", None), (202, None, "aa"), (203, "", "bb"), (204, "lu_ri 9ten", None), (None, "bako rité", "aa")]
+    rows += [(300 + i, rows[0][1], rows[0][2]) for i in range(4)]
+    df = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, lang string, lang_pred string").repartition(3)
+    learned, seen = [], set()
+    for i, t, lang in rows:  # distinct texts of a language, held-out rows apart
+        if (i is None or zlib.crc32(str(i).encode()) % 4 != 2) and (t, lang) not in seen:
+            seen.add((t, lang))
+            learned.append((i, t, lang))
+    got = {r.doc_id: r for r in language_id.identify(df).collect()}
+    assert len(got) == len({r[0] for r in rows})
+    for i, t, _ in rows:
+        langs, scores = brute_language_scores(learned, t)
+        n = len(language_id.words_of(t or ""))
+        if not n:
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        s = scores * min(1.0, 20 / n)
+        best = s.max()
+        assert got[i].score == pytest.approx(1 / np.exp(s - best).sum(), abs=1e-3)
+        assert s[langs.index(got[i].lang_pred)] == pytest.approx(best, abs=1e-3)
+        assert got[i].held_out == (i is not None and zlib.crc32(str(i).encode()) % 4 == 2)
+    # a memo that starts anew in the middle of a text changes nothing
+    model = language_id.fit(df)
+    small, large = language_id.Scorer(model, keep=40), language_id.Scorer(model)
+    for _, t, _ in rows:
+        words = [f"{w}{k}x".translate(str.maketrans("0123456789", "abcdefghij")) for k, w in enumerate(language_id.words_of(t or "") * 3)]
+        assert small.of(words) == pytest.approx(large.of(words), abs=1e-3)
+
+
+def test_op2_sample_is_bounded_and_blind_to_copies(spark):
+    rows = [(i, f"{chr(97 + i % 26)}wort{'abcdefghij'[i // 26 % 10]}{'klmnopqrst'[i // 260]} und so weiter", "de") for i in range(2000)]
+    rows += [(5000 + i, "the hot copy of many words", "en") for i in range(3000)] + [(9000, "another one", "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    small = language_id.fit(df, per_language=6000)
+    learned = [w for w in small.words if "wort" in w]
+    assert 100 < len(learned) < 400 and "hot" in small.words and "another" in small.words
+    assert small.words == language_id.fit(df.repartition(7), per_language=6000).words
+    assert len([w for w in language_id.fit(df).words if "wort" in w]) == 2000
+
+
 def test_op9_licenses(spark, docs):
     apache = "Licensed under the Apache License, Version 2.0."
     rows = [(1, f"{LONG[:900]}\n{apache}\n{LONG[:900]}"), (2, apache.upper().replace(",", " ;")), (3, "licensed under the apache"), (4, "all rights\nreserved and RELEASED under the mit license"), (5, None), (6, "")]
