@@ -38,20 +38,58 @@ def finite(lat: Column, lon: Column) -> Column:
     return ok(lat, 90.0) & ok(lon, 180.0)
 
 
-def near_pairs(left: DataFrame, right: DataFrame, metres: float, size: float = 0.001, radius: float = CLEANING, top_lat: float = 60.0) -> DataFrame:
-    """Pairs of left (columns id, lat, lon) and right (id2, lat2, lon2) nearer than `metres`, with distance_m.
+class Grid:
+    """Cells of the globe in which every circle of `metres` lies within the cell of its centre and the eight around it.
 
-    The distance join becomes an equi-join on grid cells: each left point is looked up in the cells its circle can
-    reach. As many cells as that takes at latitudes up to `top_lat`; a crowded cell is split by the skew join of the
-    adaptive planner.
+    Rows are bands of latitude at least `metres` high. A band is divided into as many columns as leave each at least as
+    wide as a circle reaches at the band's far edge: fewer towards the poles, one at them. Columns wrap around.
     """
-    up = math.ceil(metres / METRES_A_DEGREE / size)
-    across = math.ceil(metres / (METRES_A_DEGREE * math.cos(math.radians(top_lat))) / size)
-    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-up, up + 1) for j in range(-across, across + 1)])
-    reach = left.withColumn("_s", F.explode(steps)).withColumns({"_r": cell(F.col("lat"), size) + F.col("_s.i"), "_c": cell(F.col("lon"), size) + F.col("_s.j")}).drop("_s")
-    homes = right.withColumns({"_r": cell(F.col("lat2"), size), "_c": cell(F.col("lon2"), size)})
+
+    def __init__(self, metres: float, size: float = 0.0, radius: float = CLEANING):
+        self.angle = metres / radius  # of the circle, seen from the centre of the earth
+        self.size = max(size, math.degrees(self.angle) * 1.000001)
+
+    def row(self, lat: Column) -> Column:
+        return cell(lat, self.size)
+
+    def columns(self, row: Column) -> Column:
+        """How many columns a row has. A circle that touches the row reaches asin(sin(angle) / cos(latitude)) of longitude
+        from its centre, which lies at most a row's height beyond the row's edges."""
+        edge = F.greatest(F.abs(row), F.abs(row + 1)) * self.size + self.size
+        shrink = math.sin(min(self.angle, math.pi / 2)) / F.cos(F.radians(edge))
+        reach = F.when((edge >= 90) | (shrink >= 1), 360.0).otherwise(F.degrees(F.asin(shrink)) * 1.000001)
+        return F.greatest(F.lit(1), F.floor(360.0 / reach)).cast("long")
+
+    def column(self, lon: Column, n: Column) -> Column:
+        return F.pmod(F.floor((lon + 180) / 360 * n).cast("long"), n)
+
+    def home(self, lat: Column, lon: Column) -> Column:
+        """The cell of a point; null without finite coordinates."""
+        row = self.row(lat)
+        return F.when(finite(lat, lon), F.struct(row.alias("r"), self.column(lon, self.columns(row)).alias("c")))
+
+    def around(self, lat: Column, lon: Column) -> Column:
+        """The distinct cells that a circle about a point may touch."""
+        cells = []
+        for i in (-1, 0, 1):
+            row = self.row(lat) + i
+            n = self.columns(row)
+            cells += [F.struct(row.alias("r"), F.pmod(self.column(lon, n) + j, n).alias("c")) for j in (-1, 0, 1)]
+        return F.when(finite(lat, lon), F.array_distinct(F.array(*cells)))
+
+
+def near_pairs(left: DataFrame, right: DataFrame, metres: float, size: float = 0.001, radius: float = CLEANING) -> DataFrame:
+    """Pairs of left (columns id, lat, lon) and right (id2, lat2, lon2) nearer than `metres`, with distance_m, at every
+    latitude and across the date line. Points without finite coordinates have no pairs.
+
+    The distance join becomes an equi-join on grid cells: each left point is looked up in its cell and the eight around
+    it; a crowded cell is split by the skew join of the adaptive planner.
+    """
+    grid = Grid(metres, size, radius)
+    reach = left.withColumn("_cell", F.explode(grid.around(F.col("lat"), F.col("lon")))).select("*", "_cell.r", "_cell.c")
+    homes = right.withColumn("_cell", grid.home(F.col("lat2"), F.col("lon2"))).select("*", "_cell.r", "_cell.c").drop("_cell")
     d = haversine(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"), radius)
-    return reach.join(homes, ["_r", "_c"]).drop("_r", "_c").withColumn("distance_m", d).filter(F.col("distance_m") < metres)
+    return reach.drop("_cell").join(homes, ["r", "c"]).drop("r", "c").withColumn("distance_m", d).filter(F.col("distance_m") < metres)
 
 
 def covers(lat: Column, lon: Column, ring: Column) -> Column:

@@ -71,9 +71,16 @@ def fold_words(c: Column) -> Column:
     return squeeze(F.regexp_replace(fold_keep_space(c), r"[^\p{L}\p{N}_\s]", " "))
 
 
+def _icu(place: str, method: str, c: Column) -> Column:
+    """A text function of the Unicode library that Spark brings, for text beyond ASCII."""
+    return F.reflect(F.lit(f"com.ibm.icu.{place}"), F.lit(method), c, F.lit(True))
+
+
 def normalized(c: Column) -> Column:
-    """Lower case and single spaces, accents kept; null is empty."""
-    return squeeze(F.lower(F.coalesce(c, F.lit(""))))
+    """Compatibility-composed, case-folded, with single spaces; accents kept; null is empty."""
+    c = F.coalesce(c, F.lit(""))
+    wide = _icu("lang.UCharacter", "foldCase", _icu("text.Normalizer", "compose", c))
+    return squeeze(F.when(c.rlike(r"[^\x00-\x7F]"), wide).otherwise(F.lower(c)))
 
 
 def alnum_compact(c: Column) -> Column:
@@ -85,8 +92,8 @@ def compact_alnum_plus(c: Column) -> Column:
 
 
 def match_key(c: Column) -> Column:
-    """`+` reads as the word plus; accents kept."""
-    return squeeze(F.regexp_replace(F.replace(normalized(c), F.lit("+"), F.lit(" plus ")), r"[^\p{L}\p{N}]+", " "))
+    """Letters and digits of the normalized text alone, accents kept; `+` reads as the word plus."""
+    return F.regexp_replace(F.replace(normalized(c), F.lit("+"), F.lit("plus")), r"[^\p{L}\p{N}]+", "")
 
 
 def ascii_slug(c: Column) -> Column:
@@ -153,7 +160,10 @@ def letter_runs(tokens: Column) -> Column:
 
 
 def compact_length(c: Column) -> Column:
-    return F.char_length(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)[.\-\s]", ""))
+    """Characters of the compatibility-composed text without dots, hyphens and white space."""
+    c = F.coalesce(c, F.lit(""))
+    wide = F.when(c.rlike(r"[^\x00-\x7F]"), _icu("text.Normalizer", "compose", c)).otherwise(c)
+    return F.char_length(F.regexp_replace(wide, r"(?U)[.\-\s]", ""))
 
 
 # The query rewrites of the search policy.
@@ -290,31 +300,116 @@ def scripts(c: Column) -> Column:
     return F.filter(found, lambda s: s.isNotNull())
 
 
-# Street type words that a street's core does without, in any number.
-CORE_TYPES = ("duong", "pho", "ngo", "ngach", "hem", "quoc lo", "street")
+# Words that a street's core does without at its front, in any number.
+CORE_TYPES = ("duong", "pho", "hem", "ngo", "ngach", "kiet", "ql", "quoc", "lo")
 
 
 def street_core(c: Column) -> Column:
-    return F.regexp_replace(fold_words(c), "^(?:(?:" + "|".join(CORE_TYPES) + ") )+", "")
+    """The street's folded ASCII tokens without the type words before them."""
+    tokens = F.array_join(F.regexp_extract_all(fold(c), F.lit("[a-z0-9]+"), F.lit(0)), " ")
+    return F.trim(F.regexp_replace(tokens, "^(?:(?:" + "|".join(CORE_TYPES) + ")(?: |$))+", ""))
 
 
-# Descriptors that a name's stripped key does without.
-DESCRIPTORS = (r" (?:chi nhanh|co so|cn|cs) ?\d+.*$", r" (?:branch|store)(?: \d+)?$", r"^(?:cong ty|cua hang|he thong) ")
+# Descriptors that a name's stripped key does without, dropped in this order.
+DESCRIPTORS = (
+    r"^(?:ngân hàng|cây xăng|trạm xăng|cửa hàng xăng dầu|cửa hàng)\s+",
+    r"\s*(?:-|–|—)?\s*(?:atm|chi nhánh|phòng giao dịch)\s*$",
+    r"\s+(?:số|no\.?|number)\s*[a-z0-9./-]+\s*$",
+)
 
 
 def stripped_name_key(c: Column) -> Column:
-    key = fold_words(c)
+    """match_key of the name without its descriptors."""
+    name = normalized(c)
     for pattern in DESCRIPTORS:
-        key = F.regexp_replace(key, pattern, "")
-    return F.trim(key)
+        name = F.trim(F.regexp_replace(name, "(?iU)" + pattern, ""))
+    return match_key(name)
 
 
-# Forms of building codes, tried in order.
-BUILDING = (r"\b([a-z]{1,2}\d{1,2}[.\-]\d{1,2})\b", r"\b(?:toa|block|thap) ([a-z]?\d{1,3}[a-z]?)\b", r"\b([a-z]{1,3}\d{1,3}[a-z]?)\b", r"\b(ct\d{1,2})\b")
+# Forms of building codes, the first that occurs counts.
+BUILDING = (r"\bS\d\.\d{2}\b", r"\b\d{3}\s+CMT\d\b", r"\b(?:A\dB|A\d|8X)\b", r"\b\d{2}T\d\b|\b(?:RIO|SOL)\b")
 
 
 def building_code(c: Column) -> Column:
-    return F.coalesce(*[F.nullif(F.regexp_extract(fold(c), p, 1), F.lit("")) for p in BUILDING])
+    """The tower's code in capitals without the dot or space in it, or null."""
+    found = F.coalesce(*[F.nullif(F.regexp_extract(c, "(?iU)" + p, 0), F.lit("")) for p in BUILDING])
+    return F.upper(F.regexp_replace(found, r"(?U)[.\s]", ""))
+
+
+def remove_housenumber(c: Column, house: Column) -> Column:
+    """The text without the house number, which must stand in it exactly once and not within a longer code; else null."""
+    pattern = F.concat(F.lit(r"(?iU)(?<![\w/-])\Q"), house, F.lit(r"\E(?![\w/-])"))
+    return F.when(F.regexp_count(c, pattern) == 1, squeeze(F.regexp_replace(c, pattern, F.lit(" "))))
+
+
+def language_bucket(c: Column) -> Column:
+    """`other` without a letter, `vi` with a character beyond ASCII, else `en`."""
+    return F.when(~c.rlike(r"\p{L}"), "other").when(c.rlike(r"[^\x00-\x7F]"), "vi").otherwise("en")
+
+
+def is_acronym(c: Column) -> Column:
+    """Two to five letters and digits, of which at least one is a capital and none a small letter."""
+    own = F.regexp_replace(c, r"[^\p{L}\p{N}]", "")
+    return F.char_length(own).between(2, 5) & own.rlike(r"\p{Lu}") & ~own.rlike(r"[\p{Ll}\p{Lt}]")
+
+
+# Words that name a kind of place in a query, by namespace.
+NAMESPACE_TOKENS = {
+    "atm": ("atm",),
+    "bank": ("ngân hàng", "ngan hang", "bank"),
+    "fuel": ("cây xăng", "cay xang", "trạm xăng", "tram xang", "xăng dầu", "xang dau"),
+    "cafe": ("cà phê", "ca phe", "cafe", "coffee"),
+    "restaurant": ("nhà hàng", "nha hang", "restaurant"),
+    "convenience_store": ("cửa hàng tiện lợi", "cua hang tien loi"),
+    "supermarket": ("siêu thị", "sieu thi", "supermarket"),
+    "pharmacy": ("nhà thuốc", "nha thuoc", "pharmacy"),
+    "hotel": ("khách sạn", "khach san", "hotel"),
+    "retail": ("cửa hàng", "cua hang", "shop", "store"),
+}
+# What in a category names a namespace, the first that holds; any shop else is retail.
+CATEGORY_NAMESPACES = (
+    ("atm", ("amenity=atm",)), ("bank", ("amenity=bank",)), ("fuel", ("amenity=fuel",)), ("cafe", ("amenity=cafe",)),
+    ("restaurant", ("amenity=restaurant", "amenity=fast_food")), ("convenience_store", ("shop=convenience",)), ("supermarket", ("shop=supermarket",)),
+    ("pharmacy", ("amenity=pharmacy", "healthcare=pharmacy", "shop=pharmacy", "shop=chemist")), ("hotel", ("tourism=hotel",)), ("retail", ("shop=",)),
+)
+
+
+def plain_normalized(c: Column) -> Column:
+    return normalized(strip_diacritics(F.coalesce(c, F.lit(""))))
+
+
+def namespace_tokens(namespace: Column) -> Column:
+    """The namespace's words and their forms without marks; none for another namespace."""
+    words = F.lit(None).cast("array<string>")
+    for name, own in NAMESPACE_TOKENS.items():
+        words = F.when(namespace == name, F.array(*map(F.lit, own))).otherwise(words)
+    return F.coalesce(words, F.array().cast("array<string>"))
+
+
+def has_namespace_token(query: Column, namespace: Column) -> Column:
+    """Whether the query has a word of the namespace in it, with its marks, or both without."""
+    own, plain = normalized(query), plain_normalized(query)
+    return F.exists(namespace_tokens(namespace), lambda t: F.contains(own, t) | F.contains(plain, strip_diacritics(t)))
+
+
+def is_bare_brand(query: Column, brand: Column, namespace: Column) -> Column:
+    """The query is the brand, or holds it with at most two more words, all of them the brand's or of its namespace."""
+    q, b = normalized(query), normalized(brand)
+    words, own, allowed = F.split(q, " "), F.split(b, " "), namespace_tokens(namespace)
+    plain = F.transform(allowed, strip_diacritics)
+    extra = F.filter(words, lambda t: ~F.array_contains(own, t) & ~F.array_contains(allowed, t) & ~F.array_contains(plain, strip_diacritics(t)))
+    return (q != "") & (b != "") & ((q == b) | (F.contains(q, b) & (F.size(words) <= F.size(own) + 2) & (F.size(extra) == 0)))
+
+
+def category_text(c: Column) -> Column:
+    return F.translate(c, "=_", "  ")
+
+
+def namespace_for(category: Column) -> Column:
+    text, out = normalized(category), F.lit("other_reviewed")
+    for name, signs in reversed(CATEGORY_NAMESPACES):
+        out = F.when(text.rlike("|".join(signs)), name).otherwise(out)
+    return out
 
 
 def phrase_within(phrase: Column, field: Column, slop: int) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
-from quarry.functions.geo import SERVING, haversine
+from quarry.functions.geo import SERVING, Grid, haversine
 
 
 def simple_tokens(c: Column) -> Column:
@@ -156,13 +156,17 @@ def degrade(branches: DataFrame) -> DataFrame:
 def nearby_rescue(anchors: DataFrame, places: DataFrame, metres: float = 5000.0, keep: int = 15, least: int = 3) -> DataFrame:
     """Places near an anchor whose folded name equals or begins with the anchor's query; the nearest `keep`.
 
-    anchors: query_id, q_fold, lat, lon; places: doc_id, name_fold, lat, lon. Names are matched first, over their leading
-    `least` characters as a join key, so no distance is taken of unrelated pairs.
+    anchors: query_id, q_fold, lat, lon; places: doc_id, name_fold, lat, lon. Both conditions are in the join's key: the
+    grid cells that an anchor's circle may touch, and the whole query, which meets the beginnings of names of the lengths
+    that queries have (one number each comes to the driver). So only pairs that match by name and lie near are made.
     """
-    a = anchors.filter(F.char_length("q_fold") >= least).withColumn("_p", F.substring("q_fold", 1, least))
-    p = places.select("doc_id", "name_fold", F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), F.substring("name_fold", 1, least).alias("_p"))
+    grid, a = Grid(metres, radius=SERVING), anchors.filter(F.char_length("q_fold") >= least)
+    lengths = sorted(r[0] for r in a.select(F.char_length("q_fold")).distinct().collect())
+    a = a.select("query_id", "lat", "lon", F.col("q_fold").alias("_p"), F.explode(grid.around(F.col("lat"), F.col("lon"))).alias("_cell"))
+    begins = F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.char_length("name_fold"))
+    p = places.select("doc_id", F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), grid.home(F.col("lat"), F.col("lon")).alias("_cell"), F.explode(F.transform(begins, lambda n: F.substring("name_fold", F.lit(1), n))).alias("_p"))
     d = haversine(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"), SERVING)
-    hits = a.join(p, "_p").filter(F.startswith("name_fold", "q_fold")).withColumn("distance_m", d).filter(F.col("distance_m") <= metres)
+    hits = a.join(p, ["_cell", "_p"]).withColumn("distance_m", d).filter(F.col("distance_m") <= metres)
     order = Window.partitionBy("query_id").orderBy("distance_m", "doc_id")
     return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= keep).select("query_id", "doc_id", "distance_m", "rank")
 

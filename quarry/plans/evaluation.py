@@ -224,7 +224,7 @@ def o15(spark, d):
     return table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("split")).agg(F.count_if((F.col("l_quantity") >= 10) & (F.col("l_discount") > 0)).alias("eligible"), F.count("*").alias("n"))
 
 
-@query("L7_brand_families", f"with {PLACES_SQL} select lower(trim(regexp_replace(brand, '[^A-Za-z0-9]+', ' ', 'g'))) as family_key, min(brand) as canonical, count(*) as n_members, 'brand:' || regexp_replace(lower(min(brand)), '[^a-z0-9]+', '_', 'g') as family_id from places group by 1")
+@query("L7_brand_families", f"with {PLACES_SQL} select lower(regexp_replace(brand, '[^A-Za-z0-9]+', '', 'g')) as family_key, min(brand) as canonical, count(*) as n_members, 'brand:' || regexp_replace(lower(min(brand)), '[^a-z0-9]+', '_', 'g') as family_id from places group by 1")
 def l7(spark, d):
     return identity.brand_families(places(spark, d)).select("family_key", "canonical", "n_members", "family_id")
 

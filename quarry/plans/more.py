@@ -61,9 +61,15 @@ def g21(spark, d):
     return places(spark, d).select("poi_id", F.size(F.filter(T.path_atoms(q), T.is_house_atom)).alias("n"))
 
 
-@query("G26_stripped_key", f"with {PLACES_SQL} select poi_id, name as key from places")
+@query(
+    "G26_stripped_key",
+    f"""with {PLACES_SQL}, n as (select poi_id, case k % 5 when 0 then 'Ngân hàng ' || name || ' - Chi nhánh' when 1 then 'CÂY XĂNG ' || name || ' số ' || housenumber || '/2' when 2 then name || ' phòng giao dịch' when 3 then 'cửa hàng ' || brand || '+ No. ' || housenumber else name end as n from places)
+select poi_id, regexp_replace(replace(trim(regexp_replace(trim(regexp_replace(trim(regexp_replace(lower(n), '{T.DESCRIPTORS[0]}', '')), '{T.DESCRIPTORS[1]}', '')), '{T.DESCRIPTORS[2]}', '')), '+', 'plus'), '[^\\p{{L}}\\p{{N}}]', '', 'g') as key from n""",
+)
 def g26(spark, d):
-    n = F.when(F.col("k") % 2 == 0, F.concat("name", F.lit(" - Chi nhánh "), "housenumber")).otherwise(F.concat(F.lit("Công ty "), "name"))
+    k, text = F.col("k") % 5, lambda *parts: F.concat(*[F.lit(x) if i % 2 else F.col(x) if isinstance(x, str) else x for i, x in enumerate(parts, 1)])
+    n = F.when(k == 0, text("Ngân hàng ", "name", " - Chi nhánh")).when(k == 1, text("CÂY XĂNG ", "name", " số ", "housenumber", "/2")).when(k == 2, F.concat("name", F.lit(" phòng giao dịch")))
+    n = n.when(k == 3, text("cửa hàng ", "brand", "+ No. ", "housenumber")).otherwise(F.col("name"))
     return places(spark, d).select("poi_id", T.stripped_name_key(n).alias("key"))
 
 
@@ -73,15 +79,27 @@ def g32(spark, d):
     return places(spark, d).select("poi_id", F.array_join(T.scripts(n), "|").alias("scripts"))
 
 
-@query("G37_street_core", f"with {PLACES_SQL} select poi_id, replace(street, 'street ', '') as core from places")
+@query(
+    "G37_street_core",
+    f"""with {PLACES_SQL}, w as (select poi_id, string_split(strip_accents(lower(replace(case k % 4 when 0 then 'Đường Phố ' when 1 then 'kiệt ' when 2 then 'Quốc lộ ' else '' end || street, 'Đ', 'd'))), ' ') as w from places),
+f as (select poi_id, w, list_position(list_transform(w, lambda x: not list_contains([{", ".join(f"'{x}'" for x in T.CORE_TYPES)}], x)), true) as first from w)
+select poi_id, array_to_string(list_slice(w, first, len(w)), ' ') as core from f""",
+)
 def g37(spark, d):
-    return places(spark, d).select("poi_id", T.street_core(F.concat(F.lit("Đường Phố "), "street")).alias("core"))
+    k = F.col("k") % 4
+    before = F.when(k == 0, "Đường Phố ").when(k == 1, "kiệt ").when(k == 2, "Quốc lộ ").otherwise("")
+    return places(spark, d).select("poi_id", T.street_core(F.concat(before, "street")).alias("core"))
 
 
-@query("G38_building_code", f"with {PLACES_SQL} select poi_id, case k % 3 when 0 then 's' || cast(k % 50 as varchar) || '.' || cast(k % 7 as varchar) when 1 then cast(k % 90 as varchar) || 'a' end as code from places")
+@query(
+    "G38_building_code",
+    f"""with {PLACES_SQL}, n as (select poi_id, name || case k % 6 when 0 then ' s' || (k % 10) || '.' || (10 + k % 90) || ' Ocean' when 1 then ' ' || (100 + k % 900) || '  cmt8' when 2 then ' a' || (k % 10) || 'b' when 3 then ' 8x' when 4 then ' ' || (10 + k % 90) || 't' || (k % 10) else ' Ocean Park' end as n from places)
+select poi_id, nullif(upper(regexp_replace(coalesce({", ".join(f"nullif(regexp_extract(n, '{p}', 0, 'i'), '')" for p in T.BUILDING)}, ''), '[.\\s]', '', 'g')), '') as code from n""",
+)
 def g38(spark, d):
-    n = F.when(F.col("k") % 3 == 0, F.concat(F.lit("S"), (F.col("k") % 50).cast("string"), F.lit("."), (F.col("k") % 7).cast("string"), F.lit(" Ocean")))
-    n = n.when(F.col("k") % 3 == 1, F.concat(F.lit("Tòa "), (F.col("k") % 90).cast("string"), F.lit("A"))).otherwise(F.lit("Ocean Park"))
+    k, text = F.col("k"), lambda *parts: F.concat(F.col("name"), *[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
+    n = F.when(k % 6 == 0, text(" s", k % 10, ".", 10 + k % 90, " Ocean")).when(k % 6 == 1, text(" ", 100 + k % 900, "  cmt8")).when(k % 6 == 2, text(" a", k % 10, "b"))
+    n = n.when(k % 6 == 3, text(" 8x")).when(k % 6 == 4, text(" ", 10 + k % 90, "t", k % 10)).otherwise(text(" Ocean Park"))
     return places(spark, d).select("poi_id", T.building_code(n).alias("code"))
 
 

@@ -142,17 +142,39 @@ def b10(spark, d):
     return places(spark, d).groupBy("category").agg(F.count_if(name.ilike("%BOLT%")).alias("bolts"), F.count_if(name.rlike("^(red|blue) ")).alias("colours"), F.count_if(F.startswith("brand", F.lit("Brand#1"))).alias("ones"), F.count("*").alias("n"))
 
 
-@query("B11_bare_brand", f"with {PLACES_SQL}, t as (select poi_id, string_split(name, ' ') as toks from places) select poi_id, len(list_filter(toks, lambda x: x not in ('bolt', 'ring'))) <= 1 and len(toks) <= 3 as bare from t")
+#: Queries about a brand: its words and others, by the place's number.
+BRAND_QUERY_SQL = """brands as (select poi_id, k, lower(brand) as brand, case when k % 3 = 0 then 'cafe' when k % 3 = 1 then 'hotel' else 'none' end as ns,
+  case k % 8 when 0 then brand when 1 then 'Cafe ' || brand when 2 then brand || ' hotel khách' when 3 then brand || ' ' || name when 4 then brand || ' ' || lower(brand) || '  COFFEE' when 5 then name when 6 then 'khách sạn ' || brand else brand || ' cafe cafe cafe' end as q from places)"""
+NAMESPACES_SQL = "words(ns, word) as (values " + ", ".join(f"('{ns}', '{w}')" for ns, own in T.NAMESPACE_TOKENS.items() for w in own) + ")"
+
+
+def brand_queries(spark, d):
+    k, b, n = F.col("k") % 8, F.col("brand"), F.col("name")
+    text = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    q = F.when(k == 0, b).when(k == 1, text("Cafe ", b)).when(k == 2, text(b, " hotel khách")).when(k == 3, text(b, " ", n)).when(k == 4, text(b, " ", F.lower(b), "  COFFEE"))
+    q = q.when(k == 5, n).when(k == 6, text("khách sạn ", b)).otherwise(text(b, " cafe cafe cafe"))
+    ns = F.when(F.col("k") % 3 == 0, "cafe").when(F.col("k") % 3 == 1, "hotel").otherwise("none")
+    return places(spark, d).select("poi_id", "brand", q.alias("q"), ns.alias("ns"))
+
+
+@query(
+    "B11_bare_brand",
+    f"""with {PLACES_SQL}, {BRAND_QUERY_SQL}, {NAMESPACES_SQL},
+t as (select *, string_split(regexp_replace(lower(q), '\\s+', ' ', 'g'), ' ') as toks, string_split(brand, ' ') as own, list_distinct(coalesce((select list(word) || list(strip_accents(word)) from words where words.ns = brands.ns), [])) as allowed from brands)
+select poi_id, array_to_string(toks, ' ') = brand or (contains(array_to_string(toks, ' '), brand) and len(toks) <= len(own) + 2
+       and len(list_filter(toks, lambda x: not list_contains(own, x) and not list_contains(allowed, x) and not list_contains(allowed, strip_accents(x)))) = 0) as bare from t""",
+)
 def b11(spark, d):
-    toks = F.split(T.fold(F.col("name")), " ")
-    extra = F.array_except(toks, F.array(F.lit("bolt"), F.lit("ring")))
-    return places(spark, d).select("poi_id", ((F.size(extra) <= 1) & (F.size(toks) <= 3)).alias("bare"))
+    return brand_queries(spark, d).select("poi_id", T.is_bare_brand(F.col("q"), F.col("brand"), F.col("ns")).alias("bare"))
 
 
-@query("B12_namespace_token", f"with {PLACES_SQL} select poi_id, contains(name, 'gear') or contains(name, 'bolt') as has_token from places")
+@query(
+    "B12_namespace_token",
+    f"""with {PLACES_SQL}, {BRAND_QUERY_SQL}, {NAMESPACES_SQL}
+select poi_id, exists(select 1 from words where words.ns = brands.ns and (contains(lower(q), word) or contains(strip_accents(lower(q)), strip_accents(word)))) as has_token from brands""",
+)
 def b12(spark, d):
-    tokens = F.array(F.lit("gear"), F.lit("bolt"))
-    return places(spark, d).select("poi_id", F.exists(tokens, lambda t: F.contains("name", t)).alias("has_token"))
+    return brand_queries(spark, d).select("poi_id", T.has_namespace_token(F.col("q"), F.col("ns")).alias("has_token"))
 
 
 @query("B13_exclusion_list", "select o_orderkey from orders where o_custkey not in (select c_custkey from customer where c_mktsegment = 'MACHINERY')")

@@ -34,7 +34,7 @@ def g3(spark, d):
     return table(spark, d, "documents").select("doc_id", T.fold_keep_space(F.col("text")).alias("folded"))
 
 
-@query("G4_normalized", "select doc_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) as normalized from documents")
+@query("G4_normalized", "select doc_id, trim(regexp_replace(replace(lower(nfc_normalize(text)), 'ß', 'ss'), '\\s+', ' ', 'g')) as normalized from documents")
 def g4(spark, d):
     return table(spark, d, "documents").select("doc_id", T.normalized(F.col("text")).alias("normalized"))
 
@@ -54,7 +54,7 @@ def g7(spark, d):
     return places(spark, d).select("poi_id", T.compact_alnum_plus(F.concat("brand", F.lit("+ "), "name")).alias("compact"))
 
 
-@query("G8_match_key", f"with {PLACES_SQL} select poi_id, trim(regexp_replace(replace(lower(brand || '+ ' || name), '+', ' plus '), '[^a-z0-9]+', ' ', 'g')) as key from places")
+@query("G8_match_key", f"with {PLACES_SQL} select poi_id, regexp_replace(replace(lower(brand || '+ ' || name), '+', 'plus'), '[^a-z0-9]+', '', 'g') as key from places")
 def g8(spark, d):
     return places(spark, d).select("poi_id", T.match_key(F.concat("brand", F.lit("+ "), "name")).alias("key"))
 
@@ -165,16 +165,28 @@ def g34(spark, d):
     return places(spark, d).select("name").distinct().select("name", T.one_slip(F.col("name"), swapped).alias("slip"))
 
 
-@query("G36_remove_housenumber", f"with {PLACES_SQL} select poi_id, street || ' x' as rest from places")
+@query(
+    "G36_remove_housenumber",
+    f"""with {PLACES_SQL}, q as (select poi_id, housenumber, case k % 4 when 0 then housenumber || ' ' || street when 1 then 'A' || housenumber || '/2 ' || street when 2 then housenumber || ', ' || name || ' ' || housenumber else name || ' ' || housenumber || ' , hue' end as q from places)
+select poi_id, case when len(regexp_extract_all(regexp_replace(' ' || q || ' ', '([^A-Za-z0-9_/-])', '\\1\\1', 'g'), '[^A-Za-z0-9_/-]' || housenumber || '[^A-Za-z0-9_/-]')) = 1
+       then trim(regexp_replace(regexp_replace(' ' || q || ' ', '([^A-Za-z0-9_/-])' || housenumber || '([^A-Za-z0-9_/-])', '\\1 \\2'), '\\s+', ' ', 'g')) end as rest from q""",
+)
 def g36(spark, d):
-    p = places(spark, d).withColumn("q", F.concat(F.lit("No"), "housenumber", F.lit(" "), "street", F.lit(" x")))
-    return p.select("poi_id", F.trim(F.regexp_replace("q", F.concat(F.lit("(?<![A-Za-z])No"), F.col("housenumber"), F.lit(r"(?!\w)")), F.lit(""))).alias("rest"))
-
-
-@query("G39_language_bucket", "select doc_id, case when strip_accents(text) <> text then 'accented' when regexp_matches(text, '^[A-Z]{2,5}\\b') then 'acronym' else 'plain' end as bucket from documents")
+    k = F.col("k") % 4
+    q = F.when(k == 0, F.concat("housenumber", F.lit(" "), "street")).when(k == 1, F.concat(F.lit("A"), "housenumber", F.lit("/2 "), "street"))
+    q = q.when(k == 2, F.concat("housenumber", F.lit(", "), "name", F.lit(" "), "housenumber")).otherwise(F.concat("name", F.lit(" "), "housenumber", F.lit(" , hue")))
+    return places(spark, d).select("poi_id", T.remove_housenumber(q, F.col("housenumber")).alias("rest"))
+
+
+@query(
+    "G39_language_bucket",
+    r"""select doc_id, case when not regexp_matches(text, '\p{L}') then 'other' when regexp_matches(text, '[^\x00-\x7F]') then 'vi' else 'en' end as bucket,
+       length(regexp_replace(word, '[^\p{L}\p{N}]', '', 'g')) between 2 and 5 and regexp_matches(word, '\p{Lu}') and upper(word) = word as acronym
+from (select *, string_split(text, ' ')[1] as word from documents)""",
+)
 def g39(spark, d):
     t = F.col("text")
-    return table(spark, d, "documents").select("doc_id", F.when(T.strip_diacritics(t) != t, "accented").when(t.rlike(r"^[A-Z]{2,5}\b"), "acronym").otherwise("plain").alias("bucket"))
+    return table(spark, d, "documents").select("doc_id", T.language_bucket(t).alias("bucket"), T.is_acronym(F.split(t, " ")[0]).alias("acronym"))
 
 
 @query("G41_passage", f"with {PLACES_SQL} select poi_id, case when brand = name then name else name || ', ' || brand || ', ' || street end as passage from places")
@@ -184,10 +196,25 @@ def g41(spark, d):
     return places(spark, d).select("poi_id", F.array_join(F.array_distinct(keep), ", ").alias("passage"))
 
 
-@query("G42_category_namespace", f"with {PLACES_SQL} select poi_id, case when category in ('PROMO', 'ECONOMY') then 'retail' when category like '%L%' then 'other_l' else 'other' end as namespace from places")
+#: A category in the places' own form, of their number and type.
+KINDS = ("amenity=atm", "amenity=bank", "amenity=fuel", "Amenity=Cafe", "amenity=fast_food", "shop=convenience", "shop=supermarket", "shop=chemist", "tourism=hotel", "shop=shoes", "office=yes", "healthcare=pharmacy;amenity=bank")
+KINDS_SQL = "lower(category) || ';' || list_extract([" + ", ".join(f"'{x}'" for x in KINDS) + f"], cast(k % {len(KINDS)} as integer) + 1)"
+
+
+def kind_of():
+    return F.concat(F.lower("category"), F.lit(";"), F.element_at(F.array(*map(F.lit, KINDS)), (F.col("k") % len(KINDS)).cast("int") + 1))
+
+
+@query(
+    "G42_category_namespace",
+    f"""with {PLACES_SQL}, c as (select poi_id, {KINDS_SQL} as c from places),
+signs(ord, ns, sign) as (values """
+    + ", ".join(f"({i}, '{ns}', '{sign}')" for i, (ns, signs) in enumerate(T.CATEGORY_NAMESPACES) for sign in signs)
+    + """)
+select poi_id, replace(replace(c, '=', ' '), '_', ' ') as words, coalesce((select arg_min(ns, ord) from signs where contains(lower(c.c), sign)), 'other_reviewed') as namespace from c""",
+)
 def g42(spark, d):
-    c = F.translate("category", "=_", "  ")
-    return places(spark, d).select("poi_id", F.when(c.isin("PROMO", "ECONOMY"), "retail").when(F.contains(c, F.lit("L")), "other_l").otherwise("other").alias("namespace"))
+    return places(spark, d).select("poi_id", T.category_text(kind_of()).alias("words"), T.namespace_for(kind_of()).alias("namespace"))
 
 
 @query("G43_edge_ngrams", f"with {PLACES_SQL}, t as (select distinct unnest(string_split(name, ' ')) as tok from places) select tok, substr(tok, 1, n) as gram from (select tok, unnest(range(1, least(20, length(tok)) + 1)) as n from t)")
