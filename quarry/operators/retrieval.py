@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
@@ -16,21 +16,59 @@ def simple_tokens(c: Column) -> Column:
 class Index:
     """Postings, document lengths and corpus statistics of one text column.
 
-    The statistics are one row; document frequencies stay a table and are joined on the term. postings carries tf, so a
-    term of every document is as many rows as documents and is never gathered.
+    The statistics are one row; document frequencies are a table and are joined on the term. postings carries tf, so a
+    term of every document is as many rows as documents and is never gathered. An index is computed from documents where
+    it is asked, or written once (`store`) and opened again (`open`).
     """
 
-    def __init__(self, docs: DataFrame, id_col: str, text_col: str, tokens=simple_tokens):
+    #: Parts that the postings are stored in, by their term.
+    PARTS = 64
+
+    def __init__(self, postings: DataFrame, stats: DataFrame, frequencies: DataFrame):
+        self.postings, self.stats, self.frequencies = postings, stats, frequencies
+
+    @classmethod
+    def of(cls, docs: DataFrame, id_col: str, text_col: str, tokens=simple_tokens) -> Index:
         tok = docs.select(F.col(id_col).alias("doc_id"), tokens(F.col(text_col)).alias("toks"))
-        self.lengths = tok.select("doc_id", F.size("toks").alias("dl"))
+        lengths = tok.select("doc_id", F.size("toks").alias("dl"))
         # the outer form keeps the planner from testing, and so computing, the tokens a second time
         terms = tok.select("doc_id", F.size("toks").alias("dl"), F.explode_outer("toks").alias("term")).filter("term is not null")
-        self.postings = terms.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-        self.stats = self.lengths.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-
-    @property
-    def frequencies(self) -> DataFrame:
-        return self.postings.groupBy("term").agg(F.count("*").alias("df"))
+        postings = terms.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl")).withColumn("part", cls.part(F.col("term")))
+        stats = lengths.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+        return cls(postings, stats, postings.groupBy("part", "term").agg(F.count("*").alias("df")))
+
+    @classmethod
+    def part(cls, term: Column) -> Column:
+        return F.pmod(F.xxhash64(term), F.lit(cls.PARTS)).cast("int")
+
+    def store(self, folder: str) -> None:
+        """Writes the tables, postings and frequencies in folders by part and the postings' rows in order of their term, so
+        that a query's terms open a few parts and, in them, a few row groups. A part of a frequent term is many files."""
+        spark = self.postings.sparkSession
+        rows = self.postings.repartition("part", F.pmod(F.xxhash64("doc_id"), F.lit(4))).sortWithinPartitions("part", "term", "doc_id")
+        rows.write.partitionBy("part").parquet(f"{folder}/postings")
+        stored = spark.read.schema(self.postings.schema).parquet(f"{folder}/postings")
+        stored.groupBy("part", "term").agg(F.count("*").alias("df")).repartition("part").sortWithinPartitions("part", "term").write.partitionBy("part").parquet(f"{folder}/frequencies")
+        kind = F.lit(None).cast(self.postings.schema["doc_id"].dataType)  # an index without postings has no file that says it
+        self.stats.withColumn("doc_id", kind).write.parquet(f"{folder}/stats")
+
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str) -> Index:
+        stats = spark.read.parquet(f"{folder}/stats")
+        kind = stats.schema["doc_id"].dataType.simpleString()
+        postings = spark.read.schema(f"term string, doc_id {kind}, tf long, dl int, part int").parquet(f"{folder}/postings")
+        frequencies = spark.read.schema("term string, df long, part int").parquet(f"{folder}/frequencies")
+        return cls(postings, stats.drop("doc_id"), frequencies)
+
+    def hits(self, terms: DataFrame) -> DataFrame:
+        """The postings of the terms of a table, opened by part."""
+        wanted = terms.select("term").distinct().withColumn("part", self.part(F.col("term")))
+        return self.postings.join(wanted, ["part", "term"], "left_semi")
+
+    def weights(self, terms: DataFrame) -> DataFrame:
+        """The terms with the document frequencies of those that any document has, by part, and the statistics."""
+        df = terms.withColumn("part", self.part(F.col("term"))).join(self.frequencies, ["part", "term"])
+        return df.crossJoin(F.broadcast(self.stats))  # one row
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -48,15 +86,13 @@ def query_terms(queries: DataFrame, id_col: str, text_col: str, first: int | Non
 def bm25(index: Index, terms: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(query_id, doc_id, score, n_terms) over the postings of the query terms alone.
 
-    Terms outside the queries are dropped by a semi join before anything is counted, so the index is scanned once and
-    only matching postings are shuffled.
+    Query terms carry their weights to the postings, which are joined by part and term: parts without a query term are not
+    read. A hot term's postings are split by the adaptive skew join where the query terms are too many to be sent along.
     """
-    wanted = terms.select("term").distinct()
-    hits = index.postings.join(wanted, "term", "left_semi")
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    weighted = terms.join(df, "term").crossJoin(F.broadcast(index.stats)).select("query_id", "term", "qtf", "avgdl", idf(F.col("n_docs"), F.col("df")).alias("idf"))
+    weighted = index.weights(terms).select("part", "term", "query_id", "qtf", "avgdl", idf(F.col("n_docs"), F.col("df")).alias("idf"))
     tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return hits.join(weighted, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("qtf") * F.col("idf") * tf), 6).alias("score"), F.count("*").alias("n_terms"))
+    hits = index.postings.join(weighted, ["part", "term"])
+    return hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("qtf") * F.col("idf") * tf), 6).alias("score"), F.count("*").alias("n_terms"))
 
 
 def ranked(scores: DataFrame, k: int | None = None, by: tuple[str, ...] = ("query_id",), doc: str = "doc_id") -> DataFrame:

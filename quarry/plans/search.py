@@ -10,6 +10,7 @@ from quarry.functions import text as T
 from quarry.operators import identity, retrieval
 from quarry.plans.registry import query
 from quarry.plans.views import ANCHORS_SQL, PLACES_SQL, anchors, haversine_sql, places, table, tokens_sql
+from quarry.sources.shared import scratch
 
 DOCS_SQL = f"""tok as (select doc_id, {tokens_sql('text')} as toks from documents),
 len_ as (select doc_id, len(toks) as dl from tok), stat as (select count(*) as n_docs, avg(dl) as avgdl from len_),
@@ -25,8 +26,18 @@ dense as (select * from (select query_id, doc_id, score, cast(row_number() over
   from (select q.vec_id as query_id, c.vec_id as doc_id, round(list_dot_product(q.v, c.v), 6) as score from dv q join dv c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id)) where rank <= 50)"""
 
 
+#: Folders of the stored index of the documents, by application and tables.
+_STORED: dict[tuple[str, str], str] = {}
+
+
 def index(spark, d):
-    return retrieval.Index(table(spark, d, "documents"), "doc_id", "text")
+    """The documents' index, written at its first use in an application and opened by every query."""
+    key = spark.sparkContext.applicationId, d
+    if key not in _STORED:
+        folder = scratch(spark, "index")
+        retrieval.Index.of(table(spark, d, "documents"), "doc_id", "text").store(folder)
+        _STORED[key] = folder
+    return retrieval.Index.open(spark, _STORED[key])
 
 
 def terms(spark, d):
@@ -59,17 +70,17 @@ def d18(spark, d):
 
 @query("C14_postings_join", f"with {DOCS_SQL} select query_id, doc_id, count(*) as hits from qt join post using (term) group by 1, 2")
 def c14(spark, d):
-    return terms(spark, d).join(index(spark, d).postings, "term").groupBy("query_id", "doc_id").agg(F.count("*").alias("hits"))
+    return terms(spark, d).join(index(spark, d).hits(terms(spark, d)), "term").groupBy("query_id", "doc_id").agg(F.count("*").alias("hits"))
 
 
 @query("C15_and_postings", f"with {DOCS_SQL}, need as (select query_id, count(*) as n from qt group by 1) select query_id, doc_id from qt join post using (term) join need using (query_id) group by query_id, doc_id, n having count(*) = n")
 def c15(spark, d):
-    return retrieval.and_postings(terms(spark, d).select("query_id", "term"), index(spark, d).postings)
+    return retrieval.and_postings(terms(spark, d).select("query_id", "term"), index(spark, d).hits(terms(spark, d)))
 
 
 @query("B5_minimum_should_match", f"with {DOCS_SQL}, need as (select query_id, greatest(1, floor(count(*) * 0.5)) as n from qt group by 1) select query_id, doc_id, count(*) as n_terms from qt join post using (term) join need using (query_id) group by query_id, doc_id, n having count(*) >= n")
 def b5(spark, d):
-    return retrieval.minimum_should_match(terms(spark, d).select("query_id", "term"), index(spark, d).postings)
+    return retrieval.minimum_should_match(terms(spark, d).select("query_id", "term"), index(spark, d).hits(terms(spark, d)))
 
 
 @query("K1_bm25_top_k", f"with {BM25_SQL} select query_id, doc_id, score, rank from lexical")

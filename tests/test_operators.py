@@ -43,13 +43,27 @@ def test_clean_corpus_merges_and_drops(spark):
 
 def test_bm25_counts_repeated_query_tokens(spark):
     docs = spark.createDataFrame([(1, "red bolt"), (2, "red red"), (3, "blue"), (4, None)], "doc_id long, text string")
-    index = retrieval.Index(docs, "doc_id", "text")
+    index = retrieval.Index.of(docs, "doc_id", "text")
     q = spark.createDataFrame([(1, "red"), (2, "red red"), (3, "absent"), (4, "")], "query_id long, text string")
     got = {(r.query_id, r.doc_id): r.score for r in retrieval.bm25(index, retrieval.query_terms(q, "query_id", "text")).collect()}
     assert set(got) == {(1, 1), (1, 2), (2, 1), (2, 2)}
     assert got[2, 1] == pytest.approx(2 * got[1, 1], abs=2e-6) and got[1, 2] > got[1, 1]
 
 
+def test_stored_index_is_the_computed_one(spark, tmp_path):
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("the"), *[F.format_string("w%d", F.col("id") % k) for k in (3, 7, 50)]).alias("text"))
+    made = retrieval.Index.of(docs, "doc_id", "text")
+    made.store(str(tmp_path / "index"))
+    stored = retrieval.Index.open(spark, str(tmp_path / "index"))
+    q = spark.createDataFrame([(1, "the w2"), (2, "w49 w1 absent"), (3, "absent")], "query_id long, text string")
+    terms = retrieval.query_terms(q, "query_id", "text")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(retrieval.bm25(stored, terms)) == rows(retrieval.bm25(made, terms)) != []
+    assert rows(stored.hits(terms).select("term", "doc_id", "tf")) == rows(made.postings.join(terms.select("term").distinct(), "term", "left_semi").select("term", "doc_id", "tf"))
+    retrieval.Index.of(docs.limit(0), "doc_id", "text").store(str(tmp_path / "none"))
+    assert retrieval.bm25(retrieval.Index.open(spark, str(tmp_path / "none")), terms).count() == 0
+
+
 def test_fusion_ties_and_rescue(spark):
     a = spark.createDataFrame([(1, "x", 1), (1, "y", 2)], "query_id long, doc_id string, rank int")
     b = spark.createDataFrame([(1, "y", 1), (1, "x", 2), (1, "z", 3)], "query_id long, doc_id string, rank int")
