@@ -176,8 +176,8 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, in_all: int = IN_ALL)
     return Model(sorted(totals), counts)
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, lang_pred, score). The score is the share of the posterior of the winning language, from the evidence of
+def predict(docs: DataFrame, model: Model, also: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, lang_pred, score) and the columns `also` as they are. The score is the share of the posterior of the winning language, from the evidence of
     at most 20 words, between 0 and 1. Null text, text without a letter and a model without languages give `und` and 0.
     Ties go to the first language in order. Whole texts, each row by itself, and whole words, however long; repeated rows
     repeat, null ids stay null, other columns are ignored; an empty table gives no rows."""
@@ -197,9 +197,11 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             best = int(s.argmax())
             preds.append(langs[best])
             scores.append(float(1 / np.exp(s - s[best]).sum()))
-        return {"doc_id": batch.column(0), "lang_pred": preds, "score": scores}
+        return {"doc_id": batch.column(0), "lang_pred": preds, "score": scores} | {c: batch.column(2 + k) for k, c in enumerate(also)}
 
-    return map_rows(scattered(docs, "doc_id", "text"), of, "doc_id long, lang_pred string, score double")
+    kinds = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in also)
+    rows = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(f"_also_{k}") for k, c in enumerate(also)])
+    return map_rows(rows, of, f"doc_id long, lang_pred string, score double{kinds}")
 
 
 def held_out():

@@ -291,27 +291,30 @@ def test_op3_bands_stand_copies_and_small_languages(spark):
 
 
 def _histories(text):
-    """(what the model sees before it, character) for every scored character, by definition."""
+    """(word or border that it belongs to, place in it, what the model sees before it, character) for every scored
+    character, by definition."""
     before = None
     for w in WORD.findall(text):
+        last = None if before is None else before[-3:] if len(before) > 2 else f" {before}"
         for j, c in enumerate(w + " "):
             if j > 2:
-                seen = f" {w}"[: j + 1]
-            elif before is None:
-                seen = "\n" + w[:j]
+                yield w, j, f" {w}"[: j + 1][-4:], c
             else:
-                seen = (before[-3:] if len(before) > 2 else f" {before}") + " " + w[:j]
-            yield seen[-4:], c
+                yield (last, f"{w} "[:3]), j, ("\n" + w[:j] if last is None else f"{last} {w[:j]}")[-4:], c
         before = w
 
 
+def _distinct(texts):
+    """(what is seen, character) of each scored character of every distinct word and border."""
+    return [x[2:] for x in {x for t in texts for x in _histories(t)}]
+
+
 class BruteKneserNey:
     def __init__(self, texts):
         grams = [Counter() for _ in range(6)]
-        for t in texts:
-            for seen, c in _histories(t):
-                for n in range(1, min(5, len(seen) + 1) + 1):
-                    grams[n][seen[len(seen) - n + 1 :] + c] += 1
+        for seen, c in _distinct(texts):
+            for n in range(1, min(5, len(seen) + 1) + 1):
+                grams[n][seen[len(seen) - n + 1 :] + c] += 1
         self.raw, self.a, self.d = grams, [{} for _ in range(6)], [None] * 6
         for n in range(1, 6):
             before = Counter(g[1:] for g in grams[n + 1]) if n < 5 else {}
@@ -352,7 +355,7 @@ def test_op3_perplexity_and_verdict_are_brute_force(spark, monkeypatch, shard):
     brute = BruteKneserNey([t or "" for t in texts])
     mean = {}
     for i, t, _ in rows:
-        logs = [math.log(brute.p(seen, c)) for seen, c in _histories(t or "")]
+        logs = [math.log(brute.p(seen, c)) for _, _, seen, c in _histories(t or "")]
         assert (got[i].perplexity is None) == (not logs)
         if logs:
             mean[i] = -sum(logs) / len(logs), len(logs)
@@ -385,7 +388,7 @@ def test_op3_no_two_ngrams_share_a_count(spark):
     text = " ".join(words + words[:7])
     counted = quality.count_grams(spark.createDataFrame([(text,)], "text string")).collect()
     want = [Counter() for _ in range(6)]
-    for seen, c in _histories(text):
+    for seen, c in _distinct([text]):
         for n in range(1, min(5, len(seen) + 1) + 1):
             want[n][seen[len(seen) - n + 1 :] + c] += 1
     assert sorted(r.c for r in counted if r.n == quality.ORDER) == sorted(want[quality.ORDER].values())
