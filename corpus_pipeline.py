@@ -30,26 +30,32 @@ def _only(rows: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the rows whose text passes the quality rules, as `quality.assess` has them; null texts go. Repeated rows stay
+    repeated, rows without an id have their own verdict, an empty table stays empty, other columns go."""
     rows = _keyed(docs)
     return _only(rows, quality.assess(_by_key(rows)).filter("kept")).select(*COLUMNS)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a recognisable language: no letters, or less than half of the posterior."""
-    rows, model = _keyed(docs), language_id.fit(docs.filter(~language_id.held_out()))
-    return _only(rows, language_id.predict(_by_key(rows), model).filter("lang_pred <> 'und' and score >= 0.5")).select(*COLUMNS)
+    """Rejects documents without a recognisable language: no letters, or less than half of the posterior. Rows without a
+    language take the predicted one. Nulls, repeats and empty tables as in `language_id.predict`: each row by itself."""
+    model = language_id.fit(docs.filter(~language_id.held_out()))
+    known = language_id.predict(docs, model, also=COLUMNS[1:]).filter("lang_pred <> 'und' and score >= 0.5")
+    return known.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of each group: of the smallest id (null last), any one where rows with that id repeat."""
+    """Keeps one row of each group of near-duplicates by SimHash over five words: of the smallest id (null last), any one
+    where rows with that id repeat. Texts without words are one group."""
     rows = _keyed(docs)
-    groups = simhash.group(_by_key(rows)).select(F.col("doc_id").alias("key"), "component_id").distinct()
+    groups = simhash.group(_by_key(rows), words=5).select(F.col("doc_id").alias("key"), "component_id").distinct()
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
     first = groups.join(rows.select("key", "doc_id"), "key").groupBy("component_id").agg(F.min(order)["key"].alias("doc_id"))
     return _only(rows, first).dropDuplicates(["key"]).select(*COLUMNS)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces and their places as `packing.pack` has them, for every row."""
     return packing.pack(docs)
 
 
