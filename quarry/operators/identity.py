@@ -100,3 +100,23 @@ def lookup_scores(queries: DataFrame, index: DataFrame) -> DataFrame:
     top = F.max("score").over(w)
     rows = rows.withColumn("is_primary", F.col("score") == top)
     return rows.withColumn("ambiguous", F.sum(F.col("is_primary").cast("int")).over(w) > 1)
+
+
+def representatives(rows: DataFrame, group: str, protected: list[DataFrame]) -> DataFrame:
+    """The row that stands for each group.
+
+    First rows of protected ids (columns poi_id; the first table before the second), then access points to be kept, named
+    categories before bare addresses and buildings, rows with a house number, a street, a direct address, aliases, nodes
+    before ways, and the smallest id. rows: poi_id, preserve_individual_access_point, category, housenumber, street,
+    address_status, aliases, osm_type.
+    """
+    for i, ids in enumerate(protected):
+        rows = rows.join(ids.select("poi_id").distinct().withColumn(f"_in{i}", F.lit(True)), "poi_id", "left")
+    category = F.coalesce("category", F.lit(""))
+    known = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    signs = [F.col(f"_in{i}") for i in range(len(protected))]
+    signs += [F.col("preserve_individual_access_point"), ~(F.startswith(category, F.lit("address=")) | F.startswith(category, F.lit("building="))), known("housenumber"), known("street")]
+    signs += [F.col("address_status") == "direct", F.size("aliases") > 0, F.col("osm_type") == "node"]
+    order = F.struct(*[(~F.coalesce(x, F.lit(False))).alias(f"k{i}") for i, x in enumerate(signs)], F.col("poi_id").alias("id"))
+    best = rows.groupBy(group).agg(F.min_by(F.struct(*[F.col(c) for c in rows.columns if c != group and not c.startswith("_in")]), order).alias("_best"))
+    return best.select(group, "_best.*")

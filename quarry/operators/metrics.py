@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.operators.training import hash_order
+
 
 def best_ranks(run: DataFrame, qrels: DataFrame, queries: DataFrame, miss: int | None = None) -> DataFrame:
     """Each query's best rank of an acceptable document; `miss` (null) where there is none. All queries are kept."""
@@ -101,7 +103,7 @@ def bootstrap(families: DataFrame, family: str, value: str, draws: int = 1000, s
     numbered = means.withColumn("i", F.row_number().over(Window.orderBy(family)) - 1)
     total = numbered.agg(F.count("*").alias("n"))
     slots = numbered.select(F.col("i").alias("slot")).withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    picked = slots.crossJoin(F.broadcast(total)).withColumn("i", F.pmod(F.xxhash64(F.lit(seed), "sample", "slot"), F.col("n")).cast("int"))
+    picked = slots.crossJoin(F.broadcast(total)).withColumn("i", F.pmod(hash_order(seed, "sample", "slot"), F.col("n")).cast("int"))
     boots = picked.join(numbered, "i").groupBy("sample").agg(F.avg("m").alias("mean"))
     ordered = boots.withColumn("r", F.row_number().over(Window.orderBy("mean")) - 1)
     at = lambda s: F.max(F.when(F.col("r") == int(s * (draws - 1)), F.col("mean")))

@@ -9,8 +9,13 @@ from quarry.operators.tables import keep_first
 
 
 def hash_order(seed: int, *keys: str) -> Column:
-    """A fixed random order: the same on any partitioning."""
-    return F.xxhash64(F.lit(seed), *keys)
+    """A fixed random order, a number below 2**60: the same on any partitioning and in any engine that knows MD5."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), *keys)), 1, 15), 16, 10).cast("long")
+
+
+def hash_order_sql(seed: int, *keys: str) -> str:
+    """The same in DuckDB's SQL."""
+    return f"cast('0x' || substr(md5(concat_ws('|', {seed}, {', '.join(keys)})), 1, 15) as bigint)"
 
 
 def stratified_split(rows: DataFrame, key: str, stratum: str, shares: dict[str, float], rest: str, seed: int) -> DataFrame:
@@ -94,17 +99,32 @@ def masked_loss(scores: DataFrame) -> DataFrame:
     return live.join(top, "query_id").groupBy("query_id").agg(F.round(F.log(F.sum(e)) - F.log(F.sum(F.when(F.col("positive"), e))), 6).alias("loss"))
 
 
-def conflict_free_batches(rows: list[dict], size: int) -> list[list[dict]]:
-    """Greedy batches in which no two rows share a target or a query: rows in order, each into the first batch with room
-    and without conflict. For a bounded list; use inside a grouped map."""
-    batches: list[tuple[list[dict], set]] = []
-    for row in rows:
-        keys = {("t", row["target"]), ("q", row["query"])}
-        for batch, used in batches:
-            if len(batch) < size and used.isdisjoint(keys):
-                batch.append(row)
-                used |= keys
-                break
-        else:
-            batches.append(([row], set(keys)))
-    return [b for b, _ in batches]
+def epoch_sample(rows: DataFrame, keys: list[str], weight: Column, seed: int) -> DataFrame:
+    """The rows of one epoch: each stays with the probability of its weight, by its hash under the epoch's seed."""
+    return rows.filter(F.pmod(hash_order(seed, *keys), F.lit(1_000_000)) < weight * 1_000_000)
+
+
+def pooled_positives(rows: DataFrame, query: str, doc: str, seed: int, least: int = 2, most: int = 4) -> DataFrame:
+    """Of each query's distinct positives `least` to `most`, the number by the query's hash, the choice in hash order."""
+    want = least + F.pmod(hash_order(seed, query), F.lit(most - least + 1))
+    place = F.row_number().over(Window.partitionBy(query).orderBy(hash_order(seed, query, doc), doc))
+    return rows.select(query, doc).distinct().withColumn("_i", place).filter(F.col("_i") <= want).drop("_i")
+
+
+def conflict_free_batches(rows: DataFrame, query: str, target: str, size: int, seed: int = 0, salts: int = 1) -> DataFrame:
+    """Every row with the batch it belongs to: at most `size` rows, no two of one query or one target.
+
+    A row's class is its place among the rows of its query and its place among those of its target, both in hash order.
+    Two rows of one query differ in the first, two of one target in the second, so rows of a class never conflict; a
+    class is cut into batches. No group is larger than a query's or a target's rows, or a class's share of one of `salts`
+    parts, which are to grow with the table; at most one batch of each class and part is not full.
+    """
+    order = hash_order(seed, query, target)
+    rows = rows.withColumn("_h", order)
+    rows = rows.withColumns({
+        "_i": F.row_number().over(Window.partitionBy(query).orderBy("_h", target)),
+        "_j": F.row_number().over(Window.partitionBy(target).orderBy("_h", query)),
+        "_s": F.pmod("_h", F.lit(salts)),
+    })
+    at = F.row_number().over(Window.partitionBy("_i", "_j", "_s").orderBy("_h", query, target))
+    return rows.withColumn("batch", F.concat_ws("-", "_i", "_j", "_s", F.floor((at - 1) / size))).drop("_h", "_i", "_j", "_s")

@@ -97,10 +97,16 @@ def m8(spark, d):
     return metrics.brand_metrics(run, q, rel, siblings)
 
 
-@query("M9_bootstrap_interval", "select round(avg(m), 6) as mean, count(*) as n_families, true as holds from (select l_suppkey, avg(l_discount) as m from lineitem group by 1)")
+@query(
+    "M9_bootstrap_interval",
+    f"""with m as (select l_suppkey, avg(l_discount) as m from lineitem group by 1), f as (select m, row_number() over (order by l_suppkey) - 1 as i, count(*) over () as n from m),
+s as (select unnest(range(200)) as sample), p as (select sample, {training.hash_order_sql(20260926, 'sample', 'i')} % n as i from s cross join (select i, n from f)),
+b as (select sample, avg(m) as mean from p join f using (i) group by 1), o as (select mean, row_number() over (order by mean) - 1 as r from b)
+select round((select mean from o where r = 4), 6) as low, round((select mean from o where r = 194), 6) as high, round(avg(m), 6) as mean, count(*) as n_families from m""",
+)
 def m9(spark, d):
     out = metrics.bootstrap(table(spark, d, "lineitem"), "l_suppkey", "l_discount", draws=200)
-    return out.select(F.round("mean", 6).alias("mean"), "n_families", ((F.col("low") <= F.col("mean")) & (F.col("mean") <= F.col("high"))).alias("holds"))
+    return out.select(*[F.round(c, 6).alias(c) for c in ("low", "high", "mean")], "n_families")
 
 
 TYPING_SQL = """t as (select user_id as session_id, row_number() over (partition by user_id order by ts, event_id) as step, value < 40 as hit from events),
@@ -162,17 +168,19 @@ def s6(spark, d):
     return metrics.overlap_at(run, run.filter("doc_id % 4 <> 0"), 10)
 
 
-@query("O2_case_split_share", "select true as near_ten_percent")
+@query("O2_case_split", f"select o_orderkey, case when {training.hash_order_sql(7, 'o_orderkey')} % 10000 < 1000 then 'dev' else 'train' end as split from orders")
 def o2(spark, d):
-    rows = training.case_split(table(spark, d, "orders"), "o_orderkey", 0.1, 7)
-    return rows.agg(F.avg((F.col("split") == "dev").cast("int").cast("double")).between(0.08, 0.12).alias("near_ten_percent"))
+    return training.case_split(table(spark, d, "orders"), "o_orderkey", 0.1, 7).select("o_orderkey", "split")
 
 
-@query("O1_stratified_split_sizes", "with n as (select c_mktsegment as stratum, count(*) as n from customer group by 1) select stratum, cast(round(n * 0.1) as bigint) as test, cast(round(n * 0.05) as bigint) as dev, cast(n - round(n * 0.1) - round(n * 0.05) as bigint) as train from n")
+@query(
+    "O1_stratified_split",
+    f"""with r as (select c_custkey, c_mktsegment, row_number() over (partition by c_mktsegment order by {training.hash_order_sql(42, 'c_custkey')}, c_custkey) as i, count(*) over (partition by c_mktsegment) as n from customer)
+select c_custkey, case when i <= round(n * 0.1) then 'test' when i <= round(n * 0.1) + round(n * 0.05) then 'dev' else 'train' end as split from r""",
+)
 def o1(spark, d):
-    rows = training.stratified_split(table(spark, d, "customer").select("c_custkey", F.col("c_mktsegment").alias("stratum")), "c_custkey", "stratum", {"test": 0.1, "dev": 0.05}, "train", 42)
-    n = lambda s: F.count_if(F.col("split") == s).alias(s)
-    return rows.groupBy("stratum").agg(n("test"), n("dev"), n("train"))
+    rows = table(spark, d, "customer").select("c_custkey", F.col("c_mktsegment").alias("stratum"))
+    return training.stratified_split(rows, "c_custkey", "stratum", {"test": 0.1, "dev": 0.05}, "train", 42).select("c_custkey", "split")
 
 
 @query("O4_prefix_points", f"with {PLACES_SQL}, t as (select poi_id, name || ' ' || street as q from places), c as (select poi_id, q, [split_part(q, ' ', 1), array_to_string(string_split(q, ' ')[1:3], ' '), rtrim(substr(q, 1, greatest(4, cast(floor(length(q) * 0.6) as bigint))))] as p from t), u as (select distinct poi_id, q, unnest(p) as prefix from c) select poi_id, prefix, false as \"full\" from u where prefix <> q union all select poi_id, q, true from t")

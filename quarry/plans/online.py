@@ -9,7 +9,7 @@ from quarry.functions import parsing
 from quarry.functions import text as T
 from quarry.plans import suggest
 from quarry.plans.registry import query
-from quarry.plans.views import PLACES_SQL, places, requests, table
+from quarry.plans.views import ANCHORS_SQL, PLACES_SQL, anchors, haversine_sql, places, table
 from quarry.sources import files
 from quarry.sources.shared import scratch
 from quarry.streaming import online as S
@@ -28,13 +28,18 @@ def a3(spark, d):
     return rows.select("poi_id", "name", "even", F.array_join("ids", "|").alias("ids"), F.col("_bad").alias("bad"))
 
 
-@query("A5_twin_parity", "select cast(0 as bigint) as differences")
+@query(
+    "A5_twin_parity",
+    f"""with {PLACES_SQL} select poi_id, name, 'left' as side from places where k % 53 = 0 or k % 37 = 0
+union all select poi_id, '  ' || upper(name), 'right' from places where k % 37 = 0 and k % 53 <> 0""",
+)
 def a5(spark, d):
-    p = places(spark, d).select("poi_id", "name", "k")
-    folder = scratch(spark, "twin")
-    files.write_csv(p, folder)
+    """A twin without some rows and with other names in some: the differences are those."""
+    p, folder = places(spark, d).select("poi_id", "name", "k"), scratch(spark, "twin")
+    changed = F.when(F.col("k") % 37 == 0, F.concat(F.lit("  "), F.upper("name"))).otherwise(F.col("name"))
+    files.write_csv(p.filter("k % 53 <> 0").withColumn("name", changed), folder)
     rows, _ = files.read_csv(spark, folder, p.schema)
-    return files.parity(p, rows.drop("_bad")).agg(F.count("*").alias("differences"))
+    return files.parity(p, rows.drop("_bad")).select("poi_id", "name", "side")
 
 
 @query("A7_json_lines_round_trip", "select event_id, event_type, value, false as broken from events")
@@ -138,10 +143,14 @@ def k13(spark, d):
 
 @query("R6_suggest")
 def r6(spark, d):
-    a = requests(spark, d)
-    form = F.col("form") % 3
-    q = F.when(form == 0, "red bolt").when(form == 1, "small g").otherwise("12 street 3")
-    return suggest.suggest(places(spark, d), a.select(F.col("anchor_id").alias("query_id"), q.alias("text"), "lat", "lon"), top_k=10)
+    return suggest.suggest(places(spark, d), asked(spark, d).select("query_id", "text", "lat", "lon"), top_k=10)
+
+
+@query("R7_trace_stages")
+def r7(spark, d):
+    """The searches of R6 with each one's own place as its target."""
+    q = asked(spark, d).select("query_id", "text", "lat", "lon", F.concat(F.lit("p:"), F.col("query_id").cast("string")).alias("target_poi_id"))
+    return suggest.trace(places(spark, d), q)
 
 
 @query("R5_origins", f"with {PLACES_SQL} select poi_id, cast(rank as integer) as rank from (select poi_id, row_number() over (order by poi_id) as rank from places where name = 'red bolt' and destination_searchable) where rank <= 50")
@@ -183,8 +192,58 @@ def s4(spark, d):
     return suggest.lane_quotas(rows, {"protected": 5, "reserve": 10, "scope": 35}).select("query_id", "doc_id", "lane")
 
 
-@query("S1_ranker_features")
+#: Requests of every fiftieth customer: an address, a name or a brand in capitals.
+ASKED_SQL = """asked as (select c_custkey as query_id, k, street, a.lat as a_lat, a.lon as a_lon, timestamp '2024-01-10 00:00:00' + to_hours(cast(c_custkey % 400 as integer)) as asked_at, cast(c_custkey / 50 as bigint) % 15 as user_id,
+  case cast(c_custkey / 50 as bigint) % 3 when 0 then name || ' ' || housenumber || ' ' || street || ' shop' when 1 then name else upper(brand) end as text
+  from customer join places on k = c_custkey join anchors a on anchor_id = c_custkey where c_custkey % 50 = 0)"""
+
+
+def asked(spark, d):
+    c = table(spark, d, "customer").filter("c_custkey % 50 = 0").select(F.col("c_custkey").alias("query_id"), F.floor(F.col("c_custkey") / 50).alias("n"))
+    rows = c.join(places(spark, d).select(F.col("k").alias("query_id"), "name", "housenumber", "street", "brand"), "query_id").join(anchors(spark, d).withColumnRenamed("anchor_id", "query_id"), "query_id")
+    text = F.when(F.col("n") % 3 == 0, F.concat_ws(" ", "name", "housenumber", "street", F.lit("shop"))).when(F.col("n") % 3 == 1, F.col("name")).otherwise(F.upper("brand"))
+    at = F.timestamp_micros(F.lit(1_704_844_800_000_000) + (F.col("query_id") % 400) * 3_600_000_000)
+    return rows.select("query_id", text.alias("text"), "lat", "lon", at.alias("asked_at"), (F.col("n") % 15).alias("user_id"), "street")
+
+
+DIGITS_SQL = "array_to_string(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda t: regexp_matches(t, '[0-9]')), ' ')"
+
+
+@query(
+    "S1_ranker_features",
+    f"""with {PLACES_SQL}, {ANCHORS_SQL}, {ASKED_SQL},
+c as (select * from (select query_id, text, a_lat, a_lon, asked_at, user_id, p.*, row_number() over (partition by query_id order by abs(p.k - query_id), poi_id) as rank from asked join places p using (street)) where rank <= 20),
+h as (select query_id, 'p:' || (event_id % 200) as doc_id, ts, asked_at from events join asked using (user_id) where ts <= asked_at),
+hp as (select h.*, brand, category from h join places on poi_id = doc_id),
+n0 as (select query_id, count(*) as n_past from hp group by 1),
+n1 as (select query_id, doc_id, count(*) as n_poi, max(ts) as last, count(*) filter (where least(abs(hour(ts) - hour(asked_at)), 24 - abs(hour(ts) - hour(asked_at))) <= 2) as n_hour from hp group by 1, 2),
+n2 as (select query_id, brand, count(*) as n_brand from hp group by 1, 2), n3 as (select query_id, category, count(*) as n_category from hp group by 1, 2),
+r as (select *, {DIGITS_SQL} as keys, regexp_extract_all(lower(text), '[a-z0-9]+') as toks, pi() * 2 * hour(asked_at) / 24 as hr, pi() * 2 * ((dayofweek(asked_at) + 6) % 7) / 7 as wd, {haversine_sql('a_lat', 'a_lon', 'lat', 'lon', 6371008.8)} as m
+  from c left join n0 using (query_id) left join n1 on n1.query_id = c.query_id and n1.doc_id = c.poi_id left join n2 on n2.query_id = c.query_id and n2.brand = c.brand left join n3 on n3.query_id = c.query_id and n3.category = c.category),
+s as (select *, contains(' ' || keys || ' ', ' ' || housenumber || ' ') as same from r)
+select c_query as query_id, poi_id as doc_id, """
+    + ", ".join(
+        f"round(cast({x} as double), 6) as {n}"
+        for n, x in {
+            "stage1_rr": "1.0 / (1 + rank)", "lexical_rr": "case when k % 3 = 0 then 0 else 1.0 / (1 + rank) end", "lexical_missing": "k % 3 = 0", "dense_cosine": "case when k % 4 = 0 then 0 else 1.0 / (1 + rank) end", "dense_missing": "k % 4 = 0",
+            "name_exact": "lower(text) = name or lower(text) = lower(brand)", "address_joint_match": "same and len(list_filter(string_split(street, ' '), lambda t: not list_contains(toks, t))) = 0",
+            "ref_namespace_match": "k % 6 = 3 and list_contains(toks, housenumber) and contains(text, 'shop')", "explicit_mismatch": "keys <> '' and not same", "primary_scope_member": "region_id < 5",
+            "from_global": "k % 5 = 0", "from_geo_rescue": "k % 5 = 1", "from_history_rescue": "k % 5 = 2", "log1p_distance_m": "ln(1 + m)", "origin_missing": "false", "history_missing": "n_past is null",
+            "poi_frequency": "coalesce(n_poi / n_past, 0)", "brand_frequency": "coalesce(n_brand / n_past, 0)", "category_frequency": "coalesce(n_category / n_past, 0)", "log1p_recency_hours": "coalesce(ln(1 + epoch_us(asked_at - last) / 3.6e9), 0)", "recency_missing": "n_poi is null",
+            "hour_sin": "sin(hr)", "hour_cos": "cos(hr)", "weekday_sin": "sin(wd)", "weekday_cos": "cos(wd)", "same_hour_affinity": "coalesce(n_hour / n_past, 0)", "query_char_count": "length(text)", "has_address_pattern": "keys <> ''", "has_code_pattern": "text like 'BRAND#%'",
+        }.items()
+    )
+    + " from (select s.*, s.query_id as c_query from s)",
+)
 def s1(spark, d):
-    a = requests(spark, d)
-    q = F.when(F.col("form") % 2 == 0, "red bolt").otherwise("small gear")
-    return suggest.features(places(spark, d), a.select(F.col("anchor_id").alias("query_id"), q.alias("text"), "lat", "lon"))
+    a, k = asked(spark, d), F.col("k")
+    p = places(spark, d)
+    near = Window.partitionBy("query_id").orderBy(F.abs(k - F.col("query_id")), "poi_id")
+    c = a.select("query_id", "street").join(p, "street").withColumn("rank", F.row_number().over(near)).filter("rank <= 20")
+    lane = F.when(k % 5 == 0, "global").when(k % 5 == 1, "geo_rescue").when(k % 5 == 2, "history_rescue").otherwise("scope")
+    c = c.select("query_id", F.col("poi_id").alias("doc_id"), "rank", F.when(k % 3 != 0, F.col("rank")).alias("lexical_rank"), F.when(k % 4 != 0, 1.0 / (1 + F.col("rank"))).alias("dense_cosine"), lane.alias("lane"), (F.col("region_id") < 5).alias("primary_scope"),
+        "name", F.array("brand").alias("aliases"), "housenumber", "street", "brand", "category", F.when(k % 2 == 1, F.col("housenumber")).alias("ref"), F.when(k % 3 == 0, "retail").alias("namespace"), "lat", "lon")
+    e = table(spark, d, "events").select("user_id", F.concat(F.lit("p:"), (F.col("event_id") % 200).cast("string")).alias("doc_id"), F.col("ts").cast("timestamp").alias("occurred_at"))
+    history = e.join(a.select("query_id", "user_id"), "user_id").join(p.select(F.col("poi_id").alias("doc_id"), "brand", "category"), "doc_id").select("query_id", "doc_id", "brand", "category", "occurred_at")
+    out = suggest.ranker_features(c, a.drop("user_id", "street"), history)
+    return out.select("query_id", "doc_id", *[F.round(n, 6).alias(n) for n in suggest.FEATURES])

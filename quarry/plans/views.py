@@ -49,12 +49,6 @@ def anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").selectExpr(*[f"{sql} as {name}" for name, sql in ANCHORS.items()])
 
 
-def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stated set of search requests: one from the first customer of each nation, with the nation's number."""
-    first = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.min("c_custkey").alias("anchor_id"))
-    return anchors(spark, sf_dir).join(first, "anchor_id").withColumnRenamed("c_nationkey", "form")
-
-
 #: DuckDB's side of functions.text.fold and its token arrays, over a text column.
 def fold_sql(c: str) -> str:
     return f"trim(regexp_replace(strip_accents(replace(lower(coalesce({c}, '')), 'ß', 'ss')), '\\s+', ' ', 'g'))"

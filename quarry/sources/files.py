@@ -18,7 +18,7 @@ def write_csv(df: DataFrame, path: str, delimiter: str | None = None) -> None:
             c = F.lower(c.cast("string"))
         return c.alias(f.name)
 
-    df.select(*[cell(f) for f in df.schema]).write.option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
+    df.select(*[cell(f) for f in df.schema]).write.options(header=True, escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, delimiter: str | None = None) -> tuple[DataFrame, Column]:

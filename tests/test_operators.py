@@ -121,13 +121,51 @@ def test_remap_upsert_and_compose(spark):
     assert sorted(map(tuple, R.upsert(base, patch, "k").collect())) == [(1, "x"), (2, "z"), (3, "w")]
 
 
+@pytest.mark.parametrize("salts", [1, 3])
+def test_batches_hold_every_row_once_and_no_conflict(spark, salts):
+    import random
+
+    rnd = random.Random(salts)
+    rows = {("hot", f"t{k}") for k in range(40)} | {(f"q{k}", "hot") for k in range(40)} | {(f"q{rnd.randrange(60)}", f"t{rnd.randrange(60)}") for _ in range(400)}
+    df = spark.createDataFrame(sorted(rows), "query string, target string")
+    got = training.conflict_free_batches(df, "query", "target", 8, salts=salts).collect()
+    assert {(r.query, r.target) for r in got} == rows and len(got) == len(rows)
+    batches: dict = {}
+    for r in got:
+        batches.setdefault(r.batch, []).append(r)
+    for own in batches.values():
+        assert len(own) <= 8 and len({r.query for r in own}) == len({r.target for r in own}) == len(own)
+    full = sum(len(own) == 8 for own in batches.values())
+    classes = {b.rsplit("-", 1)[0] for b in batches}
+    assert len(batches) - full <= len(classes)
+
+
+def test_ann_recall(spark):
+    """At 12 of 16 cells, against brute force."""
+    import os
+
+    if not os.path.isdir("/root/testdata/sf0.01"):
+        pytest.skip("needs the test tables")
+    from quarry.plans import catalog
+
+    rows = catalog.QUERIES["K6_ann_recall"](spark, "/root/testdata/sf0.01").collect()
+    assert sum(r.overlap for r in rows) / len(rows) >= 0.9
+
+
+def test_encoder_vectors_are_unit(spark):
+    from quarry.operators.encode import encode, hashing_encoder
+
+    df = spark.createDataFrame([("1", "red bolt"), ("2", "red bolt"), ("3", "")], "id string, t string")
+    got = {r.id: r.vector for r in encode(df, "id", "t", hashing_encoder(16), prefix="passage: ").collect()}
+    assert got["1"] == got["2"] and all(len(v) == 16 and abs(sum(x * x for x in v) - 1) < 1e-5 for v in got.values())
+
+
 def test_hard_negatives_fill_each_source(spark):
     rows = [(1, f"d{i}", s, i) for s in ("lexical", "dense") for i in range(1, 6)]
     c = spark.createDataFrame(rows, "query_id long, doc_id string, source string, rank int")
     blocked = spark.createDataFrame([(1, "d1")], "query_id long, doc_id string")
     got = sorted((r.source, r.doc_id) for r in training.hard_negatives(c, blocked, {"lexical": 2, "dense": 2}).collect())
     assert got == [("dense", "d4"), ("dense", "d5"), ("lexical", "d2"), ("lexical", "d3")]
-    assert training.conflict_free_batches([{"target": t, "query": q} for t, q in (("a", "1"), ("a", "2"), ("b", "1"), ("c", "3"))], 2) == [[{"target": "a", "query": "1"}, {"target": "c", "query": "3"}], [{"target": "a", "query": "2"}, {"target": "b", "query": "1"}]]
 
 
 def test_splits_do_not_depend_on_partitions(spark):
