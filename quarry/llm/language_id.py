@@ -18,7 +18,7 @@ from quarry.llm.common import arrow_schema, map_rows, resident, scattered
 WORD = re.compile(r"[^\W\d_]+")
 ORDERS = (5, 4, 3, 2, 1)
 #: Characters of labelled text that a model is fitted on: of each language, and of all together.
-PER_LANGUAGE, IN_ALL = 3_000_000, 60_000_000
+PER_LANGUAGE, IN_ALL = 2_000_000, 60_000_000
 
 
 def words_of(text: str) -> list[str]:
@@ -120,7 +120,7 @@ class Model:
 class Scorer:
     """Scores of words, remembered in a worker for at most `keep` unseen words at a time."""
 
-    def __init__(self, model: Model, keep: int = 200_000):
+    def __init__(self, model: Model, keep: int = 120_000):
         self.model, self.keep = model, keep
         self.clear()
 
