@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import geo
 from quarry.functions import text as T
-from quarry.operators import checks, identity, metrics, training
+from quarry.operators import checks, identity, metrics, training, validators
 from quarry.operators import tables as R
 from quarry.plans.registry import query
 from quarry.plans.search import DENSE_SQL, dense
@@ -299,11 +299,46 @@ def l4(spark, d):
     return identity.clean_corpus(p, [(~F.col("destination_searchable")).cast("int"), F.col("k")], metres=60.0)
 
 
-@query("P3_release_rules", f"with {PLACES_SQL} select 'brand_shape' as rule, poi_id as key from places where not regexp_matches(brand, '^Brand#[0-9]$') union all select 'size_range', poi_id from places where cast(housenumber as integer) > 45 union all select 'unique_name', name from places group by name having count(*) > 1")
+#: Members of brand groups, with faults in some: column -> SQL over part, portable between both engines.
+MEMBERS = {
+    "poi_id": "concat('p:', cast(p_partkey as string))",
+    "brand_family_id": "concat('brand:', lower(replace(p_brand, '#', '_')))",
+    "brand_namespace": "case when p_partkey % 103 = 0 then 'spa' when p_partkey % 89 = 0 then 'other_reviewed' when p_partkey % 4 = 0 then 'cafe' when p_partkey % 4 = 1 then 'hotel' when p_partkey % 4 = 2 then 'bank' else 'retail' end",
+    "brand_canonical": "p_brand",
+    "brand_fold": "case when p_partkey % 109 = 0 then upper(p_brand) else lower(p_brand) end",
+    "destination_searchable": "(p_size % 10) <> 0",
+    "membership_status": "case when p_partkey % 113 = 0 then 'pending' when p_partkey % 7 = 3 then 'needs_review' when p_partkey % 7 = 5 then 'excluded' else 'accepted' end",
+    "review_status": "case when p_partkey % 131 = 0 then 'odd' when p_partkey % 127 = 0 or p_partkey % 7 = 3 then 'needs_review' else 'accepted' end",
+    "group_version": "case when p_partkey % 137 = 0 then 'v0' else 'v1' end",
+}
+MEMBERS_SQL = "m as (select *, case when poi_id like '%77' then 'x' else concat(brand_family_id, ':', brand_namespace) end as brand_group_id from (select " + ", ".join(f"{x} as {n}" for n, x in MEMBERS.items()) + " from part))"
+
+
+def members(spark, d):
+    rows = table(spark, d, "part").selectExpr(*[f"{x} as {n}" for n, x in MEMBERS.items()])
+    return rows.withColumn("brand_group_id", F.when(F.col("poi_id").like("%77"), "x").otherwise(F.concat_ws(":", "brand_family_id", "brand_namespace")))
+
+
+@query(
+    "P3_release_rules",
+    f"""with {MEMBERS_SQL}, ok as (select * from m where membership_status = 'accepted')
+select 'known_namespace' as rule, poi_id as key from m where brand_namespace not in ('atm', 'bank', 'fuel', 'cafe', 'restaurant', 'convenience_store', 'supermarket', 'pharmacy', 'hotel', 'retail', 'other_reviewed')
+union all select 'known_membership_status', poi_id from m where membership_status not in ('accepted', 'needs_review', 'excluded')
+union all select 'known_review_status', poi_id from m where review_status not in ('authored', 'accepted', 'needs_review')
+union all select 'member_version', poi_id from m where group_version <> 'v1'
+union all select 'group_is_family_and_namespace', poi_id from m where brand_group_id <> brand_family_id || ':' || brand_namespace
+union all select 'fold_of_canonical', poi_id from m where brand_fold <> lower(brand_canonical)
+union all select 'accepted_is_searchable', poi_id from ok where not destination_searchable
+union all select 'accepted_is_reviewed', poi_id from ok where review_status = 'needs_review'
+union all select 'accepted_has_a_namespace', poi_id from ok where brand_namespace = 'other_reviewed'
+union all select 'accepted_group_of_two', brand_group_id from ok group by brand_group_id having count(*) < 2
+union all select 'one_row_a_member', brand_group_id || '|' || poi_id from m group by brand_group_id, poi_id having count(*) > 1
+union all select 'explicit_family', brand_family_id from m where brand_family_id like '%7' group by brand_family_id""",
+)
 def p3(spark, d):
-    p = places(spark, d)
-    rows = checks.row_rules(p, F.col("poi_id"), {"brand_shape": F.col("brand").rlike("^Brand#[0-9]$"), "size_range": F.col("housenumber").cast("int") <= 45})
-    return rows.unionByName(checks.unique(p, "name", "unique_name"))
+    m = members(spark, d)
+    families = m.select("brand_family_id").distinct().select("brand_family_id", F.when(F.col("brand_family_id").like("%7"), "derived").otherwise("explicit_brand").alias("candidate_source"), F.lit("v1").alias("group_version"))
+    return validators.brand_members(m, families, "v1")
 
 
 @query("P4_foreign_keys", "select 'customer_exists' as rule, cast(o_custkey as varchar) as key from orders where o_custkey not in (select c_custkey from customer where c_custkey % 9 <> 0)")

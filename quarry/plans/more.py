@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from quarry.functions import geo, parsing
 from quarry.functions import text as T
-from quarry.operators import checks, identity, metrics, ranking, retrieval, training
+from quarry.operators import checks, identity, metrics, ranking, retrieval, training, validators
 from quarry.operators import lexical as clauses
 from quarry.operators import tables as R
 from quarry.plans import suggest
+from quarry.plans.evaluation import MEMBERS_SQL, members
 from quarry.plans.online import asked
 from quarry.plans.registry import query
 from quarry.plans.relational import MIGRATIONS_SQL, migration
@@ -211,10 +212,35 @@ def l5(spark, d):
     return li.join(kept, "poi_id", "left_semi").select("l_orderkey", "l_linenumber")
 
 
-@query("L6_P17_corpus_rules", f"with {PLACES_SQL} select 'finite_point' as rule, poi_id as key from places where not (abs(lat) <= 90) union all select 'name_known', poi_id from places where name = '' union all select 'short_brand', poi_id from places where length(brand) > 7")
+@query(
+    "L6_P17_corpus_rules",
+    f"""with {PLACES_SQL}, core as (select poi_id, k, name from places where k % 61 <> 0), docs as (select poi_id, case when k % 67 = 0 then upper(name) else name end as name, case when k % 71 = 0 then street else name || ' | ' || street end as passage from places where k % 73 <> 0),
+mig as (select poi_id as old, case when k % 61 = 0 and k % 2 = 0 then null when k % 61 = 0 then 'p:' || (k + 1) when k % 79 = 0 then 'p:61' else poi_id end as canonical, case when k % 61 = 0 and k % 2 = 0 then 'drop_junk_or_foreign' when k % 61 = 0 then 'merge_duplicate' else 'keep' end as action, case when k % 3 = 0 then cast(k % 90 as double) end as metres from places
+  union all select poi_id, null, 'drop_junk_or_foreign', null from places where k % 83 = 0),
+pair as (select c.*, d.name as d_name, passage from core c left join docs d using (poi_id))
+select 'same_name' as rule, poi_id as key from pair where d_name is null or d_name <> name
+union all select 'passage_begins_with_name', poi_id from pair where passage is null or not starts_with(passage, name || ' |')
+union all select 'dropped_leads_nowhere', old from mig where action = 'drop_junk_or_foreign' and (canonical is not null or old in (select poi_id from core))
+union all select 'kept_leads_to_a_survivor', old from mig where action <> 'drop_junk_or_foreign' and canonical not in (select poi_id from core)
+union all select 'merged_is_near', old from mig where action = 'merge_duplicate' and (metres is null or metres >= 50)
+union all select 'one_row_an_old_id', old from mig group by old having count(*) > 1
+union all select 'documents_of_a_place', poi_id from docs where poi_id not in (select poi_id from core)
+union all select 'place_in_documents', poi_id from core where poi_id not in (select poi_id from docs)
+union all select 'regions_of_a_place', poi_id from places where k % 61 = 0 and k % 5 = 0
+union all select 'counts_of_manifest', 'rows'""",
+)
 def l6(spark, d):
-    rules = {"finite_point": geo.finite(F.col("lat"), F.col("lon")), "name_known": F.col("name") != "", "short_brand": F.char_length("brand") <= 7}
-    return checks.row_rules(places(spark, d), F.col("poi_id"), rules)
+    p, k = places(spark, d), F.col("k")
+    core = p.filter("k % 61 <> 0").select("poi_id", "name")
+    docs = p.filter("k % 73 <> 0").select("poi_id", F.when(k % 67 == 0, F.upper("name")).otherwise(F.col("name")).alias("name"), F.when(k % 71 == 0, F.col("street")).otherwise(F.concat_ws(" | ", "name", "street")).alias("passage_context"))
+    gone, even = k % 61 == 0, k % 2 == 0
+    to = F.when(gone & even, F.lit(None)).when(gone, F.concat(F.lit("p:"), (k + 1).cast("string"))).when(k % 79 == 0, "p:61").otherwise(F.col("poi_id"))
+    action = F.when(gone & even, "drop_junk_or_foreign").when(gone, "merge_duplicate").otherwise("keep")
+    moves = p.select(F.col("poi_id").alias("old_poi_id"), to.alias("canonical_poi_id"), action.alias("action"), F.when(k % 3 == 0, (k % 90).cast("double")).alias("distance_to_canonical_m"))
+    moves = moves.unionByName(p.filter("k % 83 = 0").selectExpr("poi_id as old_poi_id", "cast(null as string) as canonical_poi_id", "'drop_junk_or_foreign' as action", "cast(null as double) as distance_to_canonical_m"))
+    actions = {r["action"]: r["n"] for r in moves.groupBy("action").agg(F.count("*").alias("n")).collect()}
+    regions = core.select("poi_id").unionByName(p.filter(gone & (k % 5 == 0)).select("poi_id"))
+    return validators.clean_corpus(core, docs, core.select("poi_id"), regions, moves, 50.0, actions | {"rows": -1})
 
 
 @query("L10_alias_candidates", f"with {PLACES_SQL}, a as (select split_part(name, ' ', 2) as alias, brand from places) select alias, count(*) as n, count(distinct brand) as brands from a group by 1 having count(*) >= 3")
@@ -334,13 +360,6 @@ def o14(spark, d):
     return p.join(c, "prefix").select("brand", "idx", "prefix", F.when(F.col("n") == 1, "ready").otherwise("ambiguous").alias("evidence_state"))
 
 
-@query("P2_brand_query_rules", "with g as (select l_orderkey, count(*) as n, count(distinct l_linenumber) as u from lineitem group by 1) select 'two_to_six' as rule, cast(l_orderkey as varchar) as key from g where n < 2 or n > 6 union all select 'unique_line', cast(l_orderkey as varchar) from g where n <> u")
-def p2(spark, d):
-    li = table(spark, d, "lineitem")
-    g = li.groupBy("l_orderkey").agg(F.count("*").alias("n"), F.countDistinct("l_linenumber").alias("u"))
-    return checks.row_rules(g, F.col("l_orderkey"), {"two_to_six": F.col("n").between(2, 6), "unique_line": F.col("n") == F.col("u")})
-
-
 @query("P7_draft_leaks", "with t as (select distinct lower(text) as f from documents where doc_id % 5 <> 0) select doc_id from documents where doc_id % 5 = 0 and lower(text) in (select f from t)")
 def p7(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.md5(F.lower("text")).alias("f"))
@@ -366,9 +385,60 @@ def p13(spark, d):
     return places(spark, d).select("poi_id", F.explode(cells).alias("c")).select("poi_id", "c.slot", "c.query")
 
 
-@query("P14_packet_hashes", f"with {PLACES_SQL} select brand || ':' || category as packet, count(*) as n, sha256(string_agg(distinct poi_id, chr(10) order by poi_id) || chr(10)) as pool_sha256 from places group by 1")
+#: Accepted groups of the members, and the packets made of them, with faults in some families.
+GROUPS_SQL = f"""{MEMBERS_SQL}, ok as (select * from m where membership_status = 'accepted' and destination_searchable and brand_group_id <> 'x'),
+g as (select brand_group_id as id, brand_family_id as fam, brand_namespace as ns, min(brand_canonical) as brand, count(distinct poi_id) as n, sha256(string_agg(distinct poi_id, chr(10) order by poi_id) || chr(10)) as hash from ok group by all),
+p as (select *, case when fam like '%3' then n + 1 else n end as said_n, case when fam like '%4' and ns = 'bank' then sha256(id) else hash end as said_hash, case when fam like '%5' then [ns, 'x'] else [ns] end as scope, case when fam like '%9' then 'v0' else 'v1' end as version from g where not (fam like '%6' and ns = 'cafe'))"""
+
+
+def packets(spark, d):
+    m = members(spark, d).filter("brand_group_id <> 'x'")
+    g = m.filter("membership_status = 'accepted' and destination_searchable").groupBy("brand_group_id", "brand_family_id", "brand_namespace").agg(F.min("brand_canonical").alias("brand"), F.array_sort(F.collect_set("poi_id")).alias("positive_poi_ids"), R.pool_hash(F.col("poi_id")).alias("hash"))
+    fam, ns = F.col("brand_family_id"), F.col("brand_namespace")
+    p = g.filter(~(fam.like("%6") & (ns == "cafe"))).select("*", F.col("brand_group_id").alias("intent_id"), F.lit("BRAND").alias("intent_scope"), F.lit("FAMILY_NAMESPACE").alias("qrel_policy"), F.when(fam.like("%5"), F.array(ns, F.lit("x"))).otherwise(F.array(ns)).alias("namespace_scope"),
+        (F.size("positive_poi_ids") + F.when(fam.like("%3"), 1).otherwise(0)).alias("n_positive"), F.when(fam.like("%4") & (ns == "bank"), F.sha2("brand_group_id", 256)).otherwise(F.col("hash")).alias("positive_pool_sha256"),
+        F.array(F.concat_ws(" ", "brand", "brand_namespace")).alias("verified_aliases"), F.lit("review_only_do_not_author_until_adjudicated").alias("alias_usage"), F.when(fam.like("%9"), "v0").otherwise("v1").alias("packet_version"), (ns == "hotel").alias("requires_namespace_token"))
+    return p, m
+
+
+@query(
+    "P14_packet_rules",
+    f"""with {GROUPS_SQL} select 'pool_count' as rule, id as key from p where said_n <> n union all select 'pool_hash', id from p where said_hash <> hash union all select 'namespace_scope', id from p where scope <> [ns]
+union all select 'packet_version', id from p where version <> 'v1' union all select 'every_accepted_group', id from g where id not in (select id from p)""",
+)
 def p14(spark, d):
-    return places(spark, d).groupBy(F.concat_ws(":", "brand", "category").alias("packet")).agg(F.count("*").alias("n"), R.pool_hash(F.col("poi_id")).alias("pool_sha256"))
+    return validators.authoring_packets(*packets(spark, d), {"packet_version": "v1"})
+
+
+@query(
+    "P2_brand_query_rules",
+    f"""with {GROUPS_SQL}, i as (select *, row_number() over (order by id) as n_intent from p),
+q as (select id, fam, ns, brand, v, 'brandq1-' || lpad(cast(n_intent as varchar), 5, '0') || '-v0' || v as query_id, case v when 1 then 'brand_canonical' when 2 then 'brand_case_punct' when 3 then 'brand_alias' else 'brand_mechanical_typo' end as operator,
+  case v when 1 then brand when 2 then upper(replace(brand, '#', '-')) || case when fam like '%2' then 's' else '' end when 3 then brand || ' ' || case when ns = 'retail' then 'x' else ns end else case when fam like '%7' then 'Bra#' else 'Brnad#' end || substr(brand, 7) end as text
+  from i, (select unnest([1, 2, 3, 4]) as v) where v = 1 or not (fam like '%8' and ns = 'bank')),
+w as (select *, lower(text) as norm from q)
+select 'scope_of_packet' as rule, query_id as key from w where fam like '%5'
+union all select 'verified_alias', query_id from w where v = 3 and text <> brand || ' ' || ns
+union all select 'one_slip', query_id from w where v = 4 and text like 'Bra#%'
+union all select 'case_keeps_identity', query_id from w where v = 2 and regexp_replace(norm, '[^a-z0-9]', '', 'g') <> regexp_replace(lower(brand), '[^a-z0-9]', '', 'g')
+union all select 'namespace_token', query_id from w where ns = 'hotel' and not contains(norm, 'hotel') and not contains(norm, 'khách sạn') and not contains(norm, 'khach san')
+union all select 'two_to_six_rows', id from w group by id having count(*) < 2 or count(*) > 6
+union all select 'text_of_one_intent', norm from w group by norm having count(distinct id) > 1""",
+)
+def p2(spark, d):
+    p, _ = packets(spark, d)
+    fam, ns, v, brand = F.col("brand_family_id"), F.col("brand_namespace"), F.col("v"), F.col("brand")
+    i = p.withColumn("n_intent", F.row_number().over(Window.orderBy("brand_group_id")))  # a row a group
+    q = i.withColumn("v", F.explode(F.array(*map(F.lit, (1, 2, 3, 4))))).filter((v == 1) | ~(fam.like("%8") & (ns == "bank")))
+    operator = F.when(v == 1, "brand_canonical").when(v == 2, "brand_case_punct").when(v == 3, "brand_alias").otherwise("brand_mechanical_typo")
+    text = F.when(v == 1, brand).when(v == 2, F.concat(F.upper(F.replace(brand, F.lit("#"), F.lit("-"))), F.when(fam.like("%2"), "s").otherwise("")))
+    text = text.when(v == 3, F.concat_ws(" ", brand, F.when(ns == "retail", "x").otherwise(ns))).otherwise(F.concat(F.when(fam.like("%7"), "Bra#").otherwise("Brnad#"), F.substring(brand, 7, 9)))
+    spec = F.create_map(*[x for name, (family, severity) in validators.OPERATORS.items() for x in (F.lit(name), F.struct(F.lit(family).alias("f"), F.lit(severity).alias("s")))])
+    q = q.select(F.format_string("brandq1-%05d-v0%d", "n_intent", "v").alias("query_id"), "intent_id", "intent_scope", "brand_family_id", F.array(ns).alias("namespace_scope"), "qrel_policy", brand.alias("canonical_brand_query"), text.alias("query_text"), operator.alias("variant_operator"),
+        F.lit("lang_vi").alias("language_tag"), F.lit("authored").alias("review_status"), F.lit("g1").alias("generator_version"), "positive_poi_ids")
+    q = q.withColumns({"query_variant_family": spec[F.col("variant_operator")]["f"], "severity": spec[F.col("variant_operator")]["s"]})
+    qrels = q.select("query_id", F.explode("positive_poi_ids").alias("poi_id"), F.lit("positive_pool").alias("relation"), F.lit("q1").alias("qrels_version"))
+    return validators.brand_queries(q.drop("positive_poi_ids"), qrels, p, "g1", "q1")
 
 
 @query(
