@@ -62,16 +62,22 @@ def first_of_key(stream: DataFrame, keys: list[str], delay: str) -> DataFrame:
 
 def _idempotency(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """The first payload of a key owns it (200); the same again is answered as before (200), another is refused (409)."""
+    if state.hasTimedOut:
+        state.remove()
+        return
     rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
     owner = state.get[0] if state.exists else rows["payload"].iloc[0]
     state.update((owner,))
+    state.setTimeoutTimestamp(max(int(rows["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + 1)
     status = rows["payload"].map(lambda p: 200 if p == owner else 409)
     yield pd.DataFrame({"event_id": rows["event_id"], "status": status})
 
 
-def select_status(stream: DataFrame) -> DataFrame:
-    """Status of each select event (event_id, ts, key, payload) under idempotency keys."""
-    return stream.groupBy("key").applyInPandasWithState(_idempotency, "event_id long, status long", "owner string", "append", GroupStateTimeout.NoTimeout)
+def select_status(stream: DataFrame, keep: str = "30 days") -> DataFrame:
+    """Status of each select event (event_id, ts, key, payload) under idempotency keys. A key is forgotten `keep` after its
+    last event, when the watermark passes it; events later than that are dropped."""
+    marked = stream.withWatermark("ts", keep)
+    return marked.groupBy("key").applyInPandasWithState(_idempotency, "event_id long, status long", "owner string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def session_windows(stream: DataFrame, gap: str) -> DataFrame:
@@ -85,7 +91,8 @@ def tumbling(stream: DataFrame, size: str) -> DataFrame:
 
 
 def latest_revision(stream: DataFrame, revision: str, value: str) -> DataFrame:
-    """The value of each user's highest revision; stale revisions change nothing."""
+    """The value of each user's highest revision; stale revisions change nothing. The state is one row a user, for good: a
+    revision is stale however late it comes."""
     return stream.groupBy("user_id").agg(F.max(F.struct(revision, value)).alias("m")).select("user_id", f"m.{revision}", f"m.{value}")
 
 

@@ -202,3 +202,23 @@ def test_release_is_immutable(spark, tmp_path):
     with pytest.raises(Exception, match="(?i)exists"):
         files.release(df, f"{tmp_path}/r", "k")
     assert files.release(df.repartition(5), f"{tmp_path}/r2", "k").first().keys_sha256 == first.keys_sha256
+
+
+def test_idempotency_keys_are_forgotten(spark, tmp_path):
+    """Two runs of one stream: a key is owned until the watermark passes its last event by the time it is kept."""
+    from quarry.streaming import online
+
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    kinds = "event_id long, ts timestamp, key string, payload string"
+
+    def put(rows):
+        spark.createDataFrame(rows, "event_id long, ts string, key string, payload string").withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(kinds).parquet(source)
+        online.select_status(stream, "1 hour").writeStream.option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).format("parquet").option("path", out).start().awaitTermination()
+
+    put([(1, "2024-01-01 10:00:00", "a", "x"), (2, "2024-01-01 10:01:00", "a", "y"), (3, "2024-01-01 10:02:00", "b", "x")])
+    put([(4, "2024-01-01 10:30:00", "a", "y"), (5, "2024-01-01 14:00:00", "b", "z")])
+    put([(6, "2024-01-01 14:10:00", "a", "y"), (7, "2024-01-01 14:11:00", "a", "x")])
+    got = {r.event_id: r.status for r in spark.read.parquet(out).collect()}
+    assert got[1] == 200 and got[2] == 409 and got[3] == 200 and got[4] == 409 and got[5] == 409
+    assert got[6] == 200 and got[7] == 409
