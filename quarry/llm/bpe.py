@@ -166,10 +166,10 @@ def decode(ids: Iterable[int], path: str) -> str:
 
 
 def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids array<int>, text string): the ids of each whole text and what they decode to.
+    """(doc_id, ids array<int>, decoded string): the ids of each whole text and what they decode to.
 
-    Null text counts as empty (no ids). Empty tables give no rows; repeated rows give a row each; other columns are
-    ignored.
+    Null text counts as empty (no ids); very long texts are encoded whole, chunk by chunk. Empty tables give no rows;
+    repeated rows and rows without an id give a row each; other columns are ignored.
     """
     path = path or tokenizer_path("byte_bpe_50k.json")
 
@@ -185,7 +185,8 @@ def encode_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, and SHA-256 of the ids in decimal and of the decoded text.
 
     The same encoder and decoder as encode_documents, but the ids stay in the worker, so that no row carries them.
-    Null text counts as empty; an empty table gives no rows; equal rows give equal results.
+    Null text counts as empty, very long texts are taken whole; an empty table gives no rows; equal rows give equal
+    results, a null id stays null, and other columns are ignored.
     """
     path = path or tokenizer_path("byte_bpe_50k.json")
 

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import arrow_schema, scattered
 
+#: Components reach this in size only where no product of theirs is exact.
+LARGEST = 2.0**53
 BLOCK = "dim int, g int, n int, ids binary, vectors binary"
 
 
@@ -86,9 +88,10 @@ def _blocks(vectors: DataFrame, size: int, groups: int, id_col: str, vec_col: st
                 if i is None or v is None:
                     continue
                 x = np.array(v, dtype=np.float64)
-                if not np.isfinite(x).all():  # a null component reads as NaN
+                x = np.floor(256 * x)
+                if not (np.abs(x) < LARGEST).all():  # a null component reads as NaN
                     continue
-                x = np.floor(256 * x).astype(np.int64)
+                x = x.astype(np.int64)
                 held.setdefault(len(x), []).append((i, x))
                 if len(held[len(x)]) >= size:
                     yield out(len(x))
@@ -102,7 +105,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
     """(query_id, rank, vec_id, score): for every row of `queries` the k rows of `vectors` with the highest integer inner
     product, never a row of its own id; ties to the smaller id.
 
-    Components become floor(256 x). Rows with a null id, a null vector, or a null or non-finite component take no part;
+    Components become floor(256 x). Rows with a null id, a null vector, or a null or non-finite component, or one of 2**53
+    or more after that, take no part;
     vectors of another length than a query's are no candidates for it. Repeated rows are candidates each; equal query rows
     count once. Scores are exact while they stay below 2**53. Query rows
     are packed into blocks too and each block meets each data block once, in one of `groups` groups (64, or as many as the
