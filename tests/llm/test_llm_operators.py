@@ -295,12 +295,12 @@ def _histories(text):
     character, by definition."""
     before = None
     for w in WORD.findall(text):
-        last = None if before is None else before[-3:] if len(before) > 2 else f" {before}"
+        last = None if before is None else before[-2:] if len(before) > 1 else f" {before}"
         for j, c in enumerate(w + " "):
-            if j > 2:
+            if j > 1:
                 yield w, j, f" {w}"[: j + 1][-4:], c
             else:
-                yield (last, f"{w} "[:3]), j, ("\n" + w[:j] if last is None else f"{last} {w[:j]}")[-4:], c
+                yield (last, f"{w} "[:2]), j, ("\n" + w[:j] if last is None else f"{last} {w[:j]}")[-4:], c
         before = w
 
 
