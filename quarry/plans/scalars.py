@@ -114,7 +114,8 @@ def g18(spark, d):
 
 @query("G19_has_accents", f"select doc_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) <> {fold_sql('text')} as accented from documents")
 def g19(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.has_accents(F.col("text")).alias("accented"))
+    # as in the SQL, a null text has no answer
+    return table(spark, d, "documents").select("doc_id", F.when(F.col("text").isNotNull(), T.has_accents(F.col("text"))).alias("accented"))
 
 
 @query("G20_path_atoms", f"with {LABEL_SQL} select poi_id, array_to_string(string_split(replace(replace(array_to_string(regexp_extract_all(lower(label), '{TOKEN_SQL}'), '|'), '/', '|'), '-', '|'), '|'), '|') as atoms from labels_")
