@@ -1,6 +1,9 @@
 """Queries against their SQL on made tables that are larger or odder than the smallest test tables."""
 
 import duckdb
+import pytest
+
+from quarry.operators import identity, lexical, retrieval
 from quarry.plans import catalog
 
 
@@ -28,3 +31,33 @@ def test_g19_letters_without_marks(spark, tmp_path):
 def test_l17_batches_beyond_four_digits(spark, tmp_path):
     rows = same(spark, tmp_path, "L17_combined_batches", customer=([(i,) for i in range(1, 20_101)], "c_custkey long"))
     assert len(rows) == 10_050 + 6_700
+
+
+@pytest.mark.parametrize("name", ["C8_grid_pairs", "C11_radius_join"])
+def test_joins_of_growing_sides_are_not_broadcast(spark, tmp_path, name):
+    spark.range(1, 200).selectExpr("id as p_partkey", "'red bolt' as p_name", "'b' as p_brand", "'t' as p_type", "cast(id % 50 as int) as p_size").write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(1, 50).selectExpr("id as c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
+    plan = catalog.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan
+
+
+def test_clauses_of_equal_texts_are_made_once(spark):
+    docs = lexical.prepare_docs(spark.createDataFrame([(f"d{i}", "red bolt", "street 1", "7") for i in range(5)], "doc_id string, name string, street string, housenumber string"))
+    q = lexical.prepare_queries(spark.createDataFrame([(1, "red bolt"), (2, "red bolt"), (3, None), (4, "blue")], "query_id long, text string"))
+    assert lexical.texts(q).count() == 3
+    got = lexical.phrase_clauses(q, docs, lexical.Policy()).collect()
+    assert sorted((r.query_id, r.doc_id) for r in got) == [(k, f"d{i}") for k in (1, 2) for i in range(5)]
+
+
+def test_k12_rounds_of_growing_circles(spark):
+    places = [("a%02d" % i, "red bolt", 21.0, 105.8) for i in range(40)] + [("b%d" % i, "red cog", 21.0 + i / 100, 105.8) for i in range(1, 9)]
+    places = spark.createDataFrame(places, "doc_id string, name_fold string, lat double, lon double")
+    anchors = spark.createDataFrame([(1, "red", 21.0, 105.8), (2, "red cog", 21.0, 105.8), (3, "blue", 21.0, 105.8)], "query_id long, q_fold string, lat double, lon double")
+    got = sorted((r.query_id, r.rank, r.doc_id) for r in retrieval.nearby_rescue(anchors, places).collect())
+    assert got == [(1, i + 1, "a%02d" % i) for i in range(15)] + [(2, i, f"b{i}") for i in range(1, 5)]
+
+
+def test_similar_names_meet_and_others_do_not(spark):
+    rows = [("p1", "cafe mai", "1", "le loi", 21.0, 105.8), ("p2", "Café Mai", "1", "le loi", 21.0001, 105.8), ("p3", "pho ba", "1", "le loi", 21.0, 105.8), ("p4", None, "1", "le loi", 21.0, 105.8), ("p5", "cafe mai", "1", "le loi", 21.1, 105.8)]
+    places = spark.createDataFrame(rows, "poi_id string, name string, housenumber string, street string, lat double, lon double")
+    assert [(r.id, r.id2) for r in identity.duplicate_pairs(places).collect()] == [("p1", "p2")]
