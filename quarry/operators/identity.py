@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
-from quarry.functions.geo import near_pairs
+from quarry.functions.geo import Grid, near_pairs
 from quarry.sources.shared import reliable
 
 
@@ -54,13 +54,19 @@ def address_reason(h1: Column, s1: Column, h2: Column, s2: Column) -> Column:
 def duplicate_pairs(places: DataFrame, metres: float = 50.0) -> DataFrame:
     """Pairs nearer than `metres` with similar names and compatible addresses: id < id2, distance_m, both reasons.
 
-    Every pair under the distance is compared, also across cells in either direction.
+    Every pair under the distance is compared, also across cells in either direction. Names are compared once for each
+    pair of them that neighbouring cells hold, and only places of similar names meet.
     """
     cols = {"name": "name", "h": "h", "s": "s"}
     own = places.select(F.col("poi_id").alias("id"), "lat", "lon", "name", T.clean_housenumber(F.col("housenumber")).alias("h"), T.clean_street(F.col("street")).alias("s"))
     other = own.select(F.col("id").alias("id2"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), *[F.col(c).alias(f"{c}2") for c in cols])
-    pairs = near_pairs(own, other, metres).filter("id < id2")
-    pairs = pairs.withColumns({"name_reason": T.name_similarity(F.col("name"), F.col("name2")), "address_reason": address_reason(F.col("h"), F.col("s"), F.col("h2"), F.col("s2"))})
+    grid = Grid(metres)
+    names = grid.around(own, "lat", "lon").select("name", "r", "c").distinct()
+    names = names.join(grid.home(other, "lat2", "lon2").select("name2", "r", "c").distinct().hint("merge"), ["r", "c"]).select("name", "name2").distinct()
+    # written, so that the comparison is not planned below the distinct
+    similar = reliable(names).withColumn("name_reason", T.name_similarity(F.col("name"), F.col("name2"))).filter("name_reason is not null")
+    pairs = near_pairs(own.join(similar, "name"), other, metres, on=("name2",)).filter("id < id2")
+    pairs = pairs.withColumns({"address_reason": address_reason(F.col("h"), F.col("s"), F.col("h2"), F.col("s2"))})
     return pairs.filter("name_reason is not null and address_reason is not null").select("id", "id2", "distance_m", "name_reason", "address_reason")
 
 
