@@ -116,7 +116,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
     groups = groups or max(64, vectors.rdd.getNumPartitions())
     data = _blocks(vectors, size, groups, id_col, vec_col)
     asked = _blocks(scattered(queries, id_col, vec_col).distinct(), 256, groups, id_col, vec_col).drop("g").withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    pairs = data.join(asked.select("dim", "g", F.col("n").alias("q_n"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors")), ["dim", "g"])
+    # by merging: a planner takes blocks for small by their schema, and would send all copies of the queries by the driver
+    pairs = data.join(asked.hint("merge").select("dim", "g", F.col("n").alias("q_n"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors")), ["dim", "g"])
     schema = "query_id long, vec_id long, score long"
     arrow = arrow_schema(schema)
 

@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from quarry.llm import topk
 from quarry.operators import identity, lexical, retrieval
 from quarry.plans import catalog
 
@@ -61,3 +62,10 @@ def test_similar_names_meet_and_others_do_not(spark):
     rows = [("p1", "cafe mai", "1", "le loi", 21.0, 105.8), ("p2", "Café Mai", "1", "le loi", 21.0001, 105.8), ("p3", "pho ba", "1", "le loi", 21.0, 105.8), ("p4", None, "1", "le loi", 21.0, 105.8), ("p5", "cafe mai", "1", "le loi", 21.1, 105.8)]
     places = spark.createDataFrame(rows, "poi_id string, name string, housenumber string, street string, lat double, lon double")
     assert [(r.id, r.id2) for r in identity.duplicate_pairs(places).collect()] == [("p1", "p2")]
+
+
+def test_op6_copies_of_queries_are_not_broadcast(spark):
+    vectors = spark.range(200).selectExpr("id as vec_id", "array(cast(id as float), cast(1 as float)) as embedding")
+    found = topk.top_k(vectors, vectors.filter("vec_id % 50 = 0"))
+    assert found.count() == 20
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
