@@ -33,7 +33,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Keeps the rows whose text passes the quality rules, as `quality.assess` has them; null texts go. Repeated rows stay
     repeated, rows without an id have their own verdict, an empty table stays empty, other columns go."""
     rows = _keyed(docs)
-    return _only(rows, quality.assess(_by_key(rows)).filter("kept")).select(*COLUMNS)
+    return _only(rows, quality.assess(_by_key(rows), once=False).filter("kept")).select(*COLUMNS)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

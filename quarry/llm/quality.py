@@ -3,8 +3,8 @@
 The model is a modified Kneser-Ney model of characters, up to five long. A text is read as its white-space delimited words
 with one space after each; a character's context, at most the four characters before it, reaches over the space to the last
 two characters of the word before.
-Spark counts the n-grams of the distinct words of all documents and of what stands where two words meet, and estimates
-their probabilities by joins and aggregations; workers write them as sorted arrays of 64-bit n-gram hashes to the shared
+Spark counts the n-grams of the words of all documents and of what stands where two words meet, and estimates their
+probabilities by joins and aggregations; workers write them as sorted arrays of 64-bit n-gram hashes to the shared
 folder and map those files to score texts. No n-gram is left out or shares a count with another, and none passes through
 the driver.
 
@@ -103,10 +103,11 @@ def border_codes(codes: np.ndarray, offsets: np.ndarray, words: list[str]) -> tu
     return of, pc.binary_join_element_wise(end, begins.dictionary.take(pa.array(kinds % n)), "").to_pylist()
 
 
-def _grams(blocks: list[str], scored_from: np.ndarray, times: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
-    """For each order the columns (hash, hash of the suffix, hash of the context, holds START, count) of the n-grams that
-    end at a block's scored places. Counts are whole for the highest order and for n-grams that begin a block, START among
-    them; of others it only matters that they are there, and they are suffixes of those of the order above."""
+def _grams(blocks: list[str], scored_from: np.ndarray, times: np.ndarray, once: bool) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """For each order the columns (hash, hash of the suffix, hash of the context, begins, count) of the n-grams that end at
+    a block's scored places. Begins: with START or, unless `once`, any block. Counts are whole for the highest order and
+    for n-grams that begin a block, START among them; of others it only matters that they are there, and they are suffixes
+    of those of the order above."""
     codes, place, block = _codes(blocks)
     ends = np.flatnonzero(place >= scored_from[block])
     hashes, above = Hashes(codes), np.zeros(0, dtype=np.int64)
@@ -119,68 +120,75 @@ def _grams(blocks: list[str], scored_from: np.ndarray, times: np.ndarray) -> Ite
         some = above = at[edge]
         if len(some):
             # the context is the (n-1)-gram that ends one place earlier; the suffix the one that ends here
-            yield n, [own[edge], hashes.at(n - 1, some), hashes.at(n - 1, some - 1), codes[some - n + 1] == ord(START), np.add.reduceat(times[block[at]], edge)]
+            begins = codes[some - n + 1] == ord(START) if once else place[some] == n - 1
+            yield n, [own[edge], hashes.at(n - 1, some), hashes.at(n - 1, some - 1), begins, np.add.reduceat(times[block[at]], edge)]
 
 
-def distinct_blocks(docs: DataFrame, flush: int = 200_000) -> DataFrame:
-    """(whole, block): the distinct words of all texts (whole) and the distinct borders between them, each once."""
-    schema = "whole boolean, block string"
+def counted_blocks(docs: DataFrame, flush: int = 200_000) -> DataFrame:
+    """(block, times): the words of all texts, the borders between them, and how often each stands there. A border holds a
+    space or START, a word neither."""
+    schema = "block string, times long"
     arrow = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words_seen: set[str] = set()
-        borders_seen: set[str] = set()
+        seen: dict[str, int] = {}
+
+        def add(codes: np.ndarray, blocks: list[str]):
+            for block, n in zip(blocks, np.bincount(codes, minlength=len(blocks)).tolist()):
+                if n:
+                    seen[block] = seen.get(block, 0) + n
 
         def out():
-            for whole, seen in ((True, words_seen), (False, borders_seen)):
-                found = pa.array(seen, type=pa.string())
-                yield pa.RecordBatch.from_arrays([pa.repeat(whole, len(found)), found], schema=arrow)
-                seen.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(seen, type=pa.string()), pa.array(seen.values(), type=pa.int64())], schema=arrow)
+            seen.clear()
 
         for batch in batches:
             for part in slices(batch.column(0), AT_ONCE):
                 codes, offsets, words = word_codes(part)
-                words_seen.update(words)
-                borders_seen.update(border_codes(codes, offsets, words)[1])
-                if len(words_seen) + len(borders_seen) > flush:
+                add(codes, words)
+                add(*border_codes(codes, offsets, words))
+                if len(seen) > flush:
                     yield from out()
         yield from out()
 
     rows = scattered(docs, "text").filter("text is not null").mapInArrow(run, schema)
     # words of one character are all border and no blocks
-    return rows.filter("not whole or char_length(block) > 1").distinct()
+    return rows.filter("char_length(block) > 1").groupBy("block").agg(F.sum("times").alias("times"))
 
 
-def count_grams(docs: DataFrame) -> DataFrame:
-    """(n, h, suffix, context, starts, c): in how many of the distinct words and borders of all texts each n-gram is.
+def count_grams(docs: DataFrame, once: bool = True) -> DataFrame:
+    """(n, h, suffix, context, starts, c): how often each n-gram stands in all texts, or, with `once`, in how many of their
+    distinct words and borders.
 
-    Every text counts, but a word or border once however often it stands there. So neither copies, however many, nor a
-    text that repeats itself make their own words likelier.
+    starts: nothing is seen before the n-gram, for it begins a block (`once`: it begins a text).
     """
     schema = "n int, h long, suffix long, context long, starts int, c long"
     arrow = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bool, list[str]] = {True: [], False: []}
+        held: dict[bool, list[tuple[pa.Array, np.ndarray]]] = {True: [], False: []}
 
         def out(whole: bool):
-            blocks, scored_from = (tails if whole else borders)(held[whole])
-            for n, columns in _grams(blocks, scored_from, np.ones(len(blocks), dtype=np.int64)):
+            blocks, times = zip(*held[whole])
+            made, scored_from = (tails if whole else borders)([x for b in blocks for x in b.to_pylist()])
+            for n, columns in _grams(made, scored_from, np.concatenate(times), once):
                 columns = [np.full(len(columns[0]), n), *columns]
                 yield pa.RecordBatch.from_arrays([pa.array(c.astype(f.type.to_pandas_dtype())) for c, f in zip(columns, arrow)], schema=arrow)
             held[whole] = []
 
         for batch in batches:
-            of = batch.column(0).to_numpy(zero_copy_only=False)
-            for whole in (True, False):
-                held[whole] += batch.column(1).filter(pa.array(of == whole)).to_pylist()
-                if len(held[whole]) > 200_000:
+            border = pc.match_substring_regex(batch.column(0), f"[ {START}]")
+            for whole, own in ((True, pc.invert(border)), (False, border)):
+                part = batch.filter(own)
+                if part.num_rows:
+                    held[whole].append((part.column(0), np.ones(part.num_rows, dtype=np.int64) if once else part.column(1).to_numpy()))
+                if sum(len(t) for _, t in held[whole]) > 200_000:
                     yield from out(whole)
         for whole in (True, False):
             if held[whole]:
                 yield from out(whole)
 
-    partial = distinct_blocks(docs).mapInArrow(run, schema)
+    partial = counted_blocks(docs).mapInArrow(run, schema)
     # one row for each n-gram
     return partial.groupBy("n", "h").agg(F.min("suffix").alias("suffix"), F.min("context").alias("context"), F.max("starts").alias("starts"), F.sum("c").alias("c"))
 
@@ -197,8 +205,8 @@ def estimate(grams: DataFrame) -> tuple[DataFrame | None, dict[int, int], float]
     """Interpolated modified Kneser-Ney estimates as (kind, h, value), rows by kind, and the unknown character's value.
 
     Kind n holds the log probabilities of the n-grams, kind ORDER + n the log backoff weights of their contexts. An n-gram
-    below the highest order counts how many different characters stand before it, and in full where none can: where it
-    begins with START. A row for each order comes to the driver.
+    below the highest order counts how many different characters stand before it, and in full where none can (`starts`).
+    A row for each order comes to the driver.
     """
     grams = persisted(grams)
     seen = grams.filter("n > 1").groupBy((F.col("n") - 1).alias("n"), F.col("suffix").alias("h")).agg(F.count("*").alias("seen"))
@@ -343,11 +351,12 @@ class Model:
         return np.bincount(block, weights=logp, minlength=len(blocks))
 
 
-def fit(docs: DataFrame) -> Model:
-    """The model of all texts; its arrays lie in the shared folder until they are removed."""
+def fit(docs: DataFrame, once: bool = True) -> Model:
+    """The model of all texts, of counts as `count_grams` has them; its arrays lie in the shared folder until they are
+    removed."""
     spark: SparkSession = docs.sparkSession
     folder = scratch(spark, "ngrams")
-    table, rows, unknown = estimate(count_grams(docs))
+    table, rows, unknown = estimate(count_grams(docs, once))
     return Model(folder, write_arrays(table, rows, folder) if table is not None else {}, unknown)
 
 
@@ -499,8 +508,9 @@ def _deviation(median: dict[str, float]):
     return (F.col("log_ppl") - _of_band(median)) * F.sqrt("n_scored")
 
 
-def assess(docs: DataFrame) -> DataFrame:
-    """Base counts, base_failed, perplexity and kept, for each row.
+def assess(docs: DataFrame, once: bool = True) -> DataFrame:
+    """Base counts, base_failed, perplexity and kept, for each row. The model counts n-grams as often as they stand in the
+    texts, or, with `once`, in how many distinct words and borders.
 
     A text's log perplexity is minus its mean log probability over characters. Its distance from the median of its
     language (null: a group of its own), times the root of the number of characters averaged, is its deviation; the
@@ -508,7 +518,7 @@ def assess(docs: DataFrame) -> DataFrame:
     spreads are rejected. Median and quartile are taken over the distinct texts that pass the base rules (`_bands`). Null
     text has no words and fails them. Rows repeat as they come; an empty table gives no rows.
     """
-    model = fit(docs)
+    model = fit(docs, once)
     rows = persisted(measured(docs, model))
     remove(docs.sparkSession, model.folder)
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))

@@ -26,7 +26,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and verdict of every document, as `quality.assess` has them."""
-    return quality.assess(table(spark, sf_dir, "documents"))
+    return quality.assess(table(spark, sf_dir, "documents"), once=False)
 
 
 def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
