@@ -36,6 +36,30 @@ def keepers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id").join(state.select("id", "kept"), "id", "left").join(best, "id", "left").select("id", F.when(F.coalesce("kept", F.lit(True)), F.col("id")).otherwise(F.col("own")).alias("keeper"))
 
 
+def near_keepers(nodes: DataFrame, metres: float) -> DataFrame:
+    """(id, keeper) as `keepers` has it, neighbours being all nodes nearer than `metres`, without a table of their pairs.
+
+    nodes: id, priority (unique, smaller first), lat, lon; one without finite coordinates has no neighbours. In rounds, the
+    first undecided node of each quarter of a grid cell is kept if no undecided node near it comes before it, and those near
+    it are then settled. So a node meets a few firsts of a round and the kept nodes around it, however many lie near.
+    """
+    grid = Grid(metres)
+    points = nodes.select("id", "priority", "lat", "lon")
+    ends = lambda df: df.select(*[F.col(c).alias(f"{c}2") for c in points.columns])
+    halves = [F.floor(F.col("lat") / grid.size * 2).alias("_i"), F.floor((F.col("lon") + 180) / 360 * grid.columns(F.col("r")) * 2).alias("_j")]
+    open_ = reliable(grid.home(points, "lat", "lon").drop("r", "c"))
+    kept = open_.limit(0)
+    while open_.limit(1).count():
+        firsts = grid.home(open_, "lat", "lon").groupBy("r", "c", *halves).agg(F.min_by(F.struct(*points.columns), "priority").alias("f")).select("f.*")
+        later = near_pairs(firsts, ends(open_), metres).filter("priority2 < priority").select("id").distinct()
+        now = reliable(firsts.join(later.hint("merge"), "id", "left_anti"))
+        kept = kept.unionByName(now)
+        settled = near_pairs(now, ends(open_), metres).select(F.col("id2").alias("id")).distinct()
+        open_ = reliable(open_.join(settled.hint("merge"), "id", "left_anti"))
+    best = near_pairs(kept, ends(points), metres).groupBy(F.col("id2").alias("id")).agg(F.min_by("id", "priority").alias("keeper"))
+    return nodes.select("id").join(best.hint("merge"), "id", "left").select("id", F.coalesce("keeper", "id").alias("keeper"))
+
+
 def address_reason(h1: Column, s1: Column, h2: Column, s2: Column) -> Column:
     """Why two cleaned addresses may be one place, or null."""
     no_h, no_s = h1.isNull() & h2.isNull(), s1.isNull() & s2.isNull()
