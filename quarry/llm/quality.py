@@ -103,12 +103,12 @@ def border_codes(codes: np.ndarray, offsets: np.ndarray, words: list[str]) -> tu
     return of, pc.binary_join_element_wise(end, begins.dictionary.take(pa.array(kinds % n)), "").to_pylist()
 
 
-def _grams(blocks: list[str], scored_from: np.ndarray, times: np.ndarray, once: bool) -> Iterator[tuple[int, list[np.ndarray]]]:
-    """For each order the columns (hash, hash of the suffix, hash of the context, begins, count) of the n-grams that end at
-    a block's scored places. Begins: with START or, unless `once`, any block. Counts are whole for the highest order and
-    for n-grams that begin a block, START among them; of others it only matters that they are there, and they are suffixes
-    of those of the order above."""
+def _grams(blocks: list[str], scored_from: np.ndarray, times: np.ndarray, once: bool) -> Iterator[list]:
+    """For each order the columns (gram, begins, count) of the n-grams that end at a block's scored places. Begins: with
+    START or, unless `once`, any block. Counts are whole for the highest order and for n-grams that begin a block, START
+    among them; of others it only matters that they are there, and they are suffixes of those of the order above."""
     codes, place, block = _codes(blocks)
+    text = "".join(blocks)
     ends = np.flatnonzero(place >= scored_from[block])
     hashes, above = Hashes(codes), np.zeros(0, dtype=np.int64)
     for n in range(ORDER, 0, -1):
@@ -119,9 +119,8 @@ def _grams(blocks: list[str], scored_from: np.ndarray, times: np.ndarray, once:
         edge = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else at
         some = above = at[edge]
         if len(some):
-            # the context is the (n-1)-gram that ends one place earlier; the suffix the one that ends here
             begins = codes[some - n + 1] == ord(START) if once else place[some] == n - 1
-            yield n, [own[edge], hashes.at(n - 1, some), hashes.at(n - 1, some - 1), begins, np.add.reduceat(times[block[at]], edge)]
+            yield [[text[i - n : i] for i in (some + 1).tolist()], begins, np.add.reduceat(times[block[at]], edge)]
 
 
 def counted_blocks(docs: DataFrame, flush: int = 200_000) -> DataFrame:
@@ -160,9 +159,10 @@ def count_grams(docs: DataFrame, once: bool = True) -> DataFrame:
     """(n, h, suffix, context, starts, c): how often each n-gram stands in all texts, or, with `once`, in how many of their
     distinct words and borders.
 
-    starts: nothing is seen before the n-gram, for it begins a block (`once`: it begins a text).
+    starts: nothing is seen before the n-gram, for it begins a block (`once`: it begins a text). Tasks hand on an n-gram's
+    characters, which take less than half of the disk of its hash and those of its suffix and its context.
     """
-    schema = "n int, h long, suffix long, context long, starts int, c long"
+    schema = "gram string, starts int, c long"
     arrow = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,9 +171,8 @@ def count_grams(docs: DataFrame, once: bool = True) -> DataFrame:
         def out(whole: bool):
             blocks, times = zip(*held[whole])
             made, scored_from = (tails if whole else borders)([x for b in blocks for x in b.to_pylist()])
-            for n, columns in _grams(made, scored_from, np.concatenate(times), once):
-                columns = [np.full(len(columns[0]), n), *columns]
-                yield pa.RecordBatch.from_arrays([pa.array(c.astype(f.type.to_pandas_dtype())) for c, f in zip(columns, arrow)], schema=arrow)
+            for grams, begins, counts in _grams(made, scored_from, np.concatenate(times), once):
+                yield pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), pa.array(begins.astype(np.int32)), pa.array(counts)], schema=arrow)
             held[whole] = []
 
         for batch in batches:
@@ -188,9 +187,29 @@ def count_grams(docs: DataFrame, once: bool = True) -> DataFrame:
             if held[whole]:
                 yield from out(whole)
 
-    partial = counted_blocks(docs).mapInArrow(run, schema)
     # one row for each n-gram
-    return partial.groupBy("n", "h").agg(F.min("suffix").alias("suffix"), F.min("context").alias("context"), F.max("starts").alias("starts"), F.sum("c").alias("c"))
+    grams = counted_blocks(docs).mapInArrow(run, schema).groupBy("gram").agg(F.max("starts").alias("starts"), F.sum("c").alias("c"))
+    return _hashed(grams)
+
+
+def _hashed(grams: DataFrame) -> DataFrame:
+    """(gram, starts, c) with the n-gram's order and hashes in place of its characters."""
+    schema = "n int, h long, suffix long, context long, starts int, c long"
+    arrow = arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = pc.utf8_length(batch.column(0))
+            for n in range(1, ORDER + 1):
+                own = batch.filter(pc.equal(sizes, n))
+                if own.num_rows:
+                    codes, place, _ = _codes(own.column(0).to_pylist())
+                    hashes, ends = Hashes(codes), np.flatnonzero(place == n - 1)
+                    # the context is the (n-1)-gram that ends one place earlier; the suffix the one that ends here
+                    columns = [np.full(len(ends), n, dtype=np.int32), hashes.at(n, ends), hashes.at(n - 1, ends), hashes.at(n - 1, ends - 1)]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), own.column(1), own.column(2)], schema=arrow)
+
+    return grams.mapInArrow(run, schema)
 
 
 def _discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:

@@ -432,6 +432,20 @@ def test_op3_query_counts_ngrams_as_often_as_they_stand_there(spark, tmp_path):
             assert math.log(got[i]) == pytest.approx(-sum(logs) / len(logs), abs=2e-5)
 
 
+def test_op3_ngrams_are_dealt_out_by_their_characters(spark):
+    """No hashes are written to disk for each task's n-grams, and every n-gram has its own afterwards."""
+    texts = ["ba koriten ba \U0001f600\u0301x \0\0y \0", "téa ba 中文字 xyxyx", "l", None]
+    grams = quality.count_grams(spark.createDataFrame([(t,) for t in texts], "text string"), once=False)
+    plan = grams._jdf.queryExecution().executedPlan().toString()
+    assert [x.split("(")[1].split("#")[0] for x in plan.split("hashpartitioning")[1:]] == ["gram", "block"]
+    want = Counter(seen[len(seen) - n + 1 :] + c for t in texts for _, _, seen, c in _histories(t or "") for n in range(1, min(5, len(seen) + 1) + 1))
+    part = lambda x: int(quality.Hashes(quality._codes([x])[0]).at(len(x), np.array([len(x) - 1]))[0]) if x else 0
+    got = {(r.n, r.h): r for r in grams.collect()}
+    assert set(got) == {(len(g), part(g)) for g in want}
+    assert all((r := got[len(g), part(g)]).suffix == part(g[1:]) and r.context == part(g[:-1]) for g in want)
+    assert all(got[5, part(g)].c == c for g, c in want.items() if len(g) == 5)
+
+
 def test_kneser_ney_is_a_distribution(spark):
     text = "aa ab ba abc abc abb cab " * 3
     model = quality.fit(spark.createDataFrame([(text,)], "text string"))
